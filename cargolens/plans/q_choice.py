@@ -1,0 +1 @@
+"""Registered queries (filled in below)."""
