@@ -91,3 +91,9 @@ def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     small = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = small.count()
     return F.broadcast(small) if n <= max_rows else small
+
+
+def round_half_up(c: Column, digits: int) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d: plain IEEE steps, so every engine rounds the same way."""
+    scale = float(10 ** digits)
+    return F.floor(c * scale + 0.5) / scale

@@ -121,7 +121,7 @@ def carbon_by_package(spark, deliveries: DataFrame) -> DataFrame:
     tc = transport_carbon(spark, deliveries.select("package_type", "vehicle_type", "distance_km"))
     per = tc.groupBy(F.lower("package_type").alias("package_type")).agg(
         F.avg("transport_carbon_gco2").alias("avg_transport"))
-    keys = spark.createDataFrame(DISPLAY_YPOS, "package_type string, display_name string, ypos int")
+    keys = dims.local_table(spark, DISPLAY_YPOS, "package_type string, display_name string, ypos int")
     keys = with_policy(keys, spark)
     ai = optimization_ai_carbon_value(3, "india", True)
     j = F.broadcast(keys).join(per, "package_type", "left")
@@ -139,7 +139,7 @@ def casp_by_country(spark, deliveries: DataFrame) -> DataFrame:
                         .select("vehicle_type", "distance_km"))
     avg = ph.agg(F.avg(F.col("distance_km") * F.col("gco2_per_km") * F.lit(cold)).alias("avg_transport"))
     rows = [(name, code, optimization_ai_carbon_value(3, code, True)) for name, code in CASP_COUNTRIES]
-    countries = spark.createDataFrame(rows, "country string, country_code string, ai_carbon double")
+    countries = dims.local_table(spark, rows, "country string, country_code string, ai_carbon double")
     total = F.col("avg_transport") + F.col("ai_carbon")
     service = (threshold * 100) / 100
     return (F.broadcast(countries).crossJoin(avg)
@@ -151,7 +151,7 @@ def country_extremes(spark, log: DataFrame, countries: list[str] | None = None)
     """Per model: its logged workload priced in each country -> cleanest, dirtiest and their ratio."""
     countries = countries or COMPARE_COUNTRIES
     work = model_energy(spark, log.groupBy("model").agg(F.sum("num_inferences").alias("total_inferences")))
-    cdim = spark.createDataFrame([(c, i, _grid(c)) for i, c in enumerate(countries)],
+    cdim = dims.local_table(spark, [(c, i, _grid(c)) for i, c in enumerate(countries)],
                                  "country string, country_seq int, grid double")
     priced = work.crossJoin(F.broadcast(cdim)).withColumn(
         "carbon_gco2", (F.col("energy_per_inference_wh") * F.col("total_inferences")) / 1000 * F.col("grid"))
@@ -197,7 +197,7 @@ def inference_ledger_totals(spark, log: DataFrame) -> DataFrame:
 def country_ai_carbon_sorted(spark, log: DataFrame) -> DataFrame:
     """Total logged joules per model priced in every grid country, ranked by ascending carbon."""
     j = log.groupBy("model").agg(F.sum("energy_joules").alias("energy_joules"))
-    cdim = spark.createDataFrame([(c, i, g) for i, (c, g) in enumerate(dims.GRID_GCO2_PER_KWH)],
+    cdim = dims.local_table(spark, [(c, i, g) for i, (c, g) in enumerate(dims.GRID_GCO2_PER_KWH)],
                                  "country string, country_seq int, grid_intensity_gco2_kwh double")
     priced = j.crossJoin(F.broadcast(cdim)).withColumn(
         "ai_compute_carbon_gco2", F.col("energy_joules") / 3600000.0 * F.col("grid_intensity_gco2_kwh"))
@@ -212,7 +212,7 @@ def country_scenarios(spark, routes: DataFrame, model: str = CARBON_SERVICE_MODE
     """Each route priced in every grid country ('default' included): transport + AI carbon, AI %."""
     base = _wh(model)
     scale = (tokens / 500) ** 0.5 if model in dims.TOKEN_SCALED_MODELS else 1.0
-    cdim = spark.createDataFrame(
+    cdim = dims.local_table(spark, 
         [(c, g, (base * scale) / 1000 * g) for c, g in dims.GRID_GCO2_PER_KWH],
         "country string, grid_intensity_gco2_kwh double, ai_compute_carbon_gco2 double")
     r = vehicle_factor(spark, routes).withColumn(

@@ -115,7 +115,7 @@ def package_keys(spark, deliveries: DataFrame | None = None, extra: DataFrame |
     """The package types to report on: the policy's nine types plus any observed ones."""
     from cargolens.sources import dims
 
-    keys = spark.createDataFrame([(p[0],) for p in dims.POLICY], "package_type string")
+    keys = dims.local_table(spark, [(p[0],) for p in dims.POLICY], "package_type string")
     if extra is not None:
         keys = keys.unionByName(extra.select(F.lower(F.trim("package_type")).alias("package_type")))
     return keys.distinct()

@@ -8,6 +8,8 @@ oracle, so both sides read one source of truth.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -316,6 +318,10 @@ FALLBACK_DEFAULTS = {"delivery_partner": "delhivery", "vehicle_type": "van", "de
 # Risk level cut-offs and buffer days.
 RISK_BUFFER_DAYS = [("CRITICAL", 2), ("HIGH", 1), ("MEDIUM", 1), ("LOW", 0)]
 
+def dict_value(pairs: list[tuple], key: str):
+    return dict(pairs)[key]
+
+
 # ---------------------------------------------------------------------------
 # Schemas and DataFrame builders
 # ---------------------------------------------------------------------------
@@ -370,9 +376,36 @@ def _rows(name: str) -> list[tuple]:
     raise KeyError(name)
 
 
+def _spark_lit(v, ctype: str) -> str:
+    if v is None:
+        return f"CAST(NULL AS {ctype.upper()})"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, list):
+        return "array(" + ", ".join(_spark_lit(x, "string") for x in v) + ")"
+    if ctype == "double":
+        return repr(float(v)) + "D"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small constant table as an inline ``VALUES`` relation.
+
+    Unlike ``createDataFrame`` on a Python list (an RDD scanned by Python workers), an inline
+    table is a local relation: it is broadcast straight from the driver, with no job.
+    """
+    cols = [part.split(" ", 1) for part in schema.split(", ")]
+    names = ", ".join(c for c, _ in cols)
+    values = ",\n".join("(" + ", ".join(_spark_lit(v, t) for v, (_, t) in zip(r, cols)) + ")" for r in rows)
+    casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in cols)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
+
+
 def dim(spark: SparkSession, name: str) -> DataFrame:
     """A fixed reference table, marked for broadcast (bounded, tiny)."""
-    return F.broadcast(spark.createDataFrame(_rows(name), SCHEMAS[name]))
+    return F.broadcast(local_table(spark, _rows(name), SCHEMAS[name]))
 
 
 # ---------------------------------------------------------------------------
@@ -405,3 +438,33 @@ def dim_sql(name: str) -> str:
     names = ", ".join(c for c, _ in cols)
     casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in cols)
     return f"SELECT {casts} FROM (VALUES\n    {rows}) AS v({names})"
+
+
+# ---------------------------------------------------------------------------
+# Fixed dims as constant maps: a lookup is a hash probe inside generated code,
+# with no join, no exchange and no extra plan node.
+# ---------------------------------------------------------------------------
+
+@functools.lru_cache(maxsize=None)
+def const_map_sql(name: str, key_index: int = 0, key_fmt: str | None = None) -> str:
+    """SQL text of a ``map<key, struct>`` literal over a fixed dim.
+
+    The key is column ``key_index`` or ``key_fmt.format(*row)`` lower-cased.
+    Built as text so the whole literal crosses to the JVM in one call.
+    """
+    cols = [part.split(" ", 1) for part in SCHEMAS[name].split(", ")]
+    items = []
+    seen = set()
+    for r in _rows(name):
+        k = r[key_index] if key_fmt is None else key_fmt.format(*r).lower()
+        if k in seen:
+            continue
+        seen.add(k)
+        fields = ", ".join(f"'{c}', {_spark_lit(v, t)}" for v, (c, t) in zip(r, cols))
+        items.append(f"{_spark_lit(k, 'string')}, named_struct({fields})")
+    return "map(" + ", ".join(items) + ")"
+
+
+def lookup(name: str, key, key_index: int = 0, key_fmt: str | None = None):
+    """The dim row for ``key`` (a Column) as a struct, null when absent (constant-map probe)."""
+    return F.try_element_at(F.expr(const_map_sql(name, key_index, key_fmt)), key)
