@@ -1,15 +1,14 @@
-"""Route choice and the decisions derived from it, as per-row arg-mins over the option array.
+"""Route choice and the decisions derived from it, as arg-min aggregates per request.
 
 The reference evaluates a list of routes per request and keeps the first
-minimum.  Here each rule is an ``array_min`` over structs whose leading
-fields are the sort key and whose last key field is the option's rank (quote
-order), so ties resolve exactly like Python's first-minimum and no shuffle is
-needed.
+minimum.  Here each rule is a ``min_by`` over the request's option rows with a
+struct key whose last field is the option's quote rank, so ties resolve
+exactly like Python's first minimum.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions.exprs import casp
@@ -21,63 +20,46 @@ AGENT_LABEL = dict(dims.STAKES_AGENT_LABEL)
 CARBON_SERVICE_AI_GCO2 = carbon.inference_carbon_value(carbon.CARBON_SERVICE_MODEL, "india", 1)
 
 
-def _argmin(key) -> Column:
-    """The option minimizing ``key(o)`` (SQL fragments for option column ``o``), first in quote
-    rank on ties: ``least`` over the ten per-carrier structs (nulls skipped), code-generated."""
-    parts = []
-    for i in range(quotes.N_CARRIERS):
-        o = f"_c{i}"
-        keys = ", ".join(f"'k{j}', {k}" for j, k in enumerate(key(o)))
-        parts.append(f"CASE WHEN {o} IS NOT NULL THEN named_struct({keys}, 'kr', {o}.rank, 'o', {o}) END")
-    return F.expr("least(" + ", ".join(parts) + ").o")
-
-
-def choose_route() -> Column:
-    """Among options meeting the threshold: min cost (critical, high value) or min total carbon
-    (standard); when none meets it, max predicted on-time."""
-    return _argmin(lambda o: [f"NOT {o}.meets_sla",
-                              f"CASE WHEN {o}.meets_sla THEN CASE WHEN stakes = 'standard' THEN {o}.total_carbon_gco2"
-                              f" ELSE {o}.predicted_cost END ELSE -{o}.predicted_on_time_pct END"])
-
-
-def lowest_on_time() -> Column:
-    """The option with the lowest predicted on-time (the reference calls it 'fastest')."""
-    return _argmin(lambda o: [f"{o}.predicted_on_time_pct"])
-
-
-def greenest_viable() -> Column:
-    """Min predicted carbon among options meeting the SLA, else among all options."""
-    viable = "exists(options, x -> x.meets_sla)"
-    return _argmin(lambda o: [f"CASE WHEN {viable} THEN NOT {o}.meets_sla ELSE false END",
-                              f"{o}.predicted_carbon_gco2"])
-
-
 def constraint_warning(on_time: Column, threshold_pct: Column, meets: Column) -> Column:
     """'' when met, else 'On-time x.x% below threshold y%.' (values rounded before formatting)."""
     return F.when(meets, F.lit("")).otherwise(
         F.format_string("On-time %.1f%% below threshold %.0f%%.", F.round(on_time, 1), F.round(threshold_pct, 0)))
 
 
-def decide(df: DataFrame) -> DataFrame:
+def decide(spark, requests: DataFrame) -> DataFrame:
     """Route choice plus stakes decision, carbon savings, greenest option and cost benchmark.
 
-    Input: the output of ``quotes.carrier_options`` (needs ``options`` with predictions, ``stakes``,
-    ``priority``, ``cold_chain_multiplier``, ``threshold_pct``).
+    Input: ``quotes.carrier_options`` (one row per request).  The option rows are partitioned by
+    request for the rank window, and the arg-mins are ``min_by`` aggregates on that same
+    partitioning, so choosing adds no second exchange.  Ties resolve by quote rank like the
+    reference's first minimum.
     """
+    o = quotes.option_rows(spark, requests, "min_on_time_pct", keep_unmatched=True)
+    o = o.withColumn("_any_meets", F.max(F.col("meets_sla").cast("int")).over(Window.partitionBy("shipment_id")) > 0)
+    opt = quotes.option_struct()
+    has = F.col("carrier_code").isNotNull()
+    meets, rank = F.col("meets_sla"), F.col("rank")
+    primary = F.when(meets, F.when(F.col("stakes") == "standard", F.col("total_carbon_gco2"))
+                     .otherwise(F.col("predicted_cost"))).otherwise(-F.col("predicted_on_time_pct"))
+    key_best = F.when(has, F.struct(~meets, primary, rank))
+    key_fast = F.when(has, F.struct(F.col("predicted_on_time_pct"), rank))
+    key_green = F.when(has, F.struct(F.when(F.col("_any_meets"), ~meets).otherwise(F.lit(False)),
+                                     F.col("predicted_carbon_gco2"), rank))
+    req_cols = [c for c in requests.columns if c != "shipment_id"]
+    d = o.groupBy("shipment_id").agg(
+        *[F.first(c).alias(c) for c in req_cols],
+        F.min_by(opt, key_best).alias("best"), F.min_by(opt, key_fast).alias("_fast"),
+        F.min_by(opt, key_green).alias("_green"),
+        # Mean of positive quotes, summed in whole paise so the result does not depend on order.
+        (F.avg(F.when(F.col("cost_inr") > 0, F.round(F.col("cost_inr") * 100))) / 100).alias("industry_benchmark_raw"),
+        F.avg("transport_carbon_gco2").alias("mean_option_transport_gco2"),
+        F.coalesce(F.max("num_options"), F.lit(0)).alias("num_options"))
     stakes = F.col("stakes")
-    best = choose_route()
-    fast = lowest_on_time()
-    green = greenest_viable()
-    pos = [f"CASE WHEN _c{i}.cost_inr > 0 THEN _c{i}.cost_inr END" for i in range(quotes.N_CARRIERS)]
-    pos_n = " + ".join(f"CAST(({p}) IS NOT NULL AS INT)" for p in pos)
-    pos_sum = " + ".join(f"coalesce({p}, 0.0D)" for p in pos)
-    bench = F.expr(f"CASE WHEN ({pos_n}) > 0 THEN ({pos_sum}) / ({pos_n}) END")
     standard = stakes == "standard"
-    out = df.withColumns({"best": best, "_fast": fast, "_green": green, "industry_benchmark_raw": bench})
     b = F.col("best")
     pct = F.when(F.col("industry_benchmark_raw") > 0,
                  (F.col("industry_benchmark_raw") - b["predicted_cost"]) / F.col("industry_benchmark_raw") * 100)
-    return out.withColumns({
+    return d.withColumns({
         "agent_type": F.coalesce(*[F.when(stakes == k, F.lit(v)) for k, v in AGENT_LABEL.items()],
                                  F.lit("low_stakes")),
         "decision_priority": F.when(standard, F.lit("carbon")).otherwise(F.col("priority")),

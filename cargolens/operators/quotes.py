@@ -17,7 +17,7 @@ the partner and then the global rate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions.exprs import (
@@ -214,110 +214,107 @@ def _weather_penalty(w: Column) -> Column:
     return expr.otherwise(F.lit(0.0))
 
 
-def baseline_predictor(partner: str, vehicle_factor: float) -> dict[str, str]:
-    """Historical baseline (SQL expressions): cost = 100 + 3 km + 5 kg; on-time from the delay
-    history of the partner under the route weather; carbon = km x vehicle factor."""
-    return {"predicted_cost": "(100 + 3 * route_distance_km) + 5 * route_weight_kg",
-            "predicted_on_time_pct": f"100 * (1 - route_rate_{_pcol(partner)})",
-            "predicted_carbon_gco2": f"route_distance_km * {vehicle_factor!r}D"}
+def carrier_table(spark) -> DataFrame:
+    """The ten carriers with their partner, vehicle and vehicle factor (fixed, broadcast)."""
+    veh = dict(dims.PARTNER_VEHICLE)
+    part = dict(dims.CARRIER_PARTNER)
+    fac = dict(dims.VEHICLE_GCO2_PER_KM)
+    rows = []
+    for seq, c in enumerate(dims.CARRIERS):
+        partner = part.get(c[0], DEFAULT_PARTNER)
+        vehicle = veh.get(partner, "van")
+        rows.append(c[:11] + (c[11], c[12], c[13], c[14], seq, partner, vehicle,
+                              fac.get(vehicle, dims.DEFAULT_VEHICLE_GCO2_PER_KM)))
+    schema = (dims.SCHEMAS["dim_carrier"].replace(", seq int", "")
+              + ", seq int, c_partner string, c_vehicle string, c_vfac double")
+    return F.broadcast(dims.local_table(spark, rows, schema))
 
 
-N_CARRIERS = len(dims.CARRIERS)
+def baseline_predictor(partners: list[str]) -> dict[str, Column]:
+    """Historical baseline: cost = 100 + 3 km + 5 kg; on-time = 100 x (1 - delay rate of the partner
+    under the route weather); carbon = km x vehicle factor."""
+    d, w = F.col("route_distance_km"), F.col("route_weight_kg")
+    rate = F.coalesce(*[F.when(F.col("c_partner") == p, F.col("route_rate_" + _pcol(p))) for p in partners])
+    return {"predicted_cost": (100 + 3 * d) + 5 * w,
+            "predicted_on_time_pct": 100 * (1 - rate),
+            "predicted_carbon_gco2": d * F.col("c_vfac")}
 
 
-def _d(x: float) -> str:
-    return f"{float(x)!r}D"
+OPTION_FIELDS = ["cost_inr", "seq", "rank", "carrier_code", "carrier_name", "carrier_type", "estimated_on_time_pct",
+                 "on_time_low", "on_time_high", "carbon_kg", "has_cold_chain", "has_ev_fleet", "is_express",
+                 "delivery_partner", "vehicle_type", "predicted_cost", "predicted_on_time_pct",
+                 "predicted_carbon_gco2", "transport_carbon_gco2", "ai_carbon_gco2", "total_carbon_gco2", "meets_sla"]
 
 
-def _s(x: str) -> str:
-    return "'" + x.replace("'", "\\'") + "'"
+def option_rows(spark, requests: DataFrame, min_on_time_col: str = "threshold_pct", rural_col: str | None = None,
+                partners: list[str] | None = None, keep_unmatched: bool = False) -> DataFrame:
+    """One row per (request, eligible carrier): quote, rank and evaluation.
 
+    The carrier table is ten fixed rows, broadcast; eligibility (weight <= carrier max, cold chain
+    available when required, origin region covered, avg - variance >= min on-time - 10) is the
+    join condition.  Rank (cost, then carrier order) and the option count are windows on the
+    request key.  With ``keep_unmatched`` requests without any carrier keep one row with nulls.
+    """
+    partners = partners or CARRIER_PARTNERS
+    c = carrier_table(spark)
+    d, w = F.col("route_distance_km"), F.col("route_weight_kg")
+    cold, express = F.col("requires_cold_chain"), F.col("is_express")
+    cond = ((w <= F.col("max_weight_kg")) & (~cold | F.col("has_cold_chain"))
+            & F.array_contains(F.col("coverage_regions"), F.col("origin_region"))
+            & ((F.col("avg_on_time_pct") - F.col("on_time_variance")) >= (F.col(min_on_time_col) - 5) - 5))
+    j = requests.join(c, cond, "left" if keep_unmatched else "inner")
+    base = d * w * F.col("base_rate_per_kg_km")
+    base = F.when(express, base * F.col("express_multiplier")).otherwise(base)
+    base = F.when(cold, base * F.col("carrier_cold_multiplier")).otherwise(base)
+    ot = F.col("avg_on_time_pct")
+    ot = F.when(F.col("is_metro_to_metro"), ot + F.col("metro_to_metro_bonus")).otherwise(ot)
+    if rural_col is not None:
+        ot = F.when(F.col(rural_col), ot - F.col("rural_penalty")).otherwise(ot)
+    ot = clamp(ot - _weather_penalty(F.col("quote_weather")), 50.0, 99.9)
+    half = F.col("on_time_variance") / 2
+    carbon_kg = (d * F.col("carbon_gco2_per_km")) / 1000
+    carbon_kg = F.when(cold, carbon_kg * QUOTE_COLD_CARBON_FACTOR).otherwise(carbon_kg)
+    pred = baseline_predictor(partners)
+    transport = d * F.col("c_vfac") * F.col("cold_chain_multiplier")
+    cost = round_half_up(F.greatest(base, F.lit(MIN_QUOTE_COST)), 2)
+    matched = F.col("code").isNotNull()
+    q = j.withColumns({
+        "cost_inr": F.when(matched, cost), "carrier_code": F.col("code"), "carrier_name": F.col("name"),
+        "carrier_type": F.col("type"),
+        "estimated_on_time_pct": round_half_up(ot, 1),
+        "on_time_low": round_half_up(clamp(ot - half, 50.0, 99.9), 1),
+        "on_time_high": round_half_up(clamp(ot + half, 50.0, 99.9), 1),
+        "carbon_kg": round_half_up(carbon_kg, 2),
+        "delivery_partner_opt": F.col("c_partner"), "vehicle_type_opt": F.col("c_vehicle"),
+        "predicted_cost": F.when(matched, pred["predicted_cost"]),
+        "predicted_on_time_pct": pred["predicted_on_time_pct"],
+        "predicted_carbon_gco2": pred["predicted_carbon_gco2"],
+        "transport_carbon_gco2": transport,
+        "meets_sla": pred["predicted_on_time_pct"] >= F.col("threshold_pct"),
+    })
+    by_req = Window.partitionBy("shipment_id")
+    n = F.count("code").over(by_req)
+    ai = F.when(n > 0, ((F.lit(dims.dict_value(dims.MODEL_ENERGY_WH, "gradient-boosting")) * (n * 3)) / 1000
+                        * F.lit(dims.dict_value(dims.GRID_GCO2_PER_KWH, "india"))) / n)
+    q = q.withColumns({
+        "rank": F.when(matched, F.row_number().over(by_req.orderBy(F.col("cost_inr").asc_nulls_last(), "seq"))),
+        "num_options": n.cast("int"), "ai_carbon_gco2": ai})
+    q = q.withColumn("total_carbon_gco2", F.col("transport_carbon_gco2") + F.col("ai_carbon_gco2"))
+    carrier_cols = [x for x in c.columns if x not in ("has_cold_chain", "has_ev_fleet", "seq")]
+    return q.drop(*carrier_cols)
 
-def with_options(df: DataFrame, min_on_time_col: str = "threshold_pct", rural_col: str = "false",
-                 predictor=baseline_predictor) -> DataFrame:
-    """Add one struct column per carrier (``_c0`` .. ``_c9``, null when not eligible) and ``options``.
 
-    Eligibility: weight <= carrier max, cold chain available when required, origin region covered,
-    and worst-case on-time (avg - variance) >= min_on_time - 10 (the sourcing step lowers the SLA
-    by 5 and the carrier filter by another 5).  The ten carriers are fixed, so each quote is an
-    unrolled, code-generated expression with the carrier's constants folded in, and the quote
-    rank (cost, then carrier order) is a count of cheaper eligible carriers -- no sort, no
-    higher-order function.  The expressions are generated as SQL text (one JVM call each).
-    Needs the columns of ``prepare_requests``, the policy columns and the ``route_rate_<partner>``
-    columns of ``attach_rates``.
-    """
-    veh = dict(dims.PARTNER_VEHICLE)
-    part = dict(dims.CARRIER_PARTNER)
-    fac = dict(dims.VEHICLE_GCO2_PER_KM)
-    pen_sql = ("CASE quote_weather " + " ".join(f"WHEN {_s(w)} THEN {_d(p)}" for w, p in dims.WEATHER_PENALTY)
-               + f" ELSE {_d(0)} END")
-
-    stage1 = {}
-    for i, c in enumerate(dims.CARRIERS):
-        (code, name, ctype, avg, var, rate, expm, coldm, has_cold, has_ev, maxw, regions, gco2, bonus, pen) = c
-        base = f"route_distance_km * route_weight_kg * {_d(rate)}"
-        base = f"(CASE WHEN is_express THEN {base} * {_d(expm)} ELSE {base} END)"
-        base = f"(CASE WHEN requires_cold_chain THEN {base} * {_d(coldm)} ELSE {base} END)"
-        regs = ", ".join(_s(r) for r in regions)
-        stage1[f"_e{i}"] = (f"coalesce(route_weight_kg <= {_d(maxw)} AND (NOT requires_cold_chain OR {str(has_cold).lower()})"
-                            f" AND origin_region IN ({regs}) AND {_d(avg - var)} >= ({min_on_time_col} - 5) - 5, false)")
-        stage1[f"_p{i}"] = f"floor(greatest({base}, {_d(MIN_QUOTE_COST)}) * 100.0D + 0.5D) / 100.0D"
-        ot = f"(CASE WHEN is_metro_to_metro THEN {_d(avg)} + {_d(bonus)} ELSE {_d(avg)} END)"
-        ot = f"(CASE WHEN {rural_col} THEN {ot} - {_d(pen)} ELSE {ot} END)"
-        stage1[f"_o{i}"] = f"least(greatest({ot} - {pen_sql}, 50.0D), 99.9D)"
-    staged = df.withColumns({k: F.expr(v) for k, v in stage1.items()})
-    n_sql = " + ".join(f"CAST(_e{i} AS INT)" for i in range(N_CARRIERS))
-    ai_sql = (f"CASE WHEN num_options > 0 THEN (({_d(dims.dict_value(dims.MODEL_ENERGY_WH, 'gradient-boosting'))}"
-              f" * (num_options * 3)) / 1000 * {_d(dims.dict_value(dims.GRID_GCO2_PER_KWH, 'india'))}) / num_options END")
-    staged = staged.withColumn("num_options", F.expr(n_sql)).withColumn("_ai_per_route", F.expr(ai_sql))
-
-    structs = {}
-    for i, c in enumerate(dims.CARRIERS):
-        (code, name, ctype, avg, var, rate, expm, coldm, has_cold, has_ev, maxw, regions, gco2, bonus, pen) = c
-        partner = part.get(code, DEFAULT_PARTNER)
-        vehicle = veh.get(partner, "van")
-        vfac = fac.get(vehicle, dims.DEFAULT_VEHICLE_GCO2_PER_KM)
-        cheaper = " + ".join(f"CAST(_e{j} AND (_p{j} < _p{i} OR (_p{j} = _p{i} AND {str(j < i).lower()})) AS INT)"
-                             for j in range(N_CARRIERS) if j != i)
-        carbon_kg = f"(route_distance_km * {_d(gco2)}) / 1000"
-        carbon_kg = f"(CASE WHEN requires_cold_chain THEN {carbon_kg} * {_d(QUOTE_COLD_CARBON_FACTOR)} ELSE {carbon_kg} END)"
-        pred = predictor(partner, vfac)
-        transport = f"route_distance_km * {_d(vfac)} * cold_chain_multiplier"
-        fields = [
-            ("cost_inr", f"_p{i}"), ("seq", str(i)), ("rank", f"1 + {cheaper}"),
-            ("carrier_code", _s(code)), ("carrier_name", _s(name)), ("carrier_type", _s(ctype)),
-            ("estimated_on_time_pct", f"floor(_o{i} * 10.0D + 0.5D) / 10.0D"),
-            ("on_time_low", f"floor(least(greatest(_o{i} - {_d(var / 2)}, 50.0D), 99.9D) * 10.0D + 0.5D) / 10.0D"),
-            ("on_time_high", f"floor(least(greatest(_o{i} + {_d(var / 2)}, 50.0D), 99.9D) * 10.0D + 0.5D) / 10.0D"),
-            ("carbon_kg", f"floor({carbon_kg} * 100.0D + 0.5D) / 100.0D"),
-            ("has_cold_chain", str(has_cold).lower()), ("has_ev_fleet", str(has_ev).lower()),
-            ("is_express", "is_express"), ("delivery_partner", _s(partner)), ("vehicle_type", _s(vehicle)),
-            ("predicted_cost", pred["predicted_cost"]), ("predicted_on_time_pct", pred["predicted_on_time_pct"]),
-            ("predicted_carbon_gco2", pred["predicted_carbon_gco2"]),
-            ("transport_carbon_gco2", transport), ("ai_carbon_gco2", "_ai_per_route"),
-            ("total_carbon_gco2", f"{transport} + _ai_per_route"),
-            ("meets_sla", f"({pred['predicted_on_time_pct']}) >= threshold_pct"),
-        ]
-        body = ", ".join(f"{_s(k)}, {v}" for k, v in fields)
-        structs[f"_c{i}"] = F.expr(f"CASE WHEN _e{i} THEN named_struct({body}) END")
-    tmp = [f"_{k}{i}" for k in "epo" for i in range(N_CARRIERS)] + ["_ai_per_route"]
-    out = staged.withColumns(structs).drop(*tmp)
-    return out.withColumn("options", F.expr("array_compact(array(" + ", ".join(f"_c{i}" for i in range(N_CARRIERS)) + "))"))
-
-
-def option_columns() -> list[Column]:
-    """The per-carrier option structs added by ``with_options`` (null when not eligible)."""
-    return [F.col(f"_c{i}") for i in range(N_CARRIERS)]
-
-
-def explode_options(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per option (``keep`` request columns + the option struct's fields)."""
-    return df.select(*keep, F.explode("options").alias("o")).select(*keep, "o.*")
+def option_struct() -> Column:
+    """The option columns of ``option_rows`` packed in one struct (null for an unmatched request)."""
+    names = {"delivery_partner": "delivery_partner_opt", "vehicle_type": "vehicle_type_opt"}
+    return F.when(F.col("carrier_code").isNotNull(),
+                  F.struct(*[F.col(names.get(f, f)).alias(f) for f in OPTION_FIELDS]))
 
 
 def carrier_options(spark, shipments: DataFrame, deliveries: DataFrame, rates: dict | None = None,
                     weather_obs_latest: DataFrame | None = None) -> DataFrame:
-    """Requests with risk, the SLA actually quoted, and evaluated options (one row per shipment)."""
+    """Requests with risk, the SLA actually quoted and the attached delay-rate columns
+    (one row per request); ``option_rows`` / ``choice.decide`` take it from here."""
     from cargolens.session import ensure_parallelism
 
     rates = rates or history_rates(deliveries)
@@ -336,6 +333,11 @@ def carrier_options(spark, shipments: DataFrame, deliveries: DataFrame, rates: d
     r = r.withColumn("min_on_time_pct", min_on_time)
     # Predictions use the route's weather (request weather or 'clear'), not the risk weather.
     r = attach_rates(r, rates, "route_weather", "route_rate_")
-    r = with_options(r, "min_on_time_pct")
-    rate_cols = [c for c in r.columns if c.startswith("risk_rate_") or c.startswith("route_rate_")]
-    return drop_rates(r, rates).drop(*rate_cols)
+    risk_cols = [c for c in r.columns if c.startswith("risk_rate_")]
+    return drop_rates(r, rates).drop(*risk_cols)
+
+
+def explode_options(spark, requests: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per eligible option: ``keep`` request columns plus the option fields."""
+    o = option_rows(spark, requests, "min_on_time_pct")
+    return o.select(*keep, option_struct().alias("o")).select(*keep, "o.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.functions.exprs import r6
+from cargolens.functions.exprs import r6, round_half_up
 from cargolens.operators import choice, quotes
 
 
@@ -26,7 +26,7 @@ def flagship_requests(shipments: DataFrame) -> DataFrame:
 def decided_requests(spark, requests: DataFrame, deliveries: DataFrame, rates=None,
                      weather_obs_latest: DataFrame | None = None) -> DataFrame:
     r = quotes.carrier_options(spark, requests, deliveries, rates, weather_obs_latest)
-    return choice.decide(r)
+    return choice.decide(spark, r)
 
 
 def integrated_recommendation(spark, requests: DataFrame, deliveries: DataFrame, rates=None,
@@ -56,7 +56,7 @@ def integrated_recommendation(spark, requests: DataFrame, deliveries: DataFrame,
         F.array_join("warnings", "; ").alias("warnings"),
         "recommended_buffer_days",
         "greenest_viable",
-        F.when(has, F.round(bench, 2)).alias("industry_benchmark"),
+        F.when(has, round_half_up(bench, 2)).alias("industry_benchmark"),
         F.when(has & (bench > 0), F.when(b["predicted_cost"] < bench, "Below benchmark")
                .otherwise("Above benchmark")).alias("efficiency"),
         F.when(has & (bench > 0), F.format_string("%.1f%% %s benchmark", pct1,

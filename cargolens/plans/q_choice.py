@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from cargolens.functions.exprs import casp, r6
+from cargolens.functions.exprs import casp, r6, round_half_up
 from cargolens.operators import carbon, choice, quotes, vendors
 from cargolens.plans import pipelines
 from cargolens.plans.catalog import query
@@ -169,12 +169,13 @@ SELECT * EXCLUDE (pick) FROM (
   SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY predicted_on_time_pct, rank) AS pick
   FROM opt_eval) x WHERE pick = 1""")
 register("opt_green", """
-SELECT * EXCLUDE (pick) FROM (
+SELECT * EXCLUDE (pick, any_meets) FROM (
   SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY
-    CASE WHEN bool_or(meets_sla) OVER (PARTITION BY shipment_id) THEN NOT meets_sla ELSE false END,
-    predicted_carbon_gco2, rank) AS pick FROM opt_eval) x WHERE pick = 1""")
+    CASE WHEN any_meets THEN NOT meets_sla ELSE false END, predicted_carbon_gco2, rank) AS pick
+  FROM (SELECT *, bool_or(meets_sla) OVER (PARTITION BY shipment_id) AS any_meets FROM opt_eval) y) x
+WHERE pick = 1""")
 register("opt_bench", """
-SELECT shipment_id, avg(cost_inr) FILTER (WHERE cost_inr > 0) AS bench FROM opt_eval GROUP BY shipment_id""")
+SELECT shipment_id, avg(round(cost_inr * 100)) FILTER (WHERE cost_inr > 0) / 100 AS bench FROM opt_eval GROUP BY shipment_id""")
 
 
 def _requests(spark, sf):
@@ -190,11 +191,11 @@ def _options(spark, sf):
 
 
 def _decided(spark, sf):
-    return choice.decide(_options(spark, sf))
+    return choice.decide(spark, _options(spark, sf))
 
 
 def _exploded(spark, sf, keep=("shipment_id",)):
-    return quotes.explode_options(_options(spark, sf), list(keep))
+    return quotes.explode_options(spark, _options(spark, sf), list(keep))
 
 
 @query("normalize_shipments", """
@@ -324,7 +325,7 @@ def q_sla_filter(spark, sf):
 SELECT r.shipment_id, r.pkg AS package_type, r.origin, r.destination, r.route_weight_kg, r.origin_region
 FROM req_quote r ANTI JOIN opt_quotes q USING (shipment_id)""")
 def q_shipments_without_options(spark, sf):
-    o = _options(spark, sf)
+    o = _decided(spark, sf)
     return o.where(F.col("num_options") == 0).select("shipment_id", F.col("pkg").alias("package_type"), "origin",
                                                    "destination", "route_weight_kg", "origin_region")
 
@@ -400,14 +401,14 @@ def q_constraint_warning(spark, sf):
 
 
 @query("cost_vs_benchmark", """
-SELECT b.shipment_id, round(bb.bench, 2) AS industry_benchmark, round(b.predicted_cost, 6) AS cost,
+SELECT b.shipment_id, floor(bb.bench * 100 + 0.5) / 100 AS industry_benchmark, round(b.predicted_cost, 6) AS cost,
   round((bb.bench - b.predicted_cost) / bb.bench * 100, 6) AS benchmark_pct,
   CASE WHEN b.predicted_cost < bb.bench THEN 'Below benchmark' ELSE 'Above benchmark' END AS efficiency
 FROM opt_best b JOIN opt_bench bb USING (shipment_id) WHERE bb.bench > 0""")
 def q_cost_vs_benchmark(spark, sf):
     d = _decided(spark, sf).where(F.col("industry_benchmark_raw") > 0)
     bench, cost = F.col("industry_benchmark_raw"), F.col("best")["predicted_cost"]
-    return d.select("shipment_id", F.round(bench, 2).alias("industry_benchmark"), r6(cost).alias("cost"),
+    return d.select("shipment_id", round_half_up(bench, 2).alias("industry_benchmark"), r6(cost).alias("cost"),
                     r6("benchmark_pct").alias("benchmark_pct"),
                     F.when(cost < bench, "Below benchmark").otherwise("Above benchmark").alias("efficiency"))
 
@@ -433,7 +434,7 @@ SELECT shipment_id, num_routes, num_routes * 3 AS ml_inferences,
   round(({_ML_WH} * (num_routes * 3)) / 1000 * 708.0::DOUBLE + {_LLM_G}, 12) AS total_ai_carbon_gco2
 FROM (SELECT shipment_id, CAST(count(*) AS INTEGER) AS num_routes FROM opt_quotes GROUP BY shipment_id) x""")
 def q_optimization_ai_carbon(spark, sf):
-    o = _options(spark, sf).where(F.col("num_options") > 0).select("shipment_id", F.col("num_options").alias("num_routes"))
+    o = _decided(spark, sf).where(F.col("num_options") > 0).select("shipment_id", F.col("num_options").alias("num_routes"))
     r = carbon.optimization_ai_carbon(spark, o)
     return r.select("shipment_id", "num_routes", "ml_inferences",
                     *[F.round(c, 12).alias(c) for c in ("ml_carbon_gco2", "llm_carbon_gco2", "total_ai_carbon_gco2")])
@@ -457,7 +458,7 @@ FROM t""")
 def q_ai_carbon_roi(spark, sf):
     d = _decided(spark, sf).where(F.col("num_options") > 0)
     n = F.col("num_options")
-    w0 = sum((F.coalesce(o["transport_carbon_gco2"], F.lit(0.0)) for o in quotes.option_columns()), F.lit(0.0)) / n
+    w0 = F.col("mean_option_transport_gco2")
     w1 = F.col("best")["transport_carbon_gco2"]
     ai = (F.lit(1e-5) * (n * 3)) / 1000 * F.lit(708.0)
     c = carbon.ai_carbon_roi(w0, w1, ai)
@@ -485,7 +486,7 @@ SELECT r.shipment_id, r.pkg AS package_type, r.origin, r.destination, round(r.ro
   r.risk_level, round(r.risk_score, 6) AS risk_score, r.risk_factors_text AS risk_factors, r.warnings_text AS warnings,
   r.recommended_buffer_days,
   g.carrier_name AS greenest_viable,
-  round(bb.bench, 2) AS industry_benchmark,
+  floor(bb.bench * 100 + 0.5) / 100 AS industry_benchmark,
   CASE WHEN bb.bench > 0 THEN CASE WHEN b.predicted_cost < bb.bench THEN 'Below benchmark' ELSE 'Above benchmark' END END AS efficiency,
   CASE WHEN bb.bench > 0 THEN printf('%.1f%% %s benchmark', round((bb.bench - b.predicted_cost) / bb.bench * 100, 1),
        CASE WHEN (bb.bench - b.predicted_cost) / bb.bench * 100 > 0 THEN 'below' ELSE 'above' END) END AS efficiency_percentage,
@@ -493,7 +494,7 @@ SELECT r.shipment_id, r.pkg AS package_type, r.origin, r.destination, round(r.ro
 FROM req_quote r
 LEFT JOIN opt_best b USING (shipment_id)
 LEFT JOIN opt_green g USING (shipment_id)
-LEFT JOIN (SELECT shipment_id, avg(cost_inr) FILTER (WHERE cost_inr > 0) AS bench, count(*) AS n
+LEFT JOIN (SELECT shipment_id, avg(round(cost_inr * 100)) FILTER (WHERE cost_inr > 0) / 100 AS bench, count(*) AS n
            FROM opt_eval GROUP BY shipment_id) bb USING (shipment_id)"""
 
 

@@ -125,7 +125,7 @@ def q_defaults_by_package(spark, sf):
                                           "distance_km", "package_weight_kg", "delivery_rating"))
 
 
-def _top_share_sql(col: str, threshold: float, prefix: str) -> str:
+def _top_share_sql(col: str, threshold: float, prefix: str, keys: str = "pkg_keys") -> str:
     return f"""
 (SELECT k.package_type,
    round(coalesce(t.top_count, g.g_top) / coalesce(t.n, g.g_n) * 100, 2) AS {prefix}_value_pct,
@@ -135,7 +135,7 @@ def _top_share_sql(col: str, threshold: float, prefix: str) -> str:
    CASE WHEN coalesce(t.top_count, g.g_top) * 100 > coalesce(t.n, g.g_n) * {threshold}
         THEN least(greatest((coalesce(t.top_count, g.g_top) / coalesce(t.n, g.g_n) * 100 - {threshold})
                             / (100 - {threshold}), 0.0::DOUBLE), 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS {prefix}_amp_raw
- FROM pkg_keys k
+ FROM {keys} k
  LEFT JOIN (SELECT package_type, sum(c) AS n, max(c) AS top_count,
               first({col} ORDER BY c DESC, {col}) AS top_value
             FROM (SELECT lower(package_type) AS package_type, {col}, count(*) AS c FROM deliveries GROUP BY ALL) x
@@ -168,9 +168,10 @@ SELECT package_type, is_fragile, cold_chain_multiplier, tier_name AS tier,
        WHEN cold_chain_multiplier > 1.0 THEN 'Cold chain present' ELSE 'Ambient only' END AS reason,
   CASE WHEN is_fragile THEN 0.5 WHEN cold_chain_multiplier > 1.0 THEN 0.2 ELSE 0.0 END::DOUBLE AS cold_amp_raw,
   round(CASE WHEN is_fragile THEN 0.5 WHEN cold_chain_multiplier > 1.0 THEN 0.2 ELSE 0.0 END::DOUBLE, 3) AS cold_amplification_risk
-FROM (SELECT k.package_type, p.cold_chain_multiplier, p.tier_name,
-        p.cold_chain_multiplier > 1.0 AND p.stakes IN ('critical', 'high_value') AS is_fragile
-      FROM pkg_keys k JOIN dim_policy p USING (package_type)) x
+FROM (SELECT k.package_type, coalesce(p.cold_chain_multiplier, 1.0::DOUBLE) AS cold_chain_multiplier,
+        coalesce(p.tier_name, 'HIGH_VALUE') AS tier_name,
+        coalesce(p.cold_chain_multiplier, 1.0::DOUBLE) > 1.0 AND coalesce(p.stakes, 'high_value') IN ('critical', 'high_value') AS is_fragile
+      FROM pkg_keys k LEFT JOIN dim_policy p USING (package_type)) x
 """)
 register("ew_indicators", """
 SELECT s.package_type, s.supplier_value_pct, s.supplier_threshold_pct, s.supplier_exceeds, s.supplier_dominant,
