@@ -1 +1,230 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: MLlib fits (rows-only checks) and evaluation tables on the baseline predictor (SQL)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cargolens.functions.exprs import late_flag, r6
+from cargolens.operators import ml, vendors
+from cargolens.plans.catalog import query
+from cargolens.plans.sqlkit import register
+from cargolens.sources import views
+
+SPLIT_SQL = "((delivery_id % 1000003) * 7919 + 13) % 100"
+# Iterations used by the registered queries (the library default is 100 trees).
+QUERY_TREES = 20
+
+
+def _labeled(spark, sf):
+    return ml.with_labels(views.deliveries(spark, sf, ["delivery_id", "delayed", "delivery_cost", *ml.FEATURES]))
+
+
+@query("train_test_split", f"SELECT delivery_id, {SPLIT_SQL} < 20 AS is_test FROM deliveries")
+def q_train_test_split(spark, sf):
+    d = views.deliveries(spark, sf, ["delivery_id"])
+    return ml.train_test_split(d).select("delivery_id", "is_test")
+
+
+@query("feature_pipeline")
+def q_feature_pipeline(spark, sf):
+    from pyspark.ml import Pipeline
+    d = _labeled(spark, sf)
+    model = Pipeline(stages=ml.feature_pipeline()).fit(d)
+    return model.transform(d).select("delivery_id", ml.to_array("features").alias("features"))
+
+
+@query("gbt_regressors")
+def q_gbt_regressors(spark, sf):
+    d = ml.train_test_split(_labeled(spark, sf))
+    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    out = test.select("delivery_id", *ml.FEATURES, "delivery_cost", "carbon_gco2", "on_time_pct")
+    for label in ("delivery_cost", "carbon_gco2", "on_time_pct"):
+        m = ml.fit_regressor(train, label, QUERY_TREES)
+        out = m.transform(out).select(*out.columns, "pred_" + label)
+    return out.select("delivery_id", "pred_delivery_cost", "pred_carbon_gco2", "pred_on_time_pct")
+
+
+@query("gbt_delay_classifier")
+def q_gbt_delay_classifier(spark, sf):
+    d = ml.train_test_split(_labeled(spark, sf), stratify="is_delayed")
+    m = ml.fit_classifier(d.where(~F.col("is_test")), QUERY_TREES)
+    p = m.transform(d.where(F.col("is_test")))
+    return p.select("delivery_id", "is_delayed", ml.to_array("probability")[1].alias("delay_probability"),
+                    F.col("prediction").alias("predicted"))
+
+
+@query("top_k_importance")
+def q_top_k_importance(spark, sf):
+    d = ml.train_test_split(_labeled(spark, sf), stratify="is_delayed")
+    m = ml.fit_classifier(d.where(~F.col("is_test")), QUERY_TREES)
+    feats = m.transform(d.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
+    names = {a["idx"]: a["name"] for group in feats.values() for a in group}
+    imp = m.stages[-1].featureImportances.toArray()
+    rows = [(names.get(i, str(i)).replace("num_scaled_", "").replace("_oh_", "_")[:25], float(v))
+            for i, v in enumerate(imp)]
+    from cargolens.sources import dims
+    t = dims.local_table(spark, rows, "feature string, importance double")
+    return t.orderBy(F.col("importance").desc(), F.col("feature")).limit(10)
+
+
+register("imp_fill", f"""
+SELECT avg(distance_km) AS d, avg(package_weight_kg) AS w FROM deliveries WHERE NOT ({SPLIT_SQL} < 20)""")
+
+
+@query("impute_and_score", """
+SELECT s.shipment_id, round(coalesce(s.distance_km, f.d), 6) AS distance_km,
+  round(coalesce(s.package_weight_kg, f.w), 6) AS package_weight_kg FROM shipments s CROSS JOIN imp_fill f""")
+def q_impute_and_score(spark, sf):
+    train = ml.train_test_split(views.deliveries(spark, sf, ["delivery_id", "distance_km", "package_weight_kg"]))
+    fill = F.broadcast(train.where(~F.col("is_test")).agg(F.avg("distance_km").alias("d"),
+                                                          F.avg("package_weight_kg").alias("w")))
+    s = views.shipments(spark, sf, ["shipment_id", "distance_km", "package_weight_kg"])
+    return s.crossJoin(fill).select("shipment_id", r6(F.coalesce("distance_km", "d")).alias("distance_km"),
+                                    r6(F.coalesce("package_weight_kg", "w")).alias("package_weight_kg"))
+
+
+def _partner_stats(spark, sf):
+    return vendors.vendor_stats(views.deliveries(spark, sf, ["delivery_partner", "delivery_cost", "distance_km",
+                                                             "delayed", "delivery_rating"]))
+
+
+@query("vendor_kmeans")
+def q_vendor_kmeans(spark, sf):
+    out, _ = ml.vendor_kmeans(_partner_stats(spark, sf), k=4)
+    return out.select("delivery_partner", "cluster")
+
+
+@query("vendor_kmeans_by_vendor_id")
+def q_vendor_kmeans_by_vendor_id(spark, sf):
+    stats = vendors.vendor_stats(views.deliveries(spark, sf, ["vendor_id", "delivery_cost", "distance_km", "delayed",
+                                                              "delivery_rating"]), key="vendor_id")
+    out, _ = ml.vendor_kmeans(stats, k=4, seeds=3, key="vendor_id")
+    return out.select("vendor_id", "cluster")
+
+
+@query("vendor_silhouette")
+def q_vendor_silhouette(spark, sf):
+    out, _ = ml.vendor_kmeans(_partner_stats(spark, sf), k=4)
+    from cargolens.sources import dims
+    return dims.local_table(spark, [(float(ml.silhouette(out)),)], "silhouette double")
+
+
+@query("cross_validation")
+def q_cross_validation(spark, sf):
+    """5 folds by id bucket; cost regressor R^2 and MAE per fold (small tree count), then mean / population std."""
+    d = _labeled(spark, sf).withColumn("fold", ml.split_bucket() % 5)
+    per = []
+    for k in range(5):
+        m = ml.fit_regressor(d.where(F.col("fold") != k), "delivery_cost", 5)
+        p = m.transform(d.where(F.col("fold") == k))
+        mean = F.avg("delivery_cost").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())
+        r = p.select(F.lit(k).alias("fold"), F.abs(F.col("delivery_cost") - F.col("pred_delivery_cost")).alias("ae"),
+                     ((F.col("delivery_cost") - F.col("pred_delivery_cost")) ** 2).alias("se"),
+                     ((F.col("delivery_cost") - mean) ** 2).alias("st"))
+        per.append(r.groupBy("fold").agg((1 - F.sum("se") / F.sum("st")).alias("r2"), F.avg("ae").alias("mae")))
+    folds = per[0]
+    for x in per[1:]:
+        folds = folds.unionByName(x)
+    return folds.agg(F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"),
+                     F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"))
+
+
+LATE = "CASE WHEN delayed = 'yes' THEN 1 ELSE 0 END"
+register("base_pred", f"""
+SELECT d.delivery_id, CASE WHEN d.delayed = 'yes' THEN 1 ELSE 0 END AS actual,
+  CASE WHEN 2 * h.late >= h.n THEN 1 ELSE 0 END AS predicted
+FROM deliveries d JOIN hist_rates h USING (delivery_partner, weather_condition)
+WHERE {SPLIT_SQL} < 20""")
+register("confusion_long", """
+SELECT CASE WHEN c.a = 1 THEN 'Delayed' ELSE 'On-Time' END AS actual,
+       CASE WHEN c.p = 1 THEN 'Delayed' ELSE 'On-Time' END AS predicted,
+       CAST(coalesce(x.n, 0) AS BIGINT) AS count
+FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, p)
+LEFT JOIN (SELECT actual AS a, predicted AS p, count(*) AS n FROM base_pred GROUP BY ALL) x USING (a, p)""")
+
+
+def _baseline_pred(spark, sf):
+    d = views.deliveries(spark, sf, ["delivery_id", "delivery_partner", "weather_condition", "delayed"])
+    h = d.groupBy("delivery_partner", "weather_condition").agg(F.count(F.lit(1)).alias("n"),
+                                                               F.sum(late_flag()).alias("late"))
+    t = ml.train_test_split(d).where(F.col("is_test"))
+    j = t.join(F.broadcast(h), ["delivery_partner", "weather_condition"])
+    return j.select("delivery_id", late_flag().alias("actual"),
+                    F.when(2 * F.col("late") >= F.col("n"), 1).otherwise(0).alias("predicted"))
+
+
+@query("confusion_matrix", "SELECT * FROM confusion_long")
+def q_confusion_matrix(spark, sf):
+    return ml.confusion(_baseline_pred(spark, sf))
+
+
+@query("classification_report", """
+WITH c AS (SELECT sum(CASE WHEN actual = 'On-Time' AND predicted = 'On-Time' THEN count END) AS tn,
+                  sum(CASE WHEN actual = 'On-Time' AND predicted = 'Delayed' THEN count END) AS fp,
+                  sum(CASE WHEN actual = 'Delayed' AND predicted = 'On-Time' THEN count END) AS fn,
+                  sum(CASE WHEN actual = 'Delayed' AND predicted = 'Delayed' THEN count END) AS tp FROM confusion_long),
+     k AS (SELECT 'Delayed' AS label, tp AS hit, tp + fp AS npred, tp + fn AS support, tn + fp + fn + tp AS total FROM c
+           UNION ALL SELECT 'On-Time', tn, tn + fn, tn + fp, tn + fp + fn + tp FROM c),
+     m AS (SELECT label, CASE WHEN npred > 0 THEN hit / npred ELSE 0.0 END AS precision,
+             CASE WHEN support > 0 THEN hit / support ELSE 0.0 END AS recall, support, total FROM k),
+     f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+                 round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round((SELECT (tp + tn) / (tn + fp + fn + tp) FROM c), 6), CAST(sum(support) AS BIGINT) FROM f""")
+def q_classification_report(spark, sf):
+    c = ml.confusion(_baseline_pred(spark, sf))
+    cnt = lambda a, p: F.sum(F.when((F.col("actual") == a) & (F.col("predicted") == p), F.col("count")))
+    w = c.agg(cnt("On-Time", "On-Time").alias("tn"), cnt("On-Time", "Delayed").alias("fp"),
+              cnt("Delayed", "On-Time").alias("fn"), cnt("Delayed", "Delayed").alias("tp"))
+    k = w.select(F.expr("stack(2, 'Delayed', tp, tp + fp, tp + fn, 'On-Time', tn, tn + fn, tn + fp) AS (label, hit, npred, support)"),
+                 (F.col("tp") + F.col("tn")).alias("ok"), (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("total"))
+    m = k.select("label", "support", "ok", "total",
+                 F.when(F.col("npred") > 0, F.col("hit") / F.col("npred")).otherwise(0.0).alias("precision"),
+                 F.when(F.col("support") > 0, F.col("hit") / F.col("support")).otherwise(0.0).alias("recall"))
+    f = m.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
+                                  2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+                     .otherwise(0.0))
+    per = f.select("label", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"),
+                   F.col("support").cast("long").alias("support"))
+    s = F.sum("support")
+    macro = f.agg(F.lit("macro avg").alias("label"), r6(F.avg("precision")).alias("precision"),
+                  r6(F.avg("recall")).alias("recall"), r6(F.avg("f1")).alias("f1"), s.cast("long").alias("support"))
+    weighted = f.agg(F.lit("weighted avg").alias("label"), r6(F.sum(F.col("precision") * F.col("support")) / s).alias("precision"),
+                     r6(F.sum(F.col("recall") * F.col("support")) / s).alias("recall"),
+                     r6(F.sum(F.col("f1") * F.col("support")) / s).alias("f1"), s.cast("long").alias("support"))
+    acc = f.agg(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
+                F.lit(None).cast("double").alias("recall"), r6(F.first("ok") / F.first("total")).alias("f1"),
+                s.cast("long").alias("support"))
+    return per.unionByName(macro).unionByName(weighted).unionByName(acc)
+
+
+@query("regression_report", f"""
+WITH t AS (SELECT d.delivery_cost AS y, (100 + 3 * d.distance_km) + 5 * d.package_weight_kg AS p,
+             CASE WHEN d.delayed = 'no' THEN 100.0 ELSE 0.0 END::DOUBLE AS oy, 100 * (1 - h.late / h.n) AS op
+           FROM deliveries d JOIN hist_rates h USING (delivery_partner, weather_condition) WHERE {SPLIT_SQL} < 20)
+SELECT 'delivery_cost' AS target, round(1 - sum((y - p) * (y - p)) / sum((y - my) * (y - my)), 6) AS r2,
+       round(avg(abs(y - p)), 6) AS mae FROM t, (SELECT avg(y) AS my FROM t) m
+UNION ALL
+SELECT 'on_time_pct', round(1 - sum((oy - op) * (oy - op)) / sum((oy - mo) * (oy - mo)), 6), round(avg(abs(oy - op)), 6)
+FROM t, (SELECT avg(oy) AS mo FROM t) m""")
+def q_regression_report(spark, sf):
+    d = views.deliveries(spark, sf, ["delivery_id", "delivery_partner", "weather_condition", "delayed", "delivery_cost",
+                                     "distance_km", "package_weight_kg"])
+    h = d.groupBy("delivery_partner", "weather_condition").agg(F.count(F.lit(1)).alias("n"),
+                                                               F.sum(late_flag()).alias("late"))
+    t = ml.train_test_split(d).where(F.col("is_test")).join(F.broadcast(h), ["delivery_partner", "weather_condition"])
+    t = t.select((F.col("delivery_cost")).alias("y"),
+                 ((100 + 3 * F.col("distance_km")) + 5 * F.col("package_weight_kg")).alias("p"),
+                 F.when(F.col("delayed") == "no", 100.0).otherwise(0.0).alias("oy"),
+                 (100 * (1 - F.col("late") / F.col("n"))).alias("op"))
+    means = F.broadcast(t.agg(F.avg("y").alias("my"), F.avg("oy").alias("mo")))
+    j = t.crossJoin(means)
+    a = j.agg((1 - F.sum((F.col("y") - F.col("p")) * (F.col("y") - F.col("p")))
+               / F.sum((F.col("y") - F.col("my")) * (F.col("y") - F.col("my")))).alias("r2c"),
+              F.avg(F.abs(F.col("y") - F.col("p"))).alias("maec"),
+              (1 - F.sum((F.col("oy") - F.col("op")) * (F.col("oy") - F.col("op")))
+               / F.sum((F.col("oy") - F.col("mo")) * (F.col("oy") - F.col("mo")))).alias("r2o"),
+              F.avg(F.abs(F.col("oy") - F.col("op"))).alias("maeo"))
+    return a.select(F.expr("stack(2, 'delivery_cost', round(r2c, 6), round(maec, 6), 'on_time_pct', round(r2o, 6), round(maeo, 6)) AS (target, r2, mae)"))
