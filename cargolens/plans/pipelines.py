@@ -39,7 +39,7 @@ def integrated_recommendation(spark, requests: DataFrame, deliveries: DataFrame,
     b = F.col("best")
     has = F.col("num_options") > 0
     bench = F.col("industry_benchmark_raw")
-    pct1 = F.round(F.col("benchmark_pct"), 1)
+    pct1 = F.round(F.col("benchmark_pct"), 1) + F.lit(0.0)  # -0.0 prints as 0.0
     return d.select(
         "shipment_id", F.col("pkg").alias("package_type"), "origin", "destination",
         r6("route_distance_km").alias("distance_km"), "num_options",

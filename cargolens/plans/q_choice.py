@@ -479,7 +479,7 @@ SELECT r.shipment_id, r.pkg AS package_type, r.origin, r.destination, round(r.ro
   round(b.predicted_cost, 6) AS cost, round(b.predicted_on_time_pct, 6) AS on_time_probability,
   round(b.transport_carbon_gco2, 6) AS transport_carbon_gco2, round(b.total_carbon_gco2, 6) AS total_carbon_gco2,
   CASE WHEN b.shipment_id IS NOT NULL THEN {AI_SERVICE} END AS ai_carbon_gco2,
-  round(CASE WHEN b.total_carbon_gco2 > 0 THEN b.predicted_on_time_pct / b.total_carbon_gco2 ELSE 0.0 END * 1e6, 6) AS casp_e6,
+  CASE WHEN b.shipment_id IS NOT NULL THEN round(CASE WHEN b.total_carbon_gco2 > 0 THEN b.predicted_on_time_pct / b.total_carbon_gco2 ELSE 0.0 END * 1e6, 6) END AS casp_e6,
   b.meets_sla AS meets_constraint,
   CASE WHEN b.shipment_id IS NULL THEN NULL WHEN b.meets_sla THEN ''
        ELSE printf('On-time %.1f%% below threshold %.0f%%.', round(b.predicted_on_time_pct, 1), round(r.threshold_pct, 0)) END AS warning,
@@ -488,7 +488,7 @@ SELECT r.shipment_id, r.pkg AS package_type, r.origin, r.destination, round(r.ro
   g.carrier_name AS greenest_viable,
   floor(bb.bench * 100 + 0.5) / 100 AS industry_benchmark,
   CASE WHEN bb.bench > 0 THEN CASE WHEN b.predicted_cost < bb.bench THEN 'Below benchmark' ELSE 'Above benchmark' END END AS efficiency,
-  CASE WHEN bb.bench > 0 THEN printf('%.1f%% %s benchmark', round((bb.bench - b.predicted_cost) / bb.bench * 100, 1),
+  CASE WHEN bb.bench > 0 THEN printf('%.1f%% %s benchmark', round((bb.bench - b.predicted_cost) / bb.bench * 100, 1) + 0.0,
        CASE WHEN (bb.bench - b.predicted_cost) / bb.bench * 100 > 0 THEN 'below' ELSE 'above' END) END AS efficiency_percentage,
   CASE WHEN b.shipment_id IS NULL THEN 'No carrier options found for this shipment' END AS error
 FROM req_quote r
