@@ -10,7 +10,7 @@ from cargolens.sources import dims
 
 def r6(c: Column | str) -> Column:
     """Round computed doubles to 6 places so summation order cannot matter."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
 
 
 def late_flag(delayed: str = "delayed") -> Column:

@@ -52,7 +52,8 @@ def decide(spark, requests: DataFrame) -> DataFrame:
         F.min_by(opt, key_green).alias("_green"),
         # Mean of positive quotes, summed in whole paise so the result does not depend on order.
         (F.avg(F.when(F.col("cost_inr") > 0, F.round(F.col("cost_inr") * 100))) / 100).alias("industry_benchmark_raw"),
-        F.avg("transport_carbon_gco2").alias("mean_option_transport_gco2"),
+        # Mean in whole micrograms: exact integer sums, so the mean does not depend on order.
+        (F.avg(F.round(F.col("transport_carbon_gco2") * 1e6)) / 1e6).alias("mean_option_transport_gco2"),
         F.coalesce(F.max("num_options"), F.lit(0)).alias("num_options"))
     stakes = F.col("stakes")
     standard = stakes == "standard"

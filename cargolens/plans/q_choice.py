@@ -441,16 +441,17 @@ def q_optimization_ai_carbon(spark, sf):
 
 
 @query("ai_carbon_roi", """
-WITH base AS (SELECT shipment_id, avg(transport_carbon_gco2) AS without_ai, any_value(n_opts) AS n FROM opt_eval GROUP BY 1),
+WITH base AS (SELECT shipment_id, avg(round(transport_carbon_gco2 * 1e6)) / 1e6 AS without_ai, any_value(n_opts) AS n
+              FROM opt_eval GROUP BY 1),
      t AS (SELECT b.shipment_id, base.without_ai AS w0, b.transport_carbon_gco2 AS w1,
              ((1e-5 * (base.n * 3)) / 1000 * 708.0::DOUBLE) AS ai
            FROM opt_best b JOIN base USING (shipment_id))
 SELECT shipment_id, round(w0, 6) AS baseline_transport_gco2, round(w1, 6) AS optimized_transport_gco2,
-  round(w0 - w1, 6) AS transport_savings_gco2, round(ai, 12) AS ai_compute_carbon_gco2,
-  round(w0 - (w1 + ai), 6) AS net_carbon_savings_gco2,
-  round(CASE WHEN ai > 0 THEN (w0 - w1) / ai END, 3) AS carbon_roi,
+  round(w0 - w1, 6) + 0.0 AS transport_savings_gco2, round(ai, 12) AS ai_compute_carbon_gco2,
+  round(w0 - (w1 + ai), 6) + 0.0 AS net_carbon_savings_gco2,
+  round(CASE WHEN ai > 0 THEN (w0 - w1) / ai END, 3) + 0.0 AS carbon_roi,
   w0 - (w1 + ai) > 0 AS ai_worth_it,
-  round(CASE WHEN w0 > 0 THEN (w0 - (w1 + ai)) / w0 * 100 ELSE 0 END, 6) AS savings_percentage,
+  round(CASE WHEN w0 > 0 THEN (w0 - (w1 + ai)) / w0 * 100 ELSE 0 END, 6) + 0.0 AS savings_percentage,
   CASE WHEN w0 - (w1 + ai) < 0 THEN 'AI adds more carbon than it saves'
        WHEN (w0 - w1) / ai > 100 THEN 'Excellent ROI' WHEN (w0 - w1) / ai > 10 THEN 'Good ROI'
        WHEN (w0 - w1) / ai > 1 THEN 'Positive ROI' ELSE 'Marginal benefit' END AS interpretation
@@ -467,7 +468,7 @@ def q_ai_carbon_roi(spark, sf):
                     r6(c["transport_savings_gco2"]).alias("transport_savings_gco2"),
                     F.round(c["ai_compute_carbon_gco2"], 12).alias("ai_compute_carbon_gco2"),
                     r6(c["net_carbon_savings_gco2"]).alias("net_carbon_savings_gco2"),
-                    F.round(c["carbon_roi"], 3).alias("carbon_roi"), c["ai_worth_it"].alias("ai_worth_it"),
+                    (F.round(c["carbon_roi"], 3) + F.lit(0.0)).alias("carbon_roi"), c["ai_worth_it"].alias("ai_worth_it"),
                     r6(c["savings_percentage"]).alias("savings_percentage"),
                     c["interpretation"].alias("interpretation"))
 

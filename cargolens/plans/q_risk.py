@@ -166,7 +166,7 @@ WITH rel AS (SELECT delivery_partner, 1 - sum({LATE}) / count(*) AS reliability
              CASE WHEN pk.scope IS NOT NULL THEN pk.buffer_percentage ELSE st.buffer_percentage END AS buf,
              pk.scope IS NOT NULL OR st.scope IS NOT NULL AS has_rule
            FROM deliveries d LEFT JOIN dim_policy p ON lower(d.package_type) = p.package_type
-           LEFT JOIN rel USING (delivery_partner) LEFT JOIN ac USING (package_type)
+           LEFT JOIN rel ON rel.delivery_partner = d.delivery_partner LEFT JOIN ac ON ac.package_type = d.package_type
            LEFT JOIN dim_portfolio pk ON lower(d.package_type) = pk.scope
            LEFT JOIN dim_portfolio st ON coalesce(p.stakes, 'high_value') = st.scope)
 SELECT package_type, count(*) AS deliveries,
