@@ -446,9 +446,9 @@ WITH base AS (SELECT shipment_id, avg(round(transport_carbon_gco2 * 1e6)) / 1e6
      t AS (SELECT b.shipment_id, base.without_ai AS w0, b.transport_carbon_gco2 AS w1,
              ((1e-5 * (base.n * 3)) / 1000 * 708.0::DOUBLE) AS ai
            FROM opt_best b JOIN base USING (shipment_id))
-SELECT shipment_id, round(w0, 6) AS baseline_transport_gco2, round(w1, 6) AS optimized_transport_gco2,
-  round(w0 - w1, 6) + 0.0 AS transport_savings_gco2, round(ai, 12) AS ai_compute_carbon_gco2,
-  round(w0 - (w1 + ai), 6) + 0.0 AS net_carbon_savings_gco2,
+SELECT shipment_id, floor(w0 * 1e6 + 0.5) / 1e6 AS baseline_transport_gco2, floor(w1 * 1e6 + 0.5) / 1e6 AS optimized_transport_gco2,
+  floor((w0 - w1) * 1e6 + 0.5) / 1e6 + 0.0 AS transport_savings_gco2, round(ai, 12) AS ai_compute_carbon_gco2,
+  floor((w0 - (w1 + ai)) * 1e6 + 0.5) / 1e6 + 0.0 AS net_carbon_savings_gco2,
   round(CASE WHEN ai > 0 THEN (w0 - w1) / ai END, 3) + 0.0 AS carbon_roi,
   w0 - (w1 + ai) > 0 AS ai_worth_it,
   round(CASE WHEN w0 > 0 THEN (w0 - (w1 + ai)) / w0 * 100 ELSE 0 END, 6) + 0.0 AS savings_percentage,
@@ -463,11 +463,11 @@ def q_ai_carbon_roi(spark, sf):
     w1 = F.col("best")["transport_carbon_gco2"]
     ai = (F.lit(1e-5) * (n * 3)) / 1000 * F.lit(708.0)
     c = carbon.ai_carbon_roi(w0, w1, ai)
-    return d.select("shipment_id", r6(c["baseline_transport_gco2"]).alias("baseline_transport_gco2"),
-                    r6(c["optimized_transport_gco2"]).alias("optimized_transport_gco2"),
-                    r6(c["transport_savings_gco2"]).alias("transport_savings_gco2"),
+    return d.select("shipment_id", (round_half_up(c["baseline_transport_gco2"], 6) + F.lit(0.0)).alias("baseline_transport_gco2"),
+                    (round_half_up(c["optimized_transport_gco2"], 6) + F.lit(0.0)).alias("optimized_transport_gco2"),
+                    (round_half_up(c["transport_savings_gco2"], 6) + F.lit(0.0)).alias("transport_savings_gco2"),
                     F.round(c["ai_compute_carbon_gco2"], 12).alias("ai_compute_carbon_gco2"),
-                    r6(c["net_carbon_savings_gco2"]).alias("net_carbon_savings_gco2"),
+                    (round_half_up(c["net_carbon_savings_gco2"], 6) + F.lit(0.0)).alias("net_carbon_savings_gco2"),
                     (F.round(c["carbon_roi"], 3) + F.lit(0.0)).alias("carbon_roi"), c["ai_worth_it"].alias("ai_worth_it"),
                     r6(c["savings_percentage"]).alias("savings_percentage"),
                     c["interpretation"].alias("interpretation"))
