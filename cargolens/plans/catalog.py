@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Importing the modules registers their queries.
     from cargolens.plans import (  # noqa: F401
-        q_carbon, q_choice, q_io, q_lanes, q_ml, q_pipelines, q_risk, q_stream, q_text, q_vendors,
+        q_carbon, q_choice, q_composite, q_io, q_lanes, q_ml, q_pipelines, q_risk, q_stream, q_text, q_vendors,
     )
     return dict(QUERIES)
 
