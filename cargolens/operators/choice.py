@@ -26,7 +26,12 @@ def constraint_warning(on_time: Column, threshold_pct: Column, meets: Column) ->
         F.format_string("On-time %.1f%% below threshold %.0f%%.", F.round(on_time, 1), F.round(threshold_pct, 0)))
 
 
-def decide(spark, requests: DataFrame) -> DataFrame:
+OPTION_INPUTS = ["shipment_id", "route_distance_km", "route_weight_kg", "requires_cold_chain", "is_express",
+                 "origin_region", "min_on_time_pct", "is_metro_to_metro", "quote_weather", "threshold_pct",
+                 "cold_chain_multiplier", "stakes", "priority"]
+
+
+def decide(spark, requests: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Route choice plus stakes decision, carbon savings, greenest option and cost benchmark.
 
     Input: ``quotes.carrier_options`` (one row per request).  The option rows are partitioned by
@@ -34,6 +39,11 @@ def decide(spark, requests: DataFrame) -> DataFrame:
     partitioning, so choosing adds no second exchange.  Ties resolve by quote rank like the
     reference's first minimum.
     """
+    if carry is not None:
+        # Only the columns the options and the caller need travel through the option shuffle.
+        rate_cols = [c for c in requests.columns if c.startswith("route_rate_")]
+        keep = list(dict.fromkeys(OPTION_INPUTS + rate_cols + list(carry)))
+        requests = requests.select(*keep)
     o = quotes.option_rows(spark, requests, "min_on_time_pct", keep_unmatched=True)
     o = o.withColumn("_any_meets", F.max(F.col("meets_sla").cast("int")).over(Window.partitionBy("shipment_id")) > 0)
     opt = quotes.option_struct()
@@ -45,7 +55,8 @@ def decide(spark, requests: DataFrame) -> DataFrame:
     key_fast = F.when(has, F.struct(F.col("predicted_on_time_pct"), rank))
     key_green = F.when(has, F.struct(F.when(F.col("_any_meets"), ~meets).otherwise(F.lit(False)),
                                      F.col("predicted_carbon_gco2"), rank))
-    req_cols = [c for c in requests.columns if c != "shipment_id"]
+    req_cols = [c for c in requests.columns
+                if c != "shipment_id" and not (carry is not None and c.startswith("route_rate_"))]
     d = o.groupBy("shipment_id").agg(
         *[F.first(c).alias(c) for c in req_cols],
         F.min_by(opt, key_best).alias("best"), F.min_by(opt, key_fast).alias("_fast"),

@@ -26,7 +26,11 @@ def flagship_requests(shipments: DataFrame) -> DataFrame:
 def decided_requests(spark, requests: DataFrame, deliveries: DataFrame, rates=None,
                      weather_obs_latest: DataFrame | None = None) -> DataFrame:
     r = quotes.carrier_options(spark, requests, deliveries, rates, weather_obs_latest)
-    return choice.decide(spark, r)
+    return choice.decide(spark, r, carry=FLAGSHIP_COLUMNS)
+
+
+FLAGSHIP_COLUMNS = ["pkg", "origin", "destination", "route_distance_km", "risk_level", "risk_score", "risk_factors",
+                    "warnings", "recommended_buffer_days"]
 
 
 def integrated_recommendation(spark, requests: DataFrame, deliveries: DataFrame, rates=None,
