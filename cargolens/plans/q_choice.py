@@ -190,8 +190,8 @@ def _options(spark, sf):
     return quotes.carrier_options(spark, _requests(spark, sf), _history(spark, sf))
 
 
-def _decided(spark, sf):
-    return choice.decide(spark, _options(spark, sf))
+def _decided(spark, sf, carry=None):
+    return choice.decide(spark, _options(spark, sf), carry=carry)
 
 
 def _exploded(spark, sf, keep=("shipment_id",)):
@@ -338,7 +338,7 @@ SELECT shipment_id, carrier_code, delivery_partner, vehicle_type, round(predicte
   round(CASE WHEN stakes = 'standard' THEN total_carbon_gco2 ELSE predicted_cost END, 6) AS objective_value
 FROM opt_best""")
 def q_route_choice(spark, sf):
-    d = _decided(spark, sf).where(F.col("best").isNotNull())
+    d = _decided(spark, sf, carry=[]).where(F.col("best").isNotNull())
     b = F.col("best")
     return d.select("shipment_id", b["carrier_code"].alias("carrier_code"), b["delivery_partner"].alias("delivery_partner"),
                     b["vehicle_type"].alias("vehicle_type"), r6(b["predicted_cost"]).alias("cost"),

@@ -186,7 +186,7 @@ FROM opt_best b JOIN req_quote r USING (shipment_id)""")
 
 
 def _points(spark, sf):
-    return frontier.decision_points(q_choice._decided(spark, sf))
+    return frontier.decision_points(q_choice._decided(spark, sf, carry=["pkg"]))
 
 
 @query("pareto_frontier", """
