@@ -11,6 +11,12 @@ from cargolens.llm.common import importable_on_workers, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargolens.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cargolens.llm.simhash import edit_likeness
 
@@ -24,7 +30,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    fns = [op9_simhash, op10_mixing]
+    fns = [op4_minhash, op9_simhash, op10_mixing]
     out: dict[str, Query] = {}
     for fn in fns:
         def run(spark: SparkSession, sf_dir: str, fn: Query = fn) -> DataFrame:
