@@ -17,6 +17,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargolens.llm.phrases import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cargolens.llm.simhash import edit_likeness
 
@@ -30,7 +36,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    fns = [op4_minhash, op9_simhash, op10_mixing]
+    fns = [op4_minhash, op5_phrases, op9_simhash, op10_mixing]
     out: dict[str, Query] = {}
     for fn in fns:
         def run(spark: SparkSession, sf_dir: str, fn: Query = fn) -> DataFrame:
