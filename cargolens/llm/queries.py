@@ -11,6 +11,14 @@ from cargolens.llm.common import importable_on_workers, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cargolens.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cargolens.llm.minhash import near_duplicates
 
@@ -36,7 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    fns = [op4_minhash, op5_phrases, op9_simhash, op10_mixing]
+    fns = [op2_token_counts, op4_minhash, op5_phrases, op9_simhash, op10_mixing]
     out: dict[str, Query] = {}
     for fn in fns:
         def run(spark: SparkSession, sf_dir: str, fn: Query = fn) -> DataFrame:
