@@ -3,7 +3,8 @@
 A text's count is the sum of its pre-tokens' counts, so nothing but pre-token lengths is needed.
 Tier one is a hash table of frequent pre-tokens and their lengths, gathered from a bounded sample of
 documents and broadcast (at most ``TABLE_ROWS`` entries).  Tier two is a cache in each Python
-worker, filled by the tokenizer itself and emptied when it has ``CACHE_ROWS`` entries.  No
+worker, filled by the tokenizer itself: two generations of ``CACHE_ROWS`` entries, the older dropped
+when the younger is full.  No
 pre-token is shuffled; the sample's tables come back as at most ``SAMPLE_DOCS`` lists of at most
 ``TOP`` entries.  Which pre-tokens are in which tier changes the time and never a count.
 
@@ -33,7 +34,7 @@ LIMIT = 1024
 SAMPLE_DOCS = 2000
 TOP = 2048
 TABLE_ROWS = 1 << 15
-CACHE_ROWS = 400_000
+CACHE_ROWS = 300_000
 
 #: FIXED: the split pattern of this family of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,6 +60,7 @@ class TokenCounter:
         self.whole = regex.compile("|".join([UNSURE, *map(regex.escape, special)])).search
         self.known = known
         self.cache: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def lengths(self, pieces: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
@@ -69,19 +71,22 @@ class TokenCounter:
             if self.whole(text):
                 out.append(len(self.tokenizer.encode(text, add_special_tokens=False).ids))
                 continue
-            known, cache, n, missing = self.known, self.cache, 0, {}
+            if len(self.cache) >= CACHE_ROWS:
+                self.older, self.cache = self.cache, {}
+            known, cache, older, n, missing = self.known, self.cache, self.older, 0, {}
             for piece, times in Counter(self.find(text)).items():
                 size = known.get(piece)
                 if size is None:
                     size = cache.get(piece)
                     if size is None:
-                        missing[piece] = times
-                        continue
+                        size = older.get(piece)
+                        if size is None:
+                            missing[piece] = times
+                            continue
+                        cache[piece] = size
                 n += size * times
             if missing:
                 pieces = list(missing)
-                if len(cache) + len(pieces) > CACHE_ROWS:
-                    cache.clear()
                 for piece, size in zip(pieces, self.lengths(pieces), strict=True):
                     n += size * missing[piece]
                     if len(cache) < CACHE_ROWS:
