@@ -25,6 +25,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargolens.llm.ann_tree import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cargolens.llm.minhash import near_duplicates
 
@@ -37,6 +43,18 @@ def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargolens.llm.sentencepiece_codec import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargolens.llm.pii import find_personal
+
+    return find_personal(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cargolens.llm.toxicity import classify
 
@@ -56,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    fns = [op1_quality, op2_token_counts, op4_minhash, op5_phrases, op8_toxicity, op9_simhash, op10_mixing]
+    fns = [op1_quality, op2_token_counts, op3_ann_tree, op4_minhash, op5_phrases, op6_sentencepiece, op7_pii, op8_toxicity, op9_simhash, op10_mixing]
     out: dict[str, Query] = {}
     for fn in fns:
         def run(spark: SparkSession, sf_dir: str, fn: Query = fn) -> DataFrame:
