@@ -21,14 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import WORD, counted_broadcast, cut, text_of
+from cargolens.llm.common import BROADCAST_ROWS, WORD, cut, text_of
 
-#: Newton steps at most; each halves a bracket at worst and normally converges quadratically.
-NEWTON_STEPS = 24
+#: Newton steps between two looks at whether all sources are solved, and steps at most.
+STEPS_AT_ONCE, NEWTON_STEPS = 4, 40
 #: Relative error of a source's tokens at which its multiplier counts as solved.
-TOLERANCE = 1e-7
-#: Rounds that move one document of a source each.
-REPAIR_ROUNDS = 10
+TOLERANCE = 1e-6
+#: Rounds that move one document of a source each, and the relative error that is left alone.
+REPAIR_ROUNDS, CLOSE = 4, 1e-4
 
 
 def word_count(text: Column) -> Column:
@@ -65,56 +65,56 @@ def _rate(tilt: Column, x: Column, most: int) -> Column:
     return F.lit(float(most)) / (F.lit(1.0) + F.exp(-F.least(F.greatest(tilt * x, F.lit(-700.0)), F.lit(700.0))))
 
 
-def solve(histogram: DataFrame, goals: DataFrame, most: int = 2) -> DataFrame:
+def _beside(df: DataFrame, few: bool) -> DataFrame:
+    """A table with a row a source, for a join: broadcast if the sources were counted to be few."""
+    return F.broadcast(df) if few else df
+
+
+def solve(histogram: DataFrame, goals: DataFrame, most: int, few: bool) -> DataFrame:
     """Newton on the dual: ``histogram`` (source, size, n) and ``goals`` (source, source_size, target)
     give (source, source_size, target, mean_size, tilt).
 
-    The function is monotone in each multiplier; a step that leaves the bracket is replaced by its
-    middle (or by doubling while there is no bracket).  A target at its cap needs no finite tilt: 700.
+    The function is monotone in each multiplier.  The start is the tilt that a source of equal sizes
+    would need; a step that leaves the bracket is replaced by its middle (or by doubling while there
+    is no bracket).  A target at its cap or at 0 needs no finite tilt.
     """
-    mean = histogram.where("size > 0").groupBy("source").agg(
+    mean = histogram.where("size > 0").groupBy(F.col("source").alias("_source")).agg(
         (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean_size"))
-    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
-    state = (goals.join(mean, goals["source"].eqNullSafe(mean["source"]), "left").drop(mean["source"])
-             .withColumn("mean_size", F.coalesce("mean_size", F.lit(1.0)))
-             .withColumn("tilt", F.when(full, F.lit(1e9)).when(F.col("target") <= 0, F.lit(-1e9)).otherwise(F.lit(0.0)))
-             .withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double"))
-             .withColumn("done", full | (F.col("target") <= 0)))
-    state = cut(state)
-    for _ in range(NEWTON_STEPS):
-        if state.where("not done").isEmpty():
+    cap = most * F.col("source_size").cast("double")
+    full, none = F.col("target") >= cap * (1 - 1e-12), F.col("target") <= 0
+    state = cut(goals.join(mean, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+        "source", "source_size", "target", F.coalesce("mean_size", F.lit(1.0)).alias("mean_size"),
+        F.when(full, F.lit(1e9)).when(none, F.lit(-1e9)).otherwise(F.log(F.col("target") / (cap - F.col("target")))).alias("tilt"),
+        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), (full | none).alias("done")))
+    for done in range(NEWTON_STEPS):
+        if done % STEPS_AT_ONCE == 0 and state.where("not done").isEmpty():
             break
-        s = counted_broadcast(state.where("not done").select(
-            F.col("source").alias("_source"), "tilt", "mean_size"))
+        s = _beside(state.select(F.col("source").alias("_source"), "tilt", "mean_size", "done").where("not done"), few)
         x = F.col("size") / F.col("mean_size")
         r = _rate(F.col("tilt"), x, most)
         mass = F.col("size") * F.col("n")
-        sums = (histogram.join(s, F.col("source").eqNullSafe(F.col("_source")))
-                .groupBy("source").agg(F.sum(mass * r).alias("value"),
-                                       F.sum(mass * x * r * (F.lit(1.0) - r / most)).alias("slope")))
-        sums = sums.withColumnRenamed("source", "_source")
+        sums = (histogram.join(s, F.col("source").eqNullSafe(F.col("_source"))).groupBy("_source")
+                .agg(F.sum(mass * r).alias("value"), F.sum(mass * x * r * (F.lit(1.0) - r / most)).alias("slope")))
         gap = F.col("value") - F.col("target")
-        step = F.col("tilt") - gap / F.greatest(F.col("slope"), F.lit(1e-300))
         lo = F.when(gap < 0, F.col("tilt")).otherwise(F.col("lo"))
         hi = F.when(gap >= 0, F.col("tilt")).otherwise(F.col("hi"))
-        fallback = (F.when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2)
-                    .when(gap < 0, F.col("tilt") * 2 + 1).otherwise(F.col("tilt") * 2 - 1))
-        ok = (F.coalesce(step > lo, step >= F.col("tilt") * 2 - 4 - F.abs("tilt"))
-              & F.coalesce(step < hi, step <= F.col("tilt") * 2 + 4 + F.abs("tilt")))
+        step = F.col("tilt") - gap / F.greatest(F.col("slope"), F.lit(1e-300))
+        reach = 4 + 2 * F.abs("tilt")
+        low, high = F.coalesce(lo, F.col("tilt") - reach), F.coalesce(hi, F.col("tilt") + reach)
         solved = F.abs(gap) <= TOLERANCE * F.col("target")
         live = ~F.col("done") & F.col("value").isNotNull()
-        state = cut(state.join(sums, F.col("source").eqNullSafe(F.col("_source")), "left").select(
-            "source", "source_size", "target", "mean_size",
-            F.when(live & ~solved, F.when(ok, step).otherwise(fallback)).otherwise(F.col("tilt")).alias("tilt"),
-            F.when(live, lo).otherwise(F.col("lo")).alias("lo"),
-            F.when(live, hi).otherwise(F.col("hi")).alias("hi"),
+        moved = F.when((step > low) & (step < high), step).when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2).when(
+            gap < 0, high).otherwise(low)
+        state = cut(state.join(_beside(sums, few), F.col("source").eqNullSafe(F.col("_source")), "left").select(
+            "source", "source_size", "target", "mean_size", F.when(live & ~solved, moved).otherwise(F.col("tilt")).alias("tilt"),
+            F.when(live, lo).otherwise(F.col("lo")).alias("lo"), F.when(live, hi).otherwise(F.col("hi")).alias("hi"),
             (F.col("done") | ~live | solved).alias("done")))
     return state.select("source", "source_size", "target", "mean_size", "tilt")
 
 
-def rounded(sized: DataFrame, solved: DataFrame, most: int = 2) -> DataFrame:
+def rounded(sized: DataFrame, solved: DataFrame, most: int, few: bool) -> DataFrame:
     """``sized`` (id, source, size, ...) with its source's target, its rate and hashed whole ``copies``."""
-    s = counted_broadcast(solved.withColumnRenamed("source", "_source"))
+    s = _beside(solved.withColumnRenamed("source", "_source"), few)
     u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("id").cast("string"), F.col("source")), 11) / F.lit(float(2 ** 53))
     rate = _rate(F.col("tilt"), F.col("size") / F.col("mean_size"), most)
     return (sized.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -123,60 +123,46 @@ def rounded(sized: DataFrame, solved: DataFrame, most: int = 2) -> DataFrame:
                         .otherwise(0).cast("long")))
 
 
-def repairs(copied: DataFrame, most: int = 2) -> DataFrame:
+def repairs(copied: DataFrame, most: int, few: bool) -> DataFrame:
     """Documents to move by one copy: (_source, _id, move), at most ``REPAIR_ROUNDS`` of a source.
 
     Documents of one source, size and number of copies are interchangeable, so the choice is made
     on that table; each of its rows offers the document with the smallest id, once.
     """
-    classes = cut(copied.where("size > 0").groupBy("source", "size", "copies")
-                  .agg(F.min("id").alias("id"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n")))
-    by = Window.partitionBy("source")
-    left = cut(classes.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies") * F.col("n"))).alias("left")))
-    moves = []
+    offers = cut(copied.where("size > 0").groupBy("source", "size", "copies").agg(
+        F.min("id").alias("id"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n"))
+        .withColumn("move", F.lit(0).cast("long")))
     for _ in range(REPAIR_ROUNDS):
-        small = counted_broadcast(left.withColumnRenamed("source", "_source"))
-        open_ = (classes.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-                 .where(F.when(F.col("left") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0))
-                 .where(F.abs(F.abs("left") - F.col("size")) < F.abs("left")))
-        used = None
-        for m in moves:
-            m = m.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-            used = m if used is None else used.unionByName(m)
-        if used is not None:
-            open_ = open_.join(counted_broadcast(used), F.col("source").eqNullSafe(F.col("_source"))
-                               & (F.col("size") == F.col("_size")) & (F.col("copies") == F.col("_copies")), "left_anti")
-        best = F.min_by(F.struct("size", "copies", "id", "left"),
-                        F.struct(F.abs(F.abs("left") - F.col("size")), "id", "copies")).alias("b")
-        step = cut(open_.groupBy("source").agg(best).select("source", "b.*").withColumn("move", F.signum("left").cast("long")))
-        if step.isEmpty():
-            break
-        moves.append(step)
-        taken = step.select(F.col("source").alias("_source"), (F.col("move") * F.col("size")).alias("_taken"))
-        left = cut(left.join(taken, F.col("source").eqNullSafe(F.col("_source")), "left")
-                   .select("source", (F.col("left") - F.coalesce("_taken", F.lit(0))).alias("left")))
-    out = None
-    for m in moves:
-        m = m.select(F.col("source").alias("_source"), F.col("id").alias("_id"), "move")
-        out = m if out is None else out.unionByName(m)
-    if out is None:
-        return copied.select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.lit(0).cast("long").alias("move")).limit(0)
-    return cut(out.groupBy("_source", "_id").agg(F.sum("move").alias("move")))
-
-
-def plan(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The two small tables that decide every document's copies: solved sources and repairs."""
+        mass = F.col("size") * (F.col("copies") * F.col("n") + F.col("move"))
+        left = offers.groupBy(F.col("source").alias("_source")).agg(F.first("target").alias("_target"), F.sum(mass).alias("_mass"))
+        left = left.select("_source", (F.col("_target") - F.col("_mass")).alias("left"), "_target").where(F.abs("left") > CLOSE * F.col("_target"))
+        fits = (offers.where("move = 0").join(_beside(left, few), F.col("source").eqNullSafe(F.col("_source")))
+                .where(F.when(F.col("left") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0))
+                .where(F.abs(F.abs("left") - F.col("size")) < F.abs("left")))
+        best = fits.groupBy("_source").agg(F.min_by(F.struct("size", "copies", "left"), F.struct(
+            F.abs(F.abs("left") - F.col("size")), "id", "copies")).alias("b"))
+        best = best.select("_source", F.col("b.size").alias("_size"), F.col("b.copies").alias("_copies"), F.signum("b.left").cast("long").alias("_move"))
+        offers = cut(offers.join(_beside(best, few), F.col("source").eqNullSafe(F.col("_source"))
+                                 & (F.col("size") == F.col("_size")) & (F.col("copies") == F.col("_copies")), "left")
+                     .select("source", "size", "copies", "id", "target", "n", F.coalesce("_move", "move").alias("move")))
+    return cut(offers.where("move <> 0").groupBy(F.col("source").alias("_source"), F.col("id").alias("_id")).agg(F.sum("move").alias("move")))
+
+
+def plan(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame, bool]:
+    """The small tables that decide every document's copies, solved sources and repairs, and
+    whether the sources are few enough to be broadcast (there is another way beyond that)."""
     histogram = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
-    solved = solve(histogram, targets(per_source, weights, share, most), most)
-    return solved, repairs(rounded(sized, solved, most), most)
+    per_source = cut(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")))
+    few = per_source.count() <= BROADCAST_ROWS
+    solved = solve(histogram, targets(per_source, weights, share, most), most, few)
+    return solved, repairs(rounded(sized, solved, most, few), most, few), few
 
 
-def _decided(sized: DataFrame, solved: DataFrame, moves: DataFrame, most: int) -> DataFrame:
-    out = rounded(sized, solved, most).join(
-        counted_broadcast(moves), F.col("source").eqNullSafe(F.col("_source")) & (F.col("id") == F.col("_id")), "left")
-    copies = F.least(F.greatest(F.col("copies") + F.when(F.col("size") > 0, F.coalesce("move", F.lit(0))).otherwise(0), F.lit(0)), F.lit(most))
-    return out.withColumn("copies", copies.cast("long")).drop("_source", "_id", "move")
+def _decided(sized: DataFrame, solved: DataFrame, moves: DataFrame, few: bool, most: int) -> DataFrame:
+    out = rounded(sized, solved, most, few).join(
+        _beside(moves, few), F.col("source").eqNullSafe(F.col("_source")) & (F.col("id") == F.col("_id")), "left")
+    copies = F.col("copies") + F.when(F.col("size") > 0, F.coalesce("move", F.lit(0))).otherwise(0)
+    return out.withColumn("copies", F.least(F.greatest(copies, F.lit(0)), F.lit(most)).cast("long")).drop("_source", "_id", "move")
 
 
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id",
