@@ -10,8 +10,8 @@ starts anywhere else are removed.
    text, seen more than once, is settled: all its windows recur.  Where segments differ under one
    anchor, or an anchor occurs twice within a segment, the windows themselves are counted.
 2. *Compile automata.*  Documents are dealt to blocks of about ``BLOCK_BYTES``.  In each block the
-   confirmed phrases (settled segments and recurring windows, each once) become Aho-Corasick
-   automata over word numbers, in shards of ``SHARD_WORDS``, so their memory is bounded.
+   confirmed passages (longest runs of recurring windows, each text once) become Aho-Corasick
+   automata over word numbers, in shards of about ``SHARD_WORDS``, so their memory is bounded.
 3. *Stream all documents* of the block through the shards; every hit covers its words.
 
 Counts are taken in Spark with partial sums where the texts are read, so a passage that a third of all
@@ -183,33 +183,35 @@ def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
     order = np.argsort(win[~single], kind="stable")
     wins, owners = win[~single][order], anchor[~single][order]
     parts, phrases, numbers, shift = [], [], [], 0
-    anchors, hashes, ranges = [], [], []
+    names, ranges = [], []
     for a, b, data, offsets in groups(left.column("text")):
         words = Words(data, offsets)
         parts.append((a, b, data, offsets, words.first, shift))
         # A number between the documents that no word has keeps matches inside one document.
-        gaps = words.first[1:]
-        numbers.append(np.insert(words.h, gaps, U(0)))
+        numbers.append(np.insert(words.h, words.first[1:], U(0)))
         if len(right):
             s = Segments(words)
-            yes = np.isin(s.anchor.view(np.int64), settled)
-            anchors.append(s.anchor[yes])
-            hashes.append(s.hash[yes])
-            ranges.append(np.stack([s.start[yes] + s.document[yes], s.end[yes] + s.document[yes]], 1) + shift)
+            recurs = np.zeros(len(words.h) + 1, bool)
+            recurs[s.windows(np.isin(s.anchor.view(np.int64), settled))[0]] = True
             if len(wins):
                 at, own = s.windows(np.isin(s.anchor.view(np.int64), owners))
-                w = window_hashes(words, at)
-                k = np.minimum(np.searchsorted(wins, w.view(np.int64)), len(wins) - 1)
-                hit = (wins[k] == w.view(np.int64)) & (owners[k] == own.view(np.int64))
-                d = words.document()[at[hit]]
-                anchors.append(own[hit])
-                hashes.append(w[hit])
-                ranges.append(np.stack([at[hit] + d, at[hit] + d + WINDOW], 1) + shift)
+                w = window_hashes(words, at).view(np.int64)
+                k = np.minimum(np.searchsorted(wins, w), len(wins) - 1)
+                recurs[at[(wins[k] == w) & (owners[k] == own.view(np.int64))]] = True
+            # A passage is a run of windows that recur, as far as it goes in its document.
+            i = np.flatnonzero(recurs)
+            d = words.document()[i]
+            cut_here = np.flatnonzero((i[1:] != i[:-1] + 1) | (d[1:] != d[:-1])) + 1
+            start = i[np.append(0, cut_here)] if len(i) else i
+            end = i[np.append(cut_here, len(i)) - 1] + WINDOW if len(i) else i
+            doc = words.document()[start]
+            names.append(mix(range_sums(words.h, start, end) + (end - start).astype(U)))
+            ranges.append(np.stack([start + doc, end + doc], 1) + shift)
         shift += len(words.h) + (b - a)
     flat = np.concatenate(numbers) if numbers else np.zeros(0, U)
-    if anchors and sum(map(len, anchors)):
+    if sum(map(len, names)):
         r = np.concatenate(ranges)
-        one, _ = _unique(np.concatenate(anchors), np.concatenate(hashes))
+        one, _ = _unique(np.concatenate(names))
         phrases = [tuple(x) for x in r[np.sort(one)].tolist()]
     covered = locate(flat, phrases) if phrases else np.zeros(len(flat), bool)
     n_words, n_removed, sha = [], [], []
