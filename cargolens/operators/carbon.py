@@ -171,12 +171,12 @@ def _safe(name: str) -> str:
 
 
 def model_country_pivot(spark, log: DataFrame, models: list[str]) -> DataFrame:
-    """Logged carbon per country, one column per model, in mg (round 2)."""
+    """Logged carbon per country, one column per listed model and ``other`` for all the rest, in mg (round 2)."""
     c = inference_carbon(spark, log)
-    p = (c.groupBy("country").pivot("model", models)
-         .agg(F.sum(F.col("carbon_gco2") * 1000)))
-    return p.select("country", *[F.round(F.coalesce(F.col(f"`{m}`"), F.lit(0.0)), 2).alias(_safe(m))
-                                 for m in models])
+    mg = F.col("carbon_gco2") * 1000
+    listed = F.coalesce(F.col("model").isin(*models), F.lit(False))
+    sums = {_safe(m): F.sum(F.when(F.col("model") == m, mg)) for m in models} | {"other": F.sum(F.when(~listed, mg))}
+    return c.groupBy("country").agg(*[F.round(F.coalesce(v, F.lit(0.0)), 2).alias(k) for k, v in sums.items()])
 
 
 def inference_ledger_totals(spark, log: DataFrame) -> DataFrame:

@@ -1,14 +1,8 @@
-"""Route choice and the decisions derived from it, as arg-min aggregates per request.
-
-The reference evaluates a list of routes per request and keeps the first
-minimum.  Here each rule is a ``min_by`` over the request's option rows with a
-struct key whose last field is the option's quote rank, so ties resolve
-exactly like Python's first minimum.
-"""
+"""Route choice and the decisions derived from it, as minima over the ten carriers of a request's row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions.exprs import casp
@@ -26,46 +20,63 @@ def constraint_warning(on_time: Column, threshold_pct: Column, meets: Column) ->
         F.format_string("On-time %.1f%% below threshold %.0f%%.", F.round(on_time, 1), F.round(threshold_pct, 0)))
 
 
-OPTION_INPUTS = ["shipment_id", "route_distance_km", "route_weight_kg", "requires_cold_chain", "is_express",
-                 "origin_region", "min_on_time_pct", "is_metro_to_metro", "quote_weather", "threshold_pct",
-                 "cold_chain_multiplier", "stakes", "priority"]
+BEST_FIELDS = ["carrier_code", "carrier_name", "delivery_partner", "vehicle_type", "cost_inr", "estimated_on_time_pct",
+               "carbon_kg", "predicted_cost", "predicted_on_time_pct", "predicted_carbon_gco2", "transport_carbon_gco2",
+               "ai_carbon_gco2", "total_carbon_gco2", "meets_sla"]
 
 
-def decide(spark, requests: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def decide(spark, requests: DataFrame, carry: list[str] | None = None, predictor=None) -> DataFrame:
     """Route choice plus stakes decision, carbon savings, greenest option and cost benchmark.
 
-    Input: ``quotes.carrier_options`` (one row per request).  The option rows are partitioned by
-    request for the rank window, and the arg-mins are ``min_by`` aggregates on that same
-    partitioning, so choosing adds no second exchange.  Ties resolve by quote rank like the
-    reference's first minimum.
+    Input: ``quotes.carrier_options`` (one row per request).  Each rule is the smallest of ten small
+    structs (rule's key, quote, carrier order) in the request's own row; the wide fields are looked up
+    once, for the carrier that was chosen.  Ties resolve by quote rank like the reference's first
+    minimum.  No exchange, no window.
     """
+    cs = quotes.carriers()
+    q = quotes.with_carriers(requests, "min_on_time_pct", predictor)
+    any_meets = F.lit(False)
+    for c in cs:
+        any_meets = any_meets | (F.col(f"eligible_{c['seq']}") & quotes.meets_sla(c["seq"]))
+    q = q.withColumn("_any_meets", any_meets)
+
+    def pick(key) -> Column:
+        """The number of the eligible carrier with the smallest key, quote and place."""
+        keys = [F.when(F.col(f"eligible_{c['seq']}"), F.struct(*[k.alias(f"k{n}") for n, k in enumerate(key(c["seq"]))],
+                F.col(f"cost_{c['seq']}").alias("cost"), F.lit(c["seq"]).alias("seq"))) for c in cs]
+        return F.array_min(F.array(*keys))["seq"]
+
+    def best_key(i: int) -> list[Column]:
+        meets = quotes.meets_sla(i)
+        primary = F.when(meets, F.when(F.col("stakes") == "standard", quotes.total_carbon(i)).otherwise(F.col(f"p_cost_{i}"))).otherwise(
+            -F.col(f"p_on_time_{i}"))
+        return [~meets, primary]
+
+    def green_key(i: int) -> list[Column]:
+        return [F.when(F.col("_any_meets"), ~quotes.meets_sla(i)).otherwise(F.lit(False)), F.col(f"p_carbon_{i}")]
+
+    def mean(value, counts) -> Column:
+        """Mean over the eligible carriers of whole numbers, so that it doesn't depend on order."""
+        on = [F.col(f"eligible_{c['seq']}") & counts(c["seq"]) for c in cs]
+        total = sum((F.when(o, F.round(value(c["seq"]))).otherwise(0.0) for o, c in zip(on, cs)), F.lit(0.0))
+        n = sum((o.cast("int") for o in on), F.lit(0))
+        return F.when(n > 0, total / n)
+
+    q = q.withColumns({"_best": pick(best_key), "_fast": pick(lambda i: [F.col(f"p_on_time_{i}")]), "_green": pick(green_key)})
+    d = q.withColumns({
+        **{f"_b_{n}": x for n, x in quotes.chosen_fields(F.col("_best"), BEST_FIELDS).items()},
+        **{f"_f_{n}": x for n, x in quotes.chosen_fields(F.col("_fast"), ["carrier_code", "total_carbon_gco2"]).items()},
+        **{f"_g_{n}": x for n, x in quotes.chosen_fields(F.col("_green"), ["carrier_name", "predicted_carbon_gco2"]).items()},
+        "industry_benchmark_raw": mean(lambda i: F.col(f"cost_{i}") * 100, lambda i: F.col(f"cost_{i}") > 0) / 100,
+        "mean_option_transport_gco2": mean(lambda i: quotes.transport_carbon(i) * 1e6, lambda i: F.lit(True)) / 1e6,
+    })
+    req_cols = [c for c in requests.columns if c != "shipment_id" and not c.startswith("route_rate_")]
     if carry is not None:
-        # Only the columns the options and the caller need travel through the option shuffle.
-        rate_cols = [c for c in requests.columns if c.startswith("route_rate_")]
-        keep = list(dict.fromkeys(OPTION_INPUTS + rate_cols + list(carry)))
-        requests = requests.select(*keep)
-    o = quotes.option_rows(spark, requests, "min_on_time_pct", keep_unmatched=True)
-    o = o.withColumn("_any_meets", F.max(F.col("meets_sla").cast("int")).over(Window.partitionBy("shipment_id")) > 0)
-    opt = quotes.option_struct()
-    has = F.col("carrier_code").isNotNull()
-    meets, rank = F.col("meets_sla"), F.col("rank")
-    primary = F.when(meets, F.when(F.col("stakes") == "standard", F.col("total_carbon_gco2"))
-                     .otherwise(F.col("predicted_cost"))).otherwise(-F.col("predicted_on_time_pct"))
-    key_best = F.when(has, F.struct(~meets, primary, rank))
-    key_fast = F.when(has, F.struct(F.col("predicted_on_time_pct"), rank))
-    key_green = F.when(has, F.struct(F.when(F.col("_any_meets"), ~meets).otherwise(F.lit(False)),
-                                     F.col("predicted_carbon_gco2"), rank))
-    req_cols = [c for c in requests.columns
-                if c != "shipment_id" and not (carry is not None and c.startswith("route_rate_"))]
-    d = o.groupBy("shipment_id").agg(
-        *[F.first(c).alias(c) for c in req_cols],
-        F.min_by(opt, key_best).alias("best"), F.min_by(opt, key_fast).alias("_fast"),
-        F.min_by(opt, key_green).alias("_green"),
-        # Mean of positive quotes, summed in whole paise so the result does not depend on order.
-        (F.avg(F.when(F.col("cost_inr") > 0, F.round(F.col("cost_inr") * 100))) / 100).alias("industry_benchmark_raw"),
-        # Mean in whole micrograms: exact integer sums, so the mean does not depend on order.
-        (F.avg(F.round(F.col("transport_carbon_gco2") * 1e6)) / 1e6).alias("mean_option_transport_gco2"),
-        F.coalesce(F.max("num_options"), F.lit(0)).alias("num_options"))
+        req_cols = [c for c in req_cols if c in set(carry) | {"threshold_pct", "cold_chain_multiplier", "stakes", "priority"}]
+    d = d.select("shipment_id", *req_cols, "num_options", "industry_benchmark_raw", "mean_option_transport_gco2",
+                 F.when(F.col("_best").isNotNull(), F.struct(*[F.col(f"_b_{n}").alias(n) for n in BEST_FIELDS])).alias("best"),
+                 F.struct(F.col("_f_carrier_code").alias("carrier_code"), F.col("_f_total_carbon_gco2").alias("total_carbon_gco2")).alias("_fast"),
+                 F.struct(F.col("_g_carrier_name").alias("carrier_name"), F.col("_g_predicted_carbon_gco2").alias("predicted_carbon_gco2")).alias("_green"))
     stakes = F.col("stakes")
     standard = stakes == "standard"
     b = F.col("best")

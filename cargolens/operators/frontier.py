@@ -50,6 +50,6 @@ def tradeoff_extremes(points: DataFrame, group: str = "package_type", key: str =
 def decision_points(decided: DataFrame) -> DataFrame:
     """Frontier points from route choices: (package, shipment, total carbon, on-time, cost)."""
     b = F.col("best")
-    return decided.where(b.isNotNull()).select(
+    return decided.where(F.col("num_options") > 0).select(
         F.col("pkg").alias("package_type"), "shipment_id", r6(b["total_carbon_gco2"]).alias("carbon_gco2"),
         r6(b["predicted_on_time_pct"]).alias("service_level"), r6(b["predicted_cost"]).alias("cost"))

@@ -80,6 +80,12 @@ def lane_distance(spark, df: DataFrame, origin: str = "origin", destination: str
             .drop("_lf_o", "_lf_d", "_lf_km", "_lr_o", "_lr_d", "_lr_km", *tmp))
 
 
+def _one_per_lane(table: DataFrame, origin: str, destination: str, km: str) -> DataFrame:
+    """One distance for each lane (the shortest that is given), so that a join never repeats a request."""
+    return table.groupBy(F.lower("origin").alias(origin), F.lower("destination").alias(destination)).agg(
+        F.min("distance_km").alias(km))
+
+
 def distance_cascade(spark, df: DataFrame, provider: DataFrame | None = None, search: DataFrame | None = None,
                      origin: str = "origin", destination: str = "destination") -> DataFrame:
     """Lane/haversine distance, else an external provider table, else a text-search table, else 150 km.
@@ -91,13 +97,11 @@ def distance_cascade(spark, df: DataFrame, provider: DataFrame | None = None, se
     j = lane_distance(spark, df, origin, destination, out="_lane_km")
     sources = [(F.col("_lane_km"), "local_routes")]
     if provider is not None:
-        p = provider.select(F.lower("origin").alias("_po"), F.lower("destination").alias("_pd"),
-                            F.col("distance_km").alias("_prov_km"))
+        p = _one_per_lane(provider, "_po", "_pd", "_prov_km")
         j = j.join(p, (F.lower(F.col(origin)) == F.col("_po")) & (F.lower(F.col(destination)) == F.col("_pd")), "left")
         sources.append((F.col("_prov_km"), "openrouteservice"))
     if search is not None:
-        s = search.select(F.lower("origin").alias("_so"), F.lower("destination").alias("_sd"),
-                          F.col("distance_km").alias("_srch_km"))
+        s = _one_per_lane(search, "_so", "_sd", "_srch_km")
         j = j.join(s, (F.lower(F.col(origin)) == F.col("_so")) & (F.lower(F.col(destination)) == F.col("_sd")), "left")
         sources.append((F.col("_srch_km"), "web_search"))
     km = F.coalesce(*[c for c, _ in sources], F.lit(DEFAULT_DISTANCE_KM))

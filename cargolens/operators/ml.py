@@ -18,6 +18,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cargolens.session import ensure_checkpoint_dir
+
 CATEGORICAL = ["delivery_partner", "package_type", "vehicle_type", "delivery_mode", "region", "weather_condition"]
 NUMERIC = ["distance_km", "package_weight_kg", "delivery_rating"]
 FEATURES = CATEGORICAL + NUMERIC
@@ -50,7 +52,7 @@ def feature_pipeline() -> list:
     """Index + one-hot the categoricals (unknown -> all zeros), scale the numerics, assemble."""
     idx = [StringIndexer(inputCol=c, outputCol=c + "_idx", handleInvalid="keep") for c in CATEGORICAL]
     ohe = OneHotEncoder(inputCols=[c + "_idx" for c in CATEGORICAL], outputCols=[c + "_oh" for c in CATEGORICAL],
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True)  # the indexer's last category is "unknown": it gets no column
     num = VectorAssembler(inputCols=NUMERIC, outputCol="num_raw")
     scaler = StandardScaler(inputCol="num_raw", outputCol="num_scaled", withMean=True, withStd=True)
     asm = VectorAssembler(inputCols=["num_scaled"] + [c + "_oh" for c in CATEGORICAL], outputCol="features")
@@ -91,6 +93,8 @@ def impute(df: DataFrame, train: DataFrame) -> DataFrame:
 def vendor_kmeans(stats: DataFrame, k: int = 4, seeds: int = 10, key: str = "delivery_partner"):
     """Scaled k-means on the five vendor features; best of ``seeds`` runs (like n_init)."""
     cols = ["avg_cost", "delay_rate", "avg_rating", "on_time_pct", "reliability_score"]
+    ensure_checkpoint_dir(stats.sparkSession)
+    stats = stats.checkpoint()  # the fact is aggregated once, not for every scaler, seed and iteration
     v = VectorAssembler(inputCols=cols, outputCol="raw").transform(stats)
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(v).transform(v)
     best = None

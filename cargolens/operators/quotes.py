@@ -1,23 +1,21 @@
 """Shipment requests -> eligible carrier quotes -> route options with predictions.
 
-Scale design: the carrier table is a fixed list of ten rows, so instead of a
-shipments x carriers join followed by a per-shipment regroup (a shuffle of
-~5 option rows per shipment), every shipment carries its options as an
-in-row array built with ``transform``/``filter``/``array_sort``.  Eligibility,
-pricing, ranking, prediction and the later arg-min route choice are then
-narrow, per-row expressions: no exchange at all between the shipment scan
-and the output.  ``explode_options`` turns the array into one row per option
-for the per-quote tables.
-
-Predictions use a pluggable predictor; the default is the historical
-baseline (``history_rates``): cost = 100 + 3 km + 5 kg, on-time = 100 x
-(1 - delay rate) of past deliveries by (partner, weather), falling back to
-the partner and then the global rate.
+Scale design: the carriers are a fixed list of ten, and everything about a request's options
+depends on that request alone.  So the ten carriers are unrolled into columns: eligibility, price and
+prediction of carrier i are plain expressions of the request row (``with_carriers``), counting and
+choosing are sums and minima over ten columns, and nothing of the size of the requests is
+shuffled.  ``explode_options`` makes one row per option out of an array sorted by quote.
+
+Predictions come from a predictor: a function of the requests and the carriers that adds
+``p_cost_i``, ``p_on_time_i`` and ``p_carbon_i`` for each carrier i.  The default is the historical baseline
+(cost = 100 + 3 km + 5 kg, on-time = 100 x (1 - delay rate) of past deliveries by partner and
+weather, falling back to the partner and then the global rate); ``fitted_predictor`` wraps fitted
+models.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions.exprs import (
@@ -214,30 +212,56 @@ def _weather_penalty(w: Column) -> Column:
     return expr.otherwise(F.lit(0.0))
 
 
-def carrier_table(spark) -> DataFrame:
-    """The ten carriers with their partner, vehicle and vehicle factor (fixed, broadcast)."""
-    veh = dict(dims.PARTNER_VEHICLE)
-    part = dict(dims.CARRIER_PARTNER)
-    fac = dict(dims.VEHICLE_GCO2_PER_KM)
-    rows = []
-    for seq, c in enumerate(dims.CARRIERS):
-        partner = part.get(c[0], DEFAULT_PARTNER)
+def carriers() -> list[dict]:
+    """The ten carriers with their partner, vehicle and vehicle factor (fixed)."""
+    veh, part, fac = dict(dims.PARTNER_VEHICLE), dict(dims.CARRIER_PARTNER), dict(dims.VEHICLE_GCO2_PER_KM)
+    names = [f.split()[0] for f in dims.SCHEMAS["dim_carrier"].split(", ")][:15]
+    out = []
+    for seq, row in enumerate(dims.CARRIERS):
+        partner = part.get(row[0], DEFAULT_PARTNER)
         vehicle = veh.get(partner, "van")
-        rows.append(c[:11] + (c[11], c[12], c[13], c[14], seq, partner, vehicle,
-                              fac.get(vehicle, dims.DEFAULT_VEHICLE_GCO2_PER_KM)))
-    schema = (dims.SCHEMAS["dim_carrier"].replace(", seq int", "")
-              + ", seq int, c_partner string, c_vehicle string, c_vfac double")
-    return F.broadcast(dims.local_table(spark, rows, schema))
+        out.append(dict(zip(names, row)) | {"seq": seq, "partner": partner, "vehicle": vehicle,
+                                            "factor": float(fac.get(vehicle, dims.DEFAULT_VEHICLE_GCO2_PER_KM))})
+    return out
 
 
-def baseline_predictor(partners: list[str]) -> dict[str, Column]:
+def baseline_predictor(requests: DataFrame, cs: list[dict]) -> DataFrame:
     """Historical baseline: cost = 100 + 3 km + 5 kg; on-time = 100 x (1 - delay rate of the partner
     under the route weather); carbon = km x vehicle factor."""
     d, w = F.col("route_distance_km"), F.col("route_weight_kg")
-    rate = F.coalesce(*[F.when(F.col("c_partner") == p, F.col("route_rate_" + _pcol(p))) for p in partners])
-    return {"predicted_cost": (100 + 3 * d) + 5 * w,
-            "predicted_on_time_pct": 100 * (1 - rate),
-            "predicted_carbon_gco2": d * F.col("c_vfac")}
+    out = {}
+    for c in cs:
+        i = c["seq"]
+        out[f"p_cost_{i}"] = (100 + 3 * d) + 5 * w
+        out[f"p_on_time_{i}"] = 100 * (1 - F.col("route_rate_" + _pcol(c["partner"])))
+        out[f"p_carbon_{i}"] = d * c["factor"]
+    return requests.withColumns(out)
+
+
+def fitted_predictor(cost_model, on_time_model, rating: int = ROUTE_RATING):
+    """A predictor from two fitted pipelines over the delivery features (``prediction`` columns).
+
+    Each carrier's route is one set of feature columns beside the request, so scoring is ten narrow
+    transforms of the same rows; carbon stays km x vehicle factor.
+    """
+    def predict(requests: DataFrame, cs: list[dict]) -> DataFrame:
+        out = requests
+        for c in cs:
+            i, names = c["seq"], out.columns
+            route = {"distance_km": F.col("route_distance_km"), "package_weight_kg": F.col("route_weight_kg"),
+                     "delivery_rating": F.lit(float(rating)), "package_type": F.col("pkg"), "vehicle_type": F.lit(c["vehicle"]),
+                     "delivery_partner": F.lit(c["partner"]), "delivery_mode": F.col("route_mode"),
+                     "region": F.col("origin_region"), "weather_condition": F.col("route_weather")}
+            out = out.select(F.struct(*names).alias("_request"), *[v.alias(k) for k, v in route.items()])
+            for model, name in ((cost_model, "_cost"), (on_time_model, "_on_time")):
+                out = model.transform(out).select("_request", *route, *[x for x in ("_cost",) if x in out.columns],
+                                                  F.col("prediction").alias(name))
+            out = out.select("_request.*", F.col("_cost").alias(f"p_cost_{i}"), F.col("_on_time").alias(f"p_on_time_{i}"),
+                             (F.col("route_distance_km") * c["factor"]).alias(f"p_carbon_{i}"))
+            out = out.select(*names, f"p_cost_{i}", f"p_on_time_{i}", f"p_carbon_{i}")
+        return out
+
+    return predict
 
 
 OPTION_FIELDS = ["cost_inr", "seq", "rank", "carrier_code", "carrier_name", "carrier_type", "estimated_on_time_pct",
@@ -246,79 +270,97 @@ OPTION_FIELDS = ["cost_inr", "seq", "rank", "carrier_code", "carrier_name", "car
                  "predicted_carbon_gco2", "transport_carbon_gco2", "ai_carbon_gco2", "total_carbon_gco2", "meets_sla"]
 
 
-def option_rows(spark, requests: DataFrame, min_on_time_col: str = "threshold_pct", rural_col: str | None = None,
-                partners: list[str] | None = None, keep_unmatched: bool = False) -> DataFrame:
-    """One row per (request, eligible carrier): quote, rank and evaluation.
+def with_carriers(requests: DataFrame, min_on_time_col: str = "min_on_time_pct", predictor=None) -> DataFrame:
+    """Per carrier i: ``eligible_i``, ``cost_i`` (the quote) and the predictor's columns; ``num_options``.
 
-    The carrier table is ten fixed rows, broadcast; eligibility (weight <= carrier max, cold chain
-    available when required, origin region covered, avg - variance >= min on-time - 10) is the
-    join condition.  Rank (cost, then carrier order) and the option count are windows on the
-    request key.  With ``keep_unmatched`` requests without any carrier keep one row with nulls.
+    Eligible: weight <= carrier max, cold chain available when required, origin region covered,
+    avg - variance >= min on-time - 10.
     """
-    partners = partners or CARRIER_PARTNERS
-    c = carrier_table(spark)
+    cs = carriers()
     d, w = F.col("route_distance_km"), F.col("route_weight_kg")
     cold, express = F.col("requires_cold_chain"), F.col("is_express")
-    cond = ((w <= F.col("max_weight_kg")) & (~cold | F.col("has_cold_chain"))
-            & F.array_contains(F.col("coverage_regions"), F.col("origin_region"))
-            & ((F.col("avg_on_time_pct") - F.col("on_time_variance")) >= (F.col(min_on_time_col) - 5) - 5))
-    j = requests.join(c, cond, "left" if keep_unmatched else "inner")
-    base = d * w * F.col("base_rate_per_kg_km")
-    base = F.when(express, base * F.col("express_multiplier")).otherwise(base)
-    base = F.when(cold, base * F.col("carrier_cold_multiplier")).otherwise(base)
-    ot = F.col("avg_on_time_pct")
-    ot = F.when(F.col("is_metro_to_metro"), ot + F.col("metro_to_metro_bonus")).otherwise(ot)
+    floor = (F.col(min_on_time_col) - 5) - 5
+    out: dict[str, Column] = {}
+    for c in cs:
+        i = c["seq"]
+        ok = (w <= c["max_weight_kg"]) & F.col("origin_region").isin(*c["coverage_regions"]) & (
+            F.lit(c["avg_on_time_pct"] - c["on_time_variance"]) >= floor)
+        out[f"eligible_{i}"] = F.coalesce(ok if c["has_cold_chain"] else ok & ~cold, F.lit(False))
+        base = d * w * c["base_rate_per_kg_km"]
+        base = F.when(express, base * c["express_multiplier"]).otherwise(base)
+        base = F.when(cold, base * c["carrier_cold_multiplier"]).otherwise(base)
+        out[f"cost_{i}"] = round_half_up(F.greatest(base, F.lit(MIN_QUOTE_COST)), 2)
+    q = (predictor or baseline_predictor)(requests.withColumns(out), cs)
+    n = sum((F.col(f"eligible_{c['seq']}").cast("int") for c in cs[1:]), F.col("eligible_0").cast("int"))
+    return q.withColumn("num_options", n)
+
+
+def ai_carbon() -> Column:
+    """AI emissions of evaluating a request's options, shared evenly by them."""
+    n = F.col("num_options").cast("long")
+    return F.when(n > 0, ((F.lit(dims.dict_value(dims.MODEL_ENERGY_WH, "gradient-boosting")) * (n * 3)) / 1000
+                          * F.lit(dims.dict_value(dims.GRID_GCO2_PER_KWH, "india"))) / n)
+
+
+def total_carbon(i: int) -> Column:
+    return transport_carbon(i) + ai_carbon()
+
+
+def transport_carbon(i: int) -> Column:
+    return F.col("route_distance_km") * F.lit(carriers()[i]["factor"]) * F.col("cold_chain_multiplier")
+
+
+def meets_sla(i: int) -> Column:
+    return F.col(f"p_on_time_{i}") >= F.col("threshold_pct")
+
+
+def option_fields(pick: Column, rural_col: str | None = None) -> dict[str, Column]:
+    """The fields (``rank`` excepted) of the option whose carrier number is ``pick``.
+
+    Everything is one lookup by number: in a constant array for what the carrier has, in an array of
+    the ten columns for what ``with_carriers`` worked out.
+    """
+    cs = carriers()
+
+    def has(name: str) -> Column:
+        return F.element_at(F.lit([c[name] for c in cs]) if name != "factor" else F.array(*[F.lit(c[name]) for c in cs]), pick + 1)
+
+    def worked_out(prefix: str) -> Column:
+        return F.element_at(F.array(*[F.col(f"{prefix}_{c['seq']}") for c in cs]), pick + 1)
+
+    d, cold = F.col("route_distance_km"), F.col("requires_cold_chain")
+    ot = F.when(F.col("is_metro_to_metro"), has("avg_on_time_pct") + has("metro_to_metro_bonus")).otherwise(has("avg_on_time_pct"))
     if rural_col is not None:
-        ot = F.when(F.col(rural_col), ot - F.col("rural_penalty")).otherwise(ot)
+        ot = F.when(F.col(rural_col), ot - has("rural_penalty")).otherwise(ot)
     ot = clamp(ot - _weather_penalty(F.col("quote_weather")), 50.0, 99.9)
-    half = F.col("on_time_variance") / 2
-    carbon_kg = (d * F.col("carbon_gco2_per_km")) / 1000
+    half = has("on_time_variance") / 2
+    carbon_kg = (d * has("carbon_gco2_per_km")) / 1000
     carbon_kg = F.when(cold, carbon_kg * QUOTE_COLD_CARBON_FACTOR).otherwise(carbon_kg)
-    pred = baseline_predictor(partners)
-    transport = d * F.col("c_vfac") * F.col("cold_chain_multiplier")
-    cost = round_half_up(F.greatest(base, F.lit(MIN_QUOTE_COST)), 2)
-    matched = F.col("code").isNotNull()
-    q = j.withColumns({
-        "cost_inr": F.when(matched, cost), "carrier_code": F.col("code"), "carrier_name": F.col("name"),
-        "carrier_type": F.col("type"),
-        "estimated_on_time_pct": round_half_up(ot, 1),
+    transport = d * has("factor") * F.col("cold_chain_multiplier")
+    on_time = worked_out("p_on_time")
+    return {
+        "cost_inr": worked_out("cost"), "seq": pick, "carrier_code": has("code"), "carrier_name": has("name"),
+        "carrier_type": has("type"), "estimated_on_time_pct": round_half_up(ot, 1),
         "on_time_low": round_half_up(clamp(ot - half, 50.0, 99.9), 1),
-        "on_time_high": round_half_up(clamp(ot + half, 50.0, 99.9), 1),
-        "carbon_kg": round_half_up(carbon_kg, 2),
-        "delivery_partner_opt": F.col("c_partner"), "vehicle_type_opt": F.col("c_vehicle"),
-        "predicted_cost": F.when(matched, pred["predicted_cost"]),
-        "predicted_on_time_pct": pred["predicted_on_time_pct"],
-        "predicted_carbon_gco2": pred["predicted_carbon_gco2"],
-        "transport_carbon_gco2": transport,
-        "meets_sla": pred["predicted_on_time_pct"] >= F.col("threshold_pct"),
-    })
-    by_req = Window.partitionBy("shipment_id")
-    n = F.count("code").over(by_req)
-    ai = F.when(n > 0, ((F.lit(dims.dict_value(dims.MODEL_ENERGY_WH, "gradient-boosting")) * (n * 3)) / 1000
-                        * F.lit(dims.dict_value(dims.GRID_GCO2_PER_KWH, "india"))) / n)
-    q = q.withColumns({
-        "rank": F.when(matched, F.row_number().over(by_req.orderBy(F.col("cost_inr").asc_nulls_last(), "seq"))),
-        "num_options": n.cast("int"), "ai_carbon_gco2": ai})
-    q = q.withColumn("total_carbon_gco2", F.col("transport_carbon_gco2") + F.col("ai_carbon_gco2"))
-    carrier_cols = [x for x in c.columns if x not in ("has_cold_chain", "has_ev_fleet", "seq")]
-    return q.drop(*carrier_cols)
+        "on_time_high": round_half_up(clamp(ot + half, 50.0, 99.9), 1), "carbon_kg": round_half_up(carbon_kg, 2),
+        "has_cold_chain": has("has_cold_chain"), "has_ev_fleet": has("has_ev_fleet"), "is_express": F.col("is_express"),
+        "delivery_partner": has("partner"), "vehicle_type": has("vehicle"),
+        "predicted_cost": worked_out("p_cost"), "predicted_on_time_pct": on_time,
+        "predicted_carbon_gco2": worked_out("p_carbon"), "transport_carbon_gco2": transport,
+        "ai_carbon_gco2": ai_carbon(), "total_carbon_gco2": transport + ai_carbon(), "meets_sla": on_time >= F.col("threshold_pct")}
 
 
-def option_struct() -> Column:
-    """The option columns of ``option_rows`` packed in one struct (null for an unmatched request)."""
-    names = {"delivery_partner": "delivery_partner_opt", "vehicle_type": "vehicle_type_opt"}
-    return F.when(F.col("carrier_code").isNotNull(),
-                  F.struct(*[F.col(names.get(f, f)).alias(f) for f in OPTION_FIELDS]))
+def chosen_fields(pick: Column, names: list[str]) -> dict[str, Column]:
+    fields = option_fields(pick)
+    return {n: F.when(pick.isNotNull(), fields[n]) for n in names}
 
 
 def carrier_options(spark, shipments: DataFrame, deliveries: DataFrame, rates: dict | None = None,
                     weather_obs_latest: DataFrame | None = None) -> DataFrame:
     """Requests with risk, the SLA actually quoted and the attached delay-rate columns
-    (one row per request); ``option_rows`` / ``choice.decide`` take it from here."""
-    from cargolens.session import ensure_parallelism
-
+    (one row per request); ``explode_options`` / ``choice.decide`` take it from here."""
     rates = rates or history_rates(deliveries)
-    r = prepare_requests(spark, ensure_parallelism(shipments))
+    r = prepare_requests(spark, shipments)
     if weather_obs_latest is not None:
         r = r.join(F.broadcast(weather_obs_latest), "shipment_id", "left")
     else:
@@ -337,7 +379,20 @@ def carrier_options(spark, shipments: DataFrame, deliveries: DataFrame, rates: d
     return drop_rates(r, rates).drop(*risk_cols)
 
 
-def explode_options(spark, requests: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per eligible option: ``keep`` request columns plus the option fields."""
-    o = option_rows(spark, requests, "min_on_time_pct")
-    return o.select(*keep, option_struct().alias("o")).select(*keep, "o.*")
+def explode_options(spark, requests: DataFrame, keep: list[str], fields: list[str] | None = None, predictor=None,
+                    rural_col: str | None = None) -> DataFrame:
+    """One row per eligible option: ``keep`` request columns plus the option fields, ``rank`` by quote.
+
+    The options of a request are sorted in its row (cost, then carrier order); their fields are looked up
+    after that.
+    """
+    q = with_carriers(requests, "min_on_time_pct", predictor)
+    keys = [F.when(F.col(f"eligible_{c['seq']}"), F.struct(F.col(f"cost_{c['seq']}").alias("cost"), F.lit(c["seq"]).alias("seq")))
+            for c in carriers()]
+    n = F.col("num_options")
+    # Nulls, the carriers that are not eligible, sort first and are cut off.
+    ranked = F.slice(F.sort_array(F.array(*keys)), F.lit(len(keys) + 1) - n, n)
+    # The outer form and a filter after it: otherwise the whole array would be worked out twice, once to filter.
+    out = q.select("*", F.posexplode_outer(ranked).alias("_at", "_o")).where(F.col("_o").isNotNull()).withColumn("_pick", F.col("_o.seq"))
+    per = option_fields(F.col("_pick"), rural_col) | {"rank": F.col("_at") + 1}
+    return out.select(*keep, *[per[f].alias(f) for f in (fields or OPTION_FIELDS)])

@@ -50,9 +50,8 @@ def score(df: DataFrame, spark, p_col: str = "delay_probability") -> DataFrame:
 
 
 def merge_risk_factors(model: Column, external: Column) -> Column:
-    """Model factors followed by external ones that are non-empty and not already present."""
-    ext = F.filter(external, lambda x: x.isNotNull() & (F.trim(x) != ""))
-    return F.concat(model, F.array_except(ext, model))
+    """Model factors followed by external ones that are non-empty and not among the model's; repeats stay."""
+    return F.concat(model, F.filter(external, lambda x: x.isNotNull() & (F.trim(x) != "") & ~F.array_contains(model, x)))
 
 
 def forecast_failures(scored: DataFrame, features: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Registry of runnable queries: one entry per operator ID of the survey.
 
 Each entry takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
-tables in ``sf_dir``.  Oracle SQL for the same IDs lives in ``plans.oracle``.
+tables in ``sf_dir``; its oracle SQL is registered beside it.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Importing the modules registers their queries.
     from cargolens.plans import (  # noqa: F401
-        q_carbon, q_choice, q_composite, q_io, q_lanes, q_ml, q_pipelines, q_risk, q_stream, q_text, q_vendors,
+        q_carbon, q_choice, q_composite, q_io, q_lanes, q_ml, q_risk, q_stream, q_text, q_vendors,
     )
     return dict(QUERIES)
 

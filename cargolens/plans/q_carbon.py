@@ -123,7 +123,8 @@ PIVOT_MODELS = list(views.M)
 
 @query("model_country_pivot", "SELECT country, " + ", ".join(
     f"round(coalesce(sum(CASE WHEN model = '{m}' THEN carbon_gco2 * 1000 END), 0.0), 2) AS {carbon._safe(m)}"
-    for m in PIVOT_MODELS) + " FROM inf_carbon GROUP BY country")
+    for m in PIVOT_MODELS) + ", round(coalesce(sum(CASE WHEN model IN (" + ", ".join(f"'{m}'" for m in PIVOT_MODELS)
+    + ") THEN NULL ELSE carbon_gco2 * 1000 END), 0.0), 2) AS other FROM inf_carbon GROUP BY country")
 def q_model_country_pivot(spark, sf):
     return carbon.model_country_pivot(spark, views.inference_log(spark, sf), PIVOT_MODELS)
 

@@ -194,8 +194,8 @@ def _decided(spark, sf, carry=None):
     return choice.decide(spark, _options(spark, sf), carry=carry)
 
 
-def _exploded(spark, sf, keep=("shipment_id",)):
-    return quotes.explode_options(spark, _options(spark, sf), list(keep))
+def _exploded(spark, sf, keep=("shipment_id",), fields=None):
+    return quotes.explode_options(spark, _options(spark, sf), list(keep), fields)
 
 
 @query("normalize_shipments", """
@@ -219,24 +219,23 @@ def q_join_policy(spark, sf):
 
 @query("carrier_eligibility", "SELECT shipment_id, carrier_code, seq FROM opt_quotes")
 def q_carrier_eligibility(spark, sf):
-    return _exploded(spark, sf).select("shipment_id", "carrier_code", "seq")
+    return _exploded(spark, sf, fields=["carrier_code", "seq"])
 
 
 @query("quote_price", "SELECT shipment_id, carrier_code, cost_inr FROM opt_quotes")
 def q_quote_price(spark, sf):
-    return _exploded(spark, sf).select("shipment_id", "carrier_code", "cost_inr")
+    return _exploded(spark, sf, fields=["carrier_code", "cost_inr"])
 
 
 @query("quote_on_time", """
 SELECT shipment_id, carrier_code, estimated_on_time_pct, on_time_low, on_time_high FROM opt_quotes""")
 def q_quote_on_time(spark, sf):
-    return _exploded(spark, sf).select("shipment_id", "carrier_code", "estimated_on_time_pct", "on_time_low",
-                                       "on_time_high")
+    return _exploded(spark, sf, fields=["carrier_code", "estimated_on_time_pct", "on_time_low", "on_time_high"])
 
 
 @query("quote_carbon", "SELECT shipment_id, carrier_code, carbon_kg FROM opt_quotes")
 def q_quote_carbon(spark, sf):
-    return _exploded(spark, sf).select("shipment_id", "carrier_code", "carbon_kg")
+    return _exploded(spark, sf, fields=["carrier_code", "carbon_kg"])
 
 
 QUOTE_COLS = ["shipment_id", "rank", "carrier_code", "carrier_name", "cost_inr", "estimated_on_time_pct", "carbon_kg",
@@ -245,7 +244,7 @@ QUOTE_COLS = ["shipment_id", "rank", "carrier_code", "carrier_name", "cost_inr",
 
 @query("shipment_carrier_quotes", f"SELECT {', '.join(QUOTE_COLS)} FROM opt_eval")
 def q_shipment_carrier_quotes(spark, sf):
-    return _exploded(spark, sf).select(*QUOTE_COLS).withColumn("rank", F.col("rank").cast("long"))
+    return _exploded(spark, sf, fields=QUOTE_COLS[1:]).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("route_options", """
@@ -256,7 +255,7 @@ SELECT e.shipment_id, e.carrier_code AS route_id, e.rank, r.route_distance_km AS
 FROM opt_eval e JOIN req_quote r USING (shipment_id)""")
 def q_route_options(spark, sf):
     e = _exploded(spark, sf, ["shipment_id", "route_distance_km", "route_weight_kg", "route_mode", "origin_region",
-                              "route_weather", "pkg"])
+                              "route_weather", "pkg"], ["carrier_code", "rank", "vehicle_type", "delivery_partner"])
     return e.select("shipment_id", F.col("carrier_code").alias("route_id"), F.col("rank").cast("long").alias("rank"),
                     F.col("route_distance_km").alias("distance_km"), F.col("route_weight_kg").alias("package_weight_kg"),
                     F.lit(quotes.ROUTE_RATING).alias("delivery_rating"), "vehicle_type", "delivery_partner",
@@ -282,7 +281,8 @@ SELECT e.shipment_id, e.rank, e.carrier_code, e.carrier_name AS carrier, e.deliv
   pc.cluster, pc.cluster_type
 FROM opt_eval e LEFT JOIN partner_cluster pc ON pc.delivery_partner = e.delivery_partner""")
 def q_carrier_options(spark, sf):
-    e = _exploded(spark, sf)
+    e = _exploded(spark, sf, fields=["rank", "carrier_code", "carrier_name", "delivery_partner", "predicted_cost",
+                                     "predicted_on_time_pct", "predicted_carbon_gco2", "meets_sla", "cost_inr", "carbon_kg"])
     stats = vendors.vendor_stats(views.deliveries(spark, sf, ["delivery_partner", "delivery_cost", "distance_km",
                                                               "delayed", "delivery_rating"]))
     clusters = option_clusters(stats)
@@ -305,7 +305,7 @@ def option_clusters(stats):
 SELECT e.shipment_id, e.carrier_code, e.delivery_partner, pc.cluster, pc.cluster_type
 FROM opt_eval e LEFT JOIN partner_cluster pc ON pc.delivery_partner = e.delivery_partner""")
 def q_option_cluster_join(spark, sf):
-    e = _exploded(spark, sf)
+    e = _exploded(spark, sf, fields=["carrier_code", "delivery_partner"])
     stats = vendors.vendor_stats(views.deliveries(spark, sf, ["delivery_partner", "delivery_cost", "distance_km",
                                                               "delayed", "delivery_rating"]))
     return (e.join(F.broadcast(option_clusters(stats)), "delivery_partner", "left")
@@ -316,7 +316,7 @@ def q_option_cluster_join(spark, sf):
 SELECT shipment_id, carrier_code, round(predicted_on_time_pct, 6) AS predicted_on_time_pct, threshold_pct
 FROM opt_eval WHERE predicted_on_time_pct >= threshold_pct""")
 def q_sla_filter(spark, sf):
-    e = _exploded(spark, sf, ["shipment_id", "threshold_pct"]).where(F.col("meets_sla"))
+    e = _exploded(spark, sf, ["shipment_id", "threshold_pct"], ["carrier_code", "predicted_on_time_pct", "meets_sla"]).where(F.col("meets_sla"))
     return e.select("shipment_id", "carrier_code", r6("predicted_on_time_pct").alias("predicted_on_time_pct"),
                     "threshold_pct")
 
@@ -338,7 +338,7 @@ SELECT shipment_id, carrier_code, delivery_partner, vehicle_type, round(predicte
   round(CASE WHEN stakes = 'standard' THEN total_carbon_gco2 ELSE predicted_cost END, 6) AS objective_value
 FROM opt_best""")
 def q_route_choice(spark, sf):
-    d = _decided(spark, sf, carry=[]).where(F.col("best").isNotNull())
+    d = _decided(spark, sf, carry=[]).where(F.col("num_options") > 0)
     b = F.col("best")
     return d.select("shipment_id", b["carrier_code"].alias("carrier_code"), b["delivery_partner"].alias("delivery_partner"),
                     b["vehicle_type"].alias("vehicle_type"), r6(b["predicted_cost"]).alias("cost"),
@@ -360,7 +360,7 @@ SELECT b.shipment_id, CASE b.stakes {_LABELS} ELSE 'low_stakes' END AS agent_typ
   round(CASE WHEN b.total_carbon_gco2 > 0 THEN b.predicted_on_time_pct / b.total_carbon_gco2 ELSE 0.0 END * 1e6, 6) AS casp_e6
 FROM opt_best b JOIN req_quote r USING (shipment_id)""")
 def q_stakes_decision(spark, sf):
-    d = _decided(spark, sf).where(F.col("best").isNotNull())
+    d = _decided(spark, sf).where(F.col("num_options") > 0)
     return d.select("shipment_id", "agent_type", F.col("threshold_pct").alias("on_time_threshold"),
                     F.col("decision_priority").alias("priority"), "cold_chain_required",
                     r6(F.col("casp_score") * 1e6).alias("casp_e6"))
@@ -372,7 +372,7 @@ SELECT b.shipment_id, f.carrier_code AS baseline_lowest_on_time_carrier,
 FROM opt_best b JOIN opt_fast f USING (shipment_id)
 WHERE b.stakes = 'standard' AND f.total_carbon_gco2 > 0""")
 def q_carbon_savings(spark, sf):
-    d = _decided(spark, sf).where(F.col("carbon_savings_pct").isNotNull())
+    d = _decided(spark, sf).where((F.col("num_options") > 0) & (F.col("stakes") == "standard"))  # carbon of an option is positive
     return d.select("shipment_id", "baseline_lowest_on_time_carrier", r6("carbon_savings_pct").alias("carbon_savings_pct"))
 
 
@@ -394,7 +394,7 @@ SELECT shipment_id, carrier_code, meets_sla,
                                           round(threshold_pct, 0)) END AS warning
 FROM opt_eval""")
 def q_constraint_warning(spark, sf):
-    e = _exploded(spark, sf, ["shipment_id", "threshold_pct"])
+    e = _exploded(spark, sf, ["shipment_id", "threshold_pct"], ["carrier_code", "predicted_on_time_pct", "meets_sla"])
     return e.select("shipment_id", "carrier_code", "meets_sla",
                     choice.constraint_warning(F.col("predicted_on_time_pct"), F.col("threshold_pct"),
                                               F.col("meets_sla")).alias("warning"))
@@ -406,7 +406,7 @@ SELECT b.shipment_id, floor(bb.bench * 100 + 0.5) / 100 AS industry_benchmark, r
   CASE WHEN b.predicted_cost < bb.bench THEN 'Below benchmark' ELSE 'Above benchmark' END AS efficiency
 FROM opt_best b JOIN opt_bench bb USING (shipment_id) WHERE bb.bench > 0""")
 def q_cost_vs_benchmark(spark, sf):
-    d = _decided(spark, sf).where(F.col("industry_benchmark_raw") > 0)
+    d = _decided(spark, sf).where(F.col("num_options") > 0)  # no quote is below the minimum price
     bench, cost = F.col("industry_benchmark_raw"), F.col("best")["predicted_cost"]
     return d.select("shipment_id", round_half_up(bench, 2).alias("industry_benchmark"), r6(cost).alias("cost"),
                     r6("benchmark_pct").alias("benchmark_pct"),

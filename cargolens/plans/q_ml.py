@@ -60,8 +60,9 @@ def q_top_k_importance(spark, sf):
     feats = m.transform(d.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in feats.values() for a in group}
     imp = m.stages[-1].featureImportances.toArray()
-    rows = [(names.get(i, str(i)).replace("num_scaled_", "").replace("_oh_", "_")[:25], float(v))
-            for i, v in enumerate(imp)]
+    # The assembled vector starts with the scaled numerics, which carry no names of their own.
+    label = {i: n for i, n in enumerate(ml.NUMERIC)}
+    rows = [(label.get(i, names.get(i, str(i)).replace("_oh_", "_"))[:25], float(v)) for i, v in enumerate(imp)]
     from cargolens.sources import dims
     t = dims.local_table(spark, rows, "feature string, importance double")
     return t.orderBy(F.col("importance").desc(), F.col("feature")).limit(10)
@@ -98,7 +99,7 @@ def q_vendor_kmeans(spark, sf):
 def q_vendor_kmeans_by_vendor_id(spark, sf):
     stats = vendors.vendor_stats(views.deliveries(spark, sf, ["vendor_id", "delivery_cost", "distance_km", "delayed",
                                                               "delivery_rating"]), key="vendor_id")
-    out, _ = ml.vendor_kmeans(stats, k=4, seeds=3, key="vendor_id")
+    out, _ = ml.vendor_kmeans(stats, k=4, key="vendor_id")
     return out.select("vendor_id", "cluster")
 
 
@@ -117,11 +118,9 @@ def q_cross_validation(spark, sf):
     for k in range(5):
         m = ml.fit_regressor(d.where(F.col("fold") != k), "delivery_cost", 5)
         p = m.transform(d.where(F.col("fold") == k))
-        mean = F.avg("delivery_cost").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())
-        r = p.select(F.lit(k).alias("fold"), F.abs(F.col("delivery_cost") - F.col("pred_delivery_cost")).alias("ae"),
-                     ((F.col("delivery_cost") - F.col("pred_delivery_cost")) ** 2).alias("se"),
-                     ((F.col("delivery_cost") - mean) ** 2).alias("st"))
-        per.append(r.groupBy("fold").agg((1 - F.sum("se") / F.sum("st")).alias("r2"), F.avg("ae").alias("mae")))
+        y, e = F.col("delivery_cost"), F.col("delivery_cost") - F.col("pred_delivery_cost")
+        # n * var_pop is the sum of squares around the fold's mean: one pass, partial sums.
+        per.append(p.agg((1 - F.sum(e * e) / (F.count(y) * F.var_pop(y))).alias("r2"), F.avg(F.abs(e)).alias("mae")))
     folds = per[0]
     for x in per[1:]:
         folds = folds.unionByName(x)

@@ -13,12 +13,13 @@ from cargolens.plans.sqlkit import register
 from cargolens.sources import views
 
 LATE = "CASE WHEN delayed = 'yes' THEN 1 ELSE 0 END"
-RISK_COLS = ["delivery_id", "package_type", "delivery_partner", "weather_condition", "distance_km",
-             "package_weight_kg", "delayed", "delivery_cost", "vehicle_type", "region"]
+SCORE_COLS = ["delivery_id", "package_type", "delivery_partner", "weather_condition", "distance_km",
+              "package_weight_kg", "delayed"]
+RISK_COLS = [*SCORE_COLS, "delivery_cost", "vehicle_type", "region"]  # the last needs the supplier join
 
 
 def _scored(spark, sf):
-    d = views.deliveries(spark, sf, RISK_COLS)
+    d = views.deliveries(spark, sf, SCORE_COLS)
     return risk.score(risk.with_history(d, d), spark)
 
 
@@ -333,9 +334,8 @@ def q_compare_package_types(spark, sf):
 
 
 def _routes(spark, sf):
-    p = quotes.prepare_requests(spark, q_choice._requests(spark, sf))
-    veh = views.shipments(spark, sf, ["shipment_id", "vehicle_type"])
-    return p.select("shipment_id", F.col("route_distance_km").alias("distance_km")).join(veh, "shipment_id")
+    s = views.shipments(spark, sf).withColumn("package_type", F.col("raw_package_type"))
+    return quotes.prepare_requests(spark, s).select("shipment_id", F.col("route_distance_km").alias("distance_km"), "vehicle_type")
 
 
 _GRID_ROWS = ", ".join(f"('{c}', {g!r}::DOUBLE)" for c, g in __import__("cargolens.sources.dims", fromlist=["x"]).GRID_GCO2_PER_KWH)

@@ -28,7 +28,7 @@ def q_stream_inference_ledger(spark, sf):
 SELECT delivery_id, package_type, delivery_partner, round(risk_score, 6) AS risk_score, risk_level, risk_factors
 FROM del_risk WHERE alert_required""")
 def q_stream_risk_alerts(spark, sf):
-    d = views.deliveries(spark, sf, q_risk.RISK_COLS)
+    d = views.deliveries(spark, sf, q_risk.SCORE_COLS)
     src = jobs.stage_files(d, spark, "delivery_events")
     out, ck = files.scratch_path(spark, "alerts"), files.scratch_path(spark, "alerts_ckpt")
     jobs.risk_alert_stream(spark, src, d, out, ck, d.schema)

@@ -151,12 +151,14 @@ def _region_sql(col: str) -> str:
 
 
 @query("infer_region_from_state", f"""
-SELECT e.shipment_id, coalesce(c.region, {_region_sql('e.request_text')}) AS region
-FROM extracted e LEFT JOIN dim_city c ON c.key = e.origin""")
+SELECT e.shipment_id, coalesce(c.region, c2.region, {_region_sql('e.origin')}) AS region
+FROM extracted e LEFT JOIN dim_city c ON c.key = e.origin LEFT JOIN dim_city c2 ON c2.key = e.destination""")
 def q_infer_region_from_state(spark, sf):
+    """The origin city's region, else the destination city's, else a state named in the origin."""
     e = extracted(spark, sf)
-    city = dims.lookup("dim_city", F.col("origin"))
-    return e.select("shipment_id", F.coalesce(city["region"], text.region_from_text(F.col("request_text"))).alias("region"))
+    origin, destination = (dims.lookup("dim_city", F.col(c)) for c in ("origin", "destination"))
+    return e.select("shipment_id", F.coalesce(origin["region"], destination["region"],
+                                              text.region_from_text(F.col("origin"))).alias("region"))
 
 
 def _valid_sql(col: str, values: list[str], default: str) -> str:

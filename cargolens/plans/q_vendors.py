@@ -202,9 +202,12 @@ def q_geographic_clustering(spark, sf):
         "region_amp_raw")
 
 
-@query("cold_chain_fragility", "SELECT * EXCLUDE (cold_amp_raw) FROM cold_frag")
+@query("cold_chain_fragility", """
+SELECT f.* EXCLUDE (cold_amp_raw), x.deliveries
+FROM cold_frag f JOIN (SELECT lower(package_type) AS package_type, count(*) AS deliveries FROM deliveries GROUP BY 1) x USING (package_type)""")
 def q_cold_chain_fragility(spark, sf):
-    return vendors.cold_chain_fragility(spark, vendors.package_keys(spark)).drop("cold_amp_raw")
+    keys = _d(spark, sf, "package_type").groupBy(F.lower("package_type").alias("package_type")).agg(F.count(F.lit(1)).alias("deliveries"))
+    return vendors.cold_chain_fragility(spark, keys).drop("cold_amp_raw").join(keys, "package_type")
 
 
 @query("amplification_risk", """

@@ -42,21 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
     path = tempfile.mkdtemp(prefix="cargolens-ckpt-", dir=os.environ.get("CARGOLENS_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def ensure_parallelism(df):
-    """Spread a scan that arrived in fewer partitions than the cluster has cores.
-
-    Large inputs already come in many splits and are left alone (no shuffle); a small input read
-    as one split (e.g. a single-row-group file) is round-robin repartitioned so per-row work is
-    not confined to one task.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

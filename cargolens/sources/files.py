@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cargolens.session import ensure_checkpoint_dir
 
@@ -61,8 +62,20 @@ def ledger_append(df: DataFrame, path: str, partition_by: str = "country") -> st
     return path
 
 
+def json_safe(c: Column, kind: T.DataType) -> Column:
+    """The column with every NaN, also inside arrays, maps and structs, as null."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: json_safe(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[json_safe(c.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
 def json_safe_export(df: DataFrame) -> DataFrame:
-    """One JSON text per row; NaN doubles become null, arrays and structs are kept."""
-    fixed = [F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c)
-             for c, t in df.dtypes]
-    return df.select(F.to_json(F.struct(*fixed)).alias("json"))
+    """One JSON text per row; NaN becomes null at any depth and null keys are written."""
+    row = F.struct(*[json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+    return df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))

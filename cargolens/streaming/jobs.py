@@ -18,7 +18,7 @@ from cargolens.sources import files
 def inference_ledger_stream(spark: SparkSession, events_dir: str, out_dir: str, checkpoint: str,
                             schema) -> None:
     """Running totals per (model, country); complete output rewritten to ``out_dir`` per micro-batch."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(events_dir)
+    stream = spark.readStream.schema(schema).parquet(events_dir)
     totals = carbon.inference_carbon(spark, stream).groupBy("model", "country").agg(
         F.sum("num_inferences").alias("total_inferences"), F.sum("carbon_gco2").alias("total_carbon_gco2"))
 
@@ -33,7 +33,7 @@ def inference_ledger_stream(spark: SparkSession, events_dir: str, out_dir: str,
 def risk_alert_stream(spark: SparkSession, deliveries_dir: str, history: DataFrame, out_dir: str,
                       checkpoint: str, schema) -> None:
     """Score arriving deliveries against static history (broadcast) and append alert rows."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(deliveries_dir)
+    stream = spark.readStream.schema(schema).parquet(deliveries_dir)
     scored = risk.score(risk.with_history(stream, history), spark)
     alerts = scored.where(F.col("alert_required")).select(
         "delivery_id", "package_type", "delivery_partner", "risk_score", "risk_level",
@@ -43,8 +43,8 @@ def risk_alert_stream(spark: SparkSession, deliveries_dir: str, history: DataFra
     q.awaitTermination()
 
 
-def stage_files(df: DataFrame, spark: SparkSession, name: str, n_files: int = 4) -> str:
-    """Write ``df`` as ``n_files`` parquet files: a replayable event folder for the stream jobs."""
+def stage_files(df: DataFrame, spark: SparkSession, name: str) -> str:
+    """Write ``df`` as a replayable event folder for the stream jobs, a file for each of its partitions."""
     path = files.scratch_path(spark, name)
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return path
