@@ -103,19 +103,25 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .join(heads.select(F.col("id").alias("next"), F.col("h").alias("next_h")), "next"))
     links = cut(links.select("id", "h", "next", "next_h", F.floor(F.col("n_chars") / 2).cast("int").alias("half")))
 
-    texts = rows.select("id", "h", "n_chars", "text").repartition("id")
+    # Both joins below read one shuffle of the texts, so both take the same columns and rows of it.
+    texts = rows.where("id is not null").select("id", "h", "text").repartition("id")
     wanted = links.select(F.col("id").alias("for_id"), F.col("h").alias("for_h"), F.col("next").alias("id"),
                           F.col("next_h").alias("want_h"), "half")
     # The hash is compared as a difference, so that joins and sums all use the one partitioning by id.
     put = (texts.join(wanted, "id").where(F.col("h") - F.col("want_h") == 0)
            .select("for_id", "for_h", F.substring("text", F.lit(1), F.col("half")).alias("put"))
            .repartition("for_id").groupBy("for_id", "for_h").agg(F.max("put").alias("put")))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = texts.join(put, (F.col("id") == F.col("for_id")) & (F.col("h") - F.col("for_h") == 0), "left").select(
-        "id", "h", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half),
-                            F.coalesce("put", F.lit(""))).alias("text"))
-    edited = edited.select("id", "h", F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"), "text")
-    after = fingerprints(edited, ["id", "h", "edited_sha256"]).withColumnsRenamed({"hi": "hi2", "lo": "lo2"})
+    n = F.length("text")
+    first_half = F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int"))
+    edited = texts.join(put, (F.col("id") == F.col("for_id")) & (F.col("h") - F.col("for_h") == 0)).select(
+        "id", "h", F.concat(first_half, F.col("put")).alias("text"))
+    alone = rows.where("id is null").select("id", "h", first_half.alias("text"))
+
+    def after_edit(df: DataFrame) -> DataFrame:
+        df = df.select("id", "h", F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"), "text")
+        return fingerprints(df, ["id", "h", "edited_sha256"])
+
+    after = after_edit(edited).unionByName(after_edit(alone)).withColumnsRenamed({"hi": "hi2", "lo": "lo2"})
 
     def same(a: str, b: str) -> Column:
         return F.col(a).eqNullSafe(F.col(b))
