@@ -25,6 +25,15 @@ def awkward_rows() -> list[tuple]:
     return rows
 
 
+@pytest.fixture(scope="package", autouse=True)
+def few_partitions(spark):
+    """The tables are small and the jobs many."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def awkward(spark):
     return spark.createDataFrame(awkward_rows(), DOCS).repartition(3).cache()

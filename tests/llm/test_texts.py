@@ -117,16 +117,15 @@ def test_personal_data_rows(awkward, nothing):
 
 def brute_print(spark, text):
     words = (text or "").encode().split()
-    pairs = [(a.decode(), b.decode() if b else None) for a, b in zip(words, [*words[1:], None], strict=True)]
+    pairs = [(a.decode(), b.decode() if b else None) for a, b in zip(words, [*words[1:], None], strict=False)]
     if not pairs:
         return "0" * 32
     rows = spark.createDataFrame(pairs, "a string, b string").select(F.xxhash64(F.lit(1), "a", "b"), F.xxhash64(F.lit(2), "a", "b")).collect()
     out = 0
-    for r in rows[:0] or [None]:
-        for word in (0, 1):
-            for bit in reversed(range(64)):
-                ones = sum((x[word] >> bit) & 1 for x in rows)
-                out = out << 1 | (2 * ones > len(rows))
+    for word in (0, 1):
+        for bit in reversed(range(64)):
+            ones = sum((x[word] >> bit) & 1 for x in rows)
+            out = out << 1 | (2 * ones > len(rows))
     return f"{out:032x}"
 
 
