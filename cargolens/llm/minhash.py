@@ -96,8 +96,8 @@ def bands_of(s: np.ndarray) -> np.ndarray:
 ROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
                  ("bands", pa.list_(pa.int64()))])
 #: Documents and shingles of one block; larger candidate groups are compared block by block.
-BLOCK_DOCS = 512
-BLOCK_SHINGLES = 2_000_000
+BLOCK_DOCS = 256
+BLOCK_SHINGLES = 500_000
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

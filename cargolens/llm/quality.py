@@ -19,7 +19,6 @@ result; lang, source and other columns are not read.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -62,7 +61,7 @@ def index_vectors() -> np.ndarray:
 def row_of(word: str, cache: dict[str, int]) -> int:
     r = cache.get(word)
     if r is None:
-        if len(cache) >= 300_000:
+        if len(cache) >= 100_000:
             cache.clear()
         r = cache[word] = zlib.crc32(word.lower().encode()) % BUCKETS
     return r
@@ -197,21 +196,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"vectors": vectors, "network": Network(x, y, calibrate)}
 
 
-_caches: dict[str, dict[str, int]] = {}
-
-
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted for every row."""
     held = F.coalesce(fold(id_col, 4) == 2, F.lit(False)).alias("held_out")
     if "share" in model:
         s = F.lit(model["share"])
         return docs.select(id_col, held, s.alias("score"), (s >= threshold).cast("int").alias("predicted"))
-    shared, run = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if run not in _caches:
-            _caches.clear()
-        cache = _caches.setdefault(run, {})
+        cache: dict[str, int] = {}
         vectors, network = shared.value["vectors"], shared.value["network"]
         for b in batches:
             x = np.zeros((len(b), FEATURES))
@@ -241,13 +235,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
     model = fit(docs, labels)
     if "share" in model:
         return docs
-    shared, run, names = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, docs.columns
-    at = names.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if run not in _caches:
-            _caches.clear()
-        cache = _caches.setdefault(run, {})
+        cache: dict[str, int] = {}
         vectors, network = shared.value["vectors"], shared.value["network"]
         for b in batches:
             x = np.zeros((len(b), FEATURES))

@@ -36,7 +36,7 @@ from cargolens.llm.words import BASE, INVERSE, U, mix
 SPACE = "▁"
 #: Longer words are searched one by one: there are too few of a length to advance together.
 TOGETHER = 40
-CACHE = 250_000
+CACHE = 100_000
 FILTER_BITS = 20
 PAIR_BITS = 20
 _units = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
@@ -164,8 +164,8 @@ class Codec:
         self.maybe[self.keys & U((1 << FILTER_BITS) - 1)] = True
         self.raw = [bytes([int(self.names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i)
                     else " ⁇ ".encode() if sp.is_unknown(i) else self.names[i].replace(SPACE, " ").encode() for i in range(n)]
-        self.cache: dict[str, array] = {}
-        self.older: dict[str, array] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _key(text: str) -> int:
@@ -284,7 +284,8 @@ class Codec:
             n -= k
         return out
 
-    def encode(self, texts: list[str]) -> list[array]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         split = [_units(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.cache) > CACHE:
             self.older, self.cache = self.cache, {}
@@ -306,17 +307,11 @@ class Codec:
                 ids = done[u[h - 1:] if h else u]
                 if h > 1:  # what is left of the run: its last space too if that joined no piece
                     ids = self._spaces(h) + ids[1:] if ids[0] == one else self._spaces(h - 1) + ids
-            self.cache[u] = array("i", ids)
-        out = []
-        for units in split:
-            ids = array("i")
-            for u in units:
-                ids.extend(cache[u])
-            out.append(ids)
-        return out
+            cache[u] = array("i", ids).tobytes()
+        return [np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32) for units in split]
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -337,7 +332,7 @@ def default_model() -> str:
 
 
 #: Texts that are encoded together, by characters.
-TOGETHER_CHARS = 8 << 20
+TOGETHER_CHARS = 4 << 20
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,7 +352,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
                 ids = c.encode(texts)
                 same = [c.decode(i) == t for i, t in zip(ids, texts, strict=True)]
                 sizes = np.array([len(i) for i in ids], np.int64)
-                flat = np.concatenate([np.frombuffer(i, np.int32) if len(i) else np.zeros(0, np.int32) for i in ids])
+                flat = np.concatenate(ids)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), lists, pa.array(sizes), pa.array(same)],
                                                  names=["id", "ids", "n_tokens", "round_trip"])

@@ -19,7 +19,7 @@ BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
 PIECE = 1 << 19
 #: Bytes of text that are worked on together.
-GROUP = 4 << 20
+GROUP = 2 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
