@@ -9,26 +9,30 @@ source and size have the same rate, so that table is an exact and far smaller st
 documents, and a source with a third of all rows is pre-aggregated before anything moves.
 
 Rates become whole copies by a fixed hash of the document id (so reruns agree); what this rounding
-leaves of a source's target is then made up by moving single documents of the fitting size by one copy.
+leaves of a source's target is then made up by as many moves by one copy as it takes, until no single
+move brings the source nearer to its target.
 
 Defined cases: null text has size 0; size 0 takes 0 words; a null source is a source of its own, last
-in order; an empty table gives an empty result; repeated rows are rounded alike; columns other than
-id, text and source are not read by ``mix``.
+in order; an empty table gives an empty result; repeated rows (same id and source) are rounded alike,
+so a source of them can end off its target; columns other than id, text and source are not read by ``mix``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import BROADCAST_ROWS, WORD, cut, text_of
+from cargolens.llm.common import BROADCAST_ROWS, WORD, counted_broadcast, cut, text_of
+from cargolens.session import ensure_checkpoint_dir
 
 #: Newton steps between two looks at whether all sources are solved, and steps at most.
 STEPS_AT_ONCE, NEWTON_STEPS = 4, 40
 #: Relative error of a source's tokens at which its multiplier counts as solved.
 TOLERANCE = 1e-6
-#: Rounds that move one document of a source each, and the relative error that is left alone.
-REPAIR_ROUNDS, CLOSE = 4, 1e-4
+#: Parts that a source's sizes, or the documents of one size, are dealt to for running sums.
+PARTS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -114,43 +118,124 @@ def solve(histogram: DataFrame, goals: DataFrame, most: int, few: bool) -> DataF
 
 
 def rounded(sized: DataFrame, solved: DataFrame, most: int, few: bool) -> DataFrame:
-    """``sized`` (id, source, size, ...) with its source's target, its rate and hashed whole ``copies``."""
+    """``sized`` (id, source, size, ...) with its source's target, its rate, its place ``u`` in [0, 1) among
+    the documents of its source and size, and hashed whole ``copies``: one more if ``u`` is below the fraction."""
     s = _beside(solved.withColumnRenamed("source", "_source"), few)
     u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("id").cast("string"), F.col("source")), 11) / F.lit(float(2 ** 53))
     rate = _rate(F.col("tilt"), F.col("size") / F.col("mean_size"), most)
     return (sized.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-            .withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)))
+            .withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0))).withColumn("u", u)
             .withColumn("copies", F.when(F.col("size") > 0, F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0))
                         .otherwise(0).cast("long")))
 
 
+def _rooms(rows: DataFrame, most: int, few: bool) -> DataFrame:
+    """``rows`` with what is ``left`` of the source's target, and how many copies of each size can be added or
+    taken away: ``near`` while every document keeps its rate rounded up or down, ``wide`` within 0 and ``most``."""
+    left = rows.groupBy(F.col("source").alias("_source")).agg(
+        (F.first("target") - F.sum(F.col("size") * F.col("had"))).alias("left"))
+    more = F.col("left") > 0
+    return (rows.join(_beside(left, few), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+            .withColumn("near", F.greatest(F.when(more, F.col("n") * F.col("up") - F.col("had")).otherwise(
+                F.col("had") - F.col("n") * F.col("down")), F.lit(0)))
+            .withColumn("wide", F.when(more, F.col("n") * most - F.col("had")).otherwise(F.col("had"))))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, by way of Parquet files: a checkpoint keeps its plan's estimated size, and joins multiply
+    those, so in a chain of rounds that join a table with itself the estimate's digits double every time."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/mixing-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _moved(rows: DataFrame, k: Column) -> DataFrame:
+    """The rows after moving ``k`` copies of each towards the target; ``k`` stays as a column."""
+    k = F.coalesce(k, F.lit(0)).cast("long")
+    return _stored(rows.select("source", "size", "n", "down", "up", "target",
+                               (F.col("had") + F.signum("left").cast("long") * k).alias("had"), k.alias("k")))
+
+
+def _spread(rows: DataFrame, most: int, few: bool) -> DataFrame:
+    """Moves the same share of every size's near room, rounded down."""
+    r = _rooms(rows, most, few)
+    room = F.when(F.col("size") <= F.abs("left"), F.col("near")).otherwise(0)
+    total = r.groupBy(F.col("source").alias("_source")).agg(F.sum(room * F.col("size")).alias("total"))
+    share = F.least(F.abs("left") / F.greatest("total", F.lit(1)), F.lit(1.0))
+    return _moved(r.join(_beside(total, few), F.col("source").eqNullSafe(F.col("_source"))), F.floor(room * share))
+
+
+def _prefix(rows: DataFrame, most: int, few: bool) -> DataFrame:
+    """Moves the sizes not above the remainder, in the order of a hash, as far as their running sum fits.
+
+    Near rooms are used while there are any.  The running sum has two levels, over the at most ``PARTS``
+    parts of a source and over the sizes in a part, so no task holds a source.
+    """
+    order = F.xxhash64(F.lit("move"), F.col("source"), F.col("size"))
+    r = _rooms(rows, most, few).withColumn("order", order).withColumn("part", F.pmod("order", F.lit(PARTS)))
+    fits = r.where(F.col("size") <= F.abs("left"))
+    parts = fits.groupBy(F.col("source").alias("_source"), F.col("part").alias("_part")).agg(
+        F.sum(F.col("near") * F.col("size")).alias("near_mass"), F.sum(F.col("wide") * F.col("size")).alias("wide_mass"))
+    near = F.sum("near_mass").over(Window.partitionBy("_source")) > 0
+    parts = parts.withColumn("use_near", near)
+    mass = F.when(F.col("use_near"), F.col("near_mass")).otherwise(F.col("wide_mass"))
+    earlier = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_source", "_part", "use_near", F.coalesce(F.sum(mass).over(earlier), F.lit(0)).alias("earlier"))
+    r = r.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")), "left")
+    room = F.when(F.col("size") <= F.abs("left"), F.when(F.col("use_near"), F.col("near")).otherwise(F.col("wide"))).otherwise(0)
+    before = Window.partitionBy("source", "part").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("room", room)
+    before = F.col("earlier") + F.coalesce(F.sum(F.col("room") * F.col("size")).over(before), F.lit(0))
+    r = r.withColumn("fit", F.floor((F.abs("left") - before) / F.col("size")))
+    return _moved(r, F.least(F.greatest("fit", F.lit(0)), F.col("room")))
+
+
+def _single(rows: DataFrame, most: int, few: bool) -> DataFrame:
+    """Moves one document of each source, the one that leaves least, if that is less than before."""
+    r = _rooms(rows, most, few)
+    rest = F.abs(F.abs("left") - F.col("size"))
+    best = r.where((F.col("wide") > 0) & (rest < F.abs("left"))).groupBy(F.col("source").alias("_source")).agg(
+        F.min_by("size", F.struct(rest, F.col("near") == 0, "size")).alias("_size"))
+    return _moved(r.join(_beside(best, few), F.col("source").eqNullSafe(F.col("_source")), "left"),
+                  F.when(F.col("size") == F.col("_size"), 1))
+
+
 def repairs(copied: DataFrame, most: int, few: bool) -> DataFrame:
-    """Documents to move by one copy: (_source, _id, move), at most ``REPAIR_ROUNDS`` of a source.
+    """Rules (_source, _size, base, last) for the sizes whose copies change: a document has ``base``
+    copies, and one more if its ``u`` is not above ``last``.
 
-    Documents of one source, size and number of copies are interchangeable, so the choice is made
-    on that table; each of its rows offers the document with the smallest id, once.
+    Documents of one source and size are interchangeable, so moves are decided on that table, by the
+    number of copies ``had`` of all its documents.  Every move brings its source nearer to the target,
+    so the rounds end; they do when no single document of less than twice the remainder can be moved.
     """
-    offers = cut(copied.where("size > 0").groupBy("source", "size", "copies").agg(
-        F.min("id").alias("id"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n"))
-        .withColumn("move", F.lit(0).cast("long")))
-    for _ in range(REPAIR_ROUNDS):
-        mass = F.col("size") * (F.col("copies") * F.col("n") + F.col("move"))
-        left = offers.groupBy(F.col("source").alias("_source")).agg(F.first("target").alias("_target"), F.sum(mass).alias("_mass"))
-        left = left.select("_source", (F.col("_target") - F.col("_mass")).alias("left"), "_target").where(F.abs("left") > CLOSE * F.col("_target"))
-        fits = (offers.where("move = 0").join(_beside(left, few), F.col("source").eqNullSafe(F.col("_source")))
-                .where(F.when(F.col("left") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0))
-                .where(F.abs(F.abs("left") - F.col("size")) < F.abs("left")))
-        best = fits.groupBy("_source").agg(F.min_by(F.struct("size", "copies", "left"), F.struct(
-            F.abs(F.abs("left") - F.col("size")), "id", "copies")).alias("b"))
-        best = best.select("_source", F.col("b.size").alias("_size"), F.col("b.copies").alias("_copies"), F.signum("b.left").cast("long").alias("_move"))
-        offers = cut(offers.join(_beside(best, few), F.col("source").eqNullSafe(F.col("_source"))
-                                 & (F.col("size") == F.col("_size")) & (F.col("copies") == F.col("_copies")), "left")
-                     .select("source", "size", "copies", "id", "target", "n", F.coalesce("_move", "move").alias("move")))
-    return cut(offers.where("move <> 0").groupBy(F.col("source").alias("_source"), F.col("id").alias("_id")).agg(F.sum("move").alias("move")))
+    n = F.col("n")
+    rows = _stored(copied.where("size > 0").groupBy("source", "size").agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.floor("rate")).alias("down"), F.first(F.ceil("rate")).alias("up"),
+        F.first("target").alias("target"), F.sum("copies").alias("had")))
+    hashed = rows.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("had").alias("hashed"))
+    rows = _spread(rows, most, few)
+    while True:
+        rows = _single(_prefix(rows, most, few), most, few)
+        if rows.where("k > 0").isEmpty():
+            break
+    rules = cut(rows.join(hashed, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+                .where("had <> hashed").select("_source", "_size", F.floor(F.col("had") / n).alias("base"), (F.col("had") % n).alias("extra")))
+    # The place of the extra-th document of a size: its part by counts, then its rank in the part.
+    docs = (copied.where("size > 0").join(counted_broadcast(rules.where("extra > 0")), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+            .select("_source", "_size", "extra", "u", F.floor(F.col("u") * PARTS).alias("part")))
+    parts = docs.groupBy("_source", "_size", "extra", "part").agg(F.count(F.lit(1)).alias("in_part"))
+    upto = Window.partitionBy("_source", "_size").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("rank", F.col("extra") - F.sum("in_part").over(upto) + F.col("in_part")).where("rank between 1 and in_part")
+    parts = parts.select(F.col("_source").alias("s"), F.col("_size").alias("z"), F.col("part").alias("p"), "rank")
+    there = docs.join(parts, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z")) & (F.col("part") == F.col("p")))
+    place = F.row_number().over(Window.partitionBy("_source", "_size").orderBy("u"))
+    last = there.withColumn("place", place).where("place = rank").select("s", "z", F.col("u").alias("last"))
+    return cut(rules.join(last, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z")), "left")
+               .select("_source", "_size", "base", F.coalesce("last", F.lit(-1.0)).alias("last")))
 
 
 def plan(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame, bool]:
-    """The small tables that decide every document's copies, solved sources and repairs, and
+    """The small tables that decide every document's copies, solved sources and rules, and
     whether the sources are few enough to be broadcast (there is another way beyond that)."""
     histogram = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     per_source = cut(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")))
@@ -159,11 +244,11 @@ def plan(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2)
     return solved, repairs(rounded(sized, solved, most, few), most, few), few
 
 
-def _decided(sized: DataFrame, solved: DataFrame, moves: DataFrame, few: bool, most: int) -> DataFrame:
+def _decided(sized: DataFrame, solved: DataFrame, rules: DataFrame, few: bool, most: int) -> DataFrame:
     out = rounded(sized, solved, most, few).join(
-        _beside(moves, few), F.col("source").eqNullSafe(F.col("_source")) & (F.col("id") == F.col("_id")), "left")
-    copies = F.col("copies") + F.when(F.col("size") > 0, F.coalesce("move", F.lit(0))).otherwise(0)
-    return out.withColumn("copies", F.least(F.greatest(copies, F.lit(0)), F.lit(most)).cast("long")).drop("_source", "_id", "move")
+        counted_broadcast(rules), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")), "left")
+    ruled = F.col("base") + F.when(F.col("u") <= F.col("last"), 1).otherwise(0)
+    return out.withColumn("copies", F.coalesce(ruled, F.col("copies")).cast("long")).drop("_source", "_size", "base", "last", "u")
 
 
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id",
@@ -180,7 +265,7 @@ def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
                     text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus itself: every document as often as it has copies, with the columns of ``docs``.
 
-    The texts never move: each row finds its copies from the two small tables where it is read.
+    The texts don't move while the two tables that decide can be broadcast: each row finds its copies where it is read.
     """
     names = docs.columns
     one = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"),

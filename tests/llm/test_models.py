@@ -114,6 +114,20 @@ def test_mixture_meets_its_targets(spark, awkward, which):
         assert sorted(again) == sorted(rows)
 
 
+def test_rounding_is_made_up_however_much_it_leaves(spark):
+    """Sources with a few very long documents, with different ones and with equal ones, each beside its target."""
+    short = [200 + i * 7919 % 201 for i in range(1500)]
+    sizes = {"a": short + [150_000], "b": short + [30_000] * 10, "c": [300] * 1500, "d": short, None: short + [150_000]}
+    rows = [(i, s, "w " * n) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.mix(docs, weights=(4, 5, 3, 5, 6), share=1.1).collect()
+    assert len(out) == len(rows) and all(0 <= r["copies"] <= 2 for r in out)
+    for s, ns in sizes.items():
+        mine = [r for r in out if r["source"] == s]
+        assert 0.5 < mine[0]["target"] / sum(ns) < 1.9
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= min(ns) / 2
+
+
 def test_tilted_rates_maximise_entropy(spark):
     """At the solution the odds of all documents of a source lie on one exponential of their size."""
     rows = [r for r in mixing.mix(table(spark, SF, "documents")).collect() if r["size"] and 1e-3 < r["rate"] < 2 - 1e-3]
