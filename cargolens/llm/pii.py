@@ -3,7 +3,9 @@
 Found and validated: e-mail addresses, IPv4 addresses (octets up to 255), payment card numbers (13 to 19 digits;
 those that satisfy the Luhn check keep satisfying it, others are permuted as plain account numbers), IBANs (mod 97),
 social security numbers (valid areas), telephone numbers (10 to 15 digits) and calendar dates from
-1900 to 2099.  A value that fails its validation is left alone.
+1900 to 2099.  Words or numbers that follow an IBAN or a card can look like further groups of it: ends at
+the group borders are tried too.  A value that fails its validation is left alone, and the search goes on
+behind its first group.
 
 Each value is a number below the size of its format's domain and is sent through a keyed Feistel network
 on that domain: two halves of mixed radix, ``ROUNDS`` rounds, walking the cycle until the result is inside.  That is a
@@ -44,12 +46,20 @@ _PATTERN = regex.compile(r"""
     (?P<email>(?<![\w.%+\-@])[\w.%+\-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*+)\.)+[A-Za-z]{2,}+)
   | (?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))
   | (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
-  | (?P<date>(?<![\w./\-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/\-]|\.\d))
+  | (?P<date>(?<![\w./\-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?!(?!T\d\d:?\d\d)[\w/\-]|\.\d))
   | (?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))
   | (?P<card>(?<![0-9A-Za-z+])\d(?:[ \-]?\d){12,18}(?![0-9A-Za-z]))
   | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\w])
-      |(?<![\w+])\+\d{10,15}(?![\w]))
+      |(?<![\w+])\+\d{10,15}(?![\w])
+      |(?<![\w+])(?:\+\d{1,3}[ .\-]?\d{1,2}|0\d)(?:[ .\-]\d{2}){4}(?![\w]))
 """, regex.VERBOSE)
+_first_group = regex.compile(r"\W*\w+").match
+#: Lengths of IBANs by country; other countries take any length.
+_IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 _anything = regex.compile(r"[@0-9]").search
 
 
@@ -211,20 +221,40 @@ def pseudonym(kind: str, value: str, p: Permutation) -> tuple[str, str] | None:
     return kind, code + _refill(value[len(code):], p.digits(rest, "phone"))
 
 
+def _ends(kind: str, value: str) -> list[int]:
+    """The lengths of a match to try, best first: other ends are group borders, as the next word may look like a group."""
+    if kind not in ("iban", "card"):
+        return [len(value)]
+    borders = [i for i in range(len(value), 0, -1) if i == len(value) or value[i] in " -" and value[i - 1].isalnum()]
+    flat = {i: "".join(c for c in value[:i] if c.isalnum()) for i in borders}
+    if kind == "iban":
+        usual = _IBAN_LENGTHS.get(value[:2])
+        return sorted(borders, key=lambda i: (len(flat[i]) != usual, -i))
+    cards = [i for i in borders if 13 <= len(flat[i]) <= 19 and len(set(flat[i])) > 1 and luhn_digit(flat[i][:-1]) == flat[i][-1]]
+    # One in ten longer numbers satisfies the check by chance, so the usual length comes first.
+    usual = {"2": 16, "4": 16, "5": 16, "6": 16}.get(value[0], 15 if value[:2] in ("34", "37") else 0)
+    return sorted(cards, key=lambda i: (len(flat[i]) != usual, -i)) or [len(value)]
+
+
 def rewrite(text: str, p: Permutation) -> tuple[str, Counter]:
     found: Counter = Counter()
     if not _anything(text):
         return text, found
 
-    def one(m: regex.Match) -> str:
-        new = pseudonym(m.lastgroup, m.group(), p)
-        if new is None:
-            return m.group()
-        found[new[0]] += 1
-        return new[1]
-
-    out = _PATTERN.sub(one, text)
-    return (out, found) if found else (text, found)
+    out, done, at = [], 0, 0
+    while m := _PATTERN.search(text, at):
+        kind, value = m.lastgroup, m.group()
+        for end in _ends(kind, value):
+            new = pseudonym(kind, value[:end], p)
+            if new is not None:
+                found[new[0]] += 1
+                out += [text[done:m.start()], new[1]]
+                done = at = m.start() + end
+                break
+        else:
+            # A number of one repeated digit is no card, and no part of it is anything else.
+            at = m.end() if kind == "card" else m.start() + _first_group(value).end()
+    return "".join(out) + text[done:], found
 
 
 def find_personal(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

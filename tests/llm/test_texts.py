@@ -106,6 +106,29 @@ def test_pseudonyms_keep_formats_and_link_equal_values():
     assert more == found and again != new
 
 
+def test_values_end_at_group_borders():
+    p = pii.Permutation(b"k")
+
+    def of(text):
+        return pii.rewrite(text, p)
+
+    for iban, tail in [("ES91 2100 0418 4502 0005 1332", " EUR"), ("BE68 5390 0754 7034", " BIC"), ("BE68 5390 0754 7034", " TOTAL"),
+                       ("BE68 5390 0754 7034", " 12 EUR")]:
+        new, found = of(iban + tail)
+        assert found == {"iban": 1} and new == of(iban)[0] + tail != iban + tail
+    for tail in (" 05/27", " 123", "-05", ""):
+        new, found = of("4111 1111 1111 1111" + tail)
+        assert found == {"card": 1} and new == of("4111 1111 1111 1111")[0] + tail and "4111 1111" not in new
+    assert of("XX12 4111 1111 1111 1111")[0] == "XX12 " + of("4111 1111 1111 1111")[0]  # no IBAN, but a card
+    for phone in ("06 12 34 56 78", "+33 1 23 45 67 89", "06.12.34.56.78"):
+        new, found = of(phone)
+        assert found == {"phone": 1} and new != phone and len(new) == len(phone)
+    new, found = of("at 2023-02-28T10:15:00Z")
+    assert found == {"date": 1} and new.endswith("T10:15:00Z") and "2023-02-28" not in new
+    for plain in ("0000 0000 0000 0000", "2023-02-28Today", "999.999.1.1"):
+        assert of(plain) == (plain, {})
+
+
 def test_personal_data_rows(awkward, nothing):
     rows = {r["doc_id"]: r for r in pii.find_personal(awkward).collect()}
     assert rows[0]["text"] is None and rows[1]["text"] == "" and rows[14]["kinds"] == "email:1,phone:1"
