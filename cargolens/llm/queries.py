@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cargolens.llm.common import importable_on_workers, table
 
@@ -73,8 +74,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cargolens.llm.byte_bpe import decode_documents, encode_documents
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    numbers = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", "n_tokens", F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    fns = [op1_quality, op2_token_counts, op3_ann_tree, op4_minhash, op5_phrases, op6_sentencepiece, op7_pii, op8_toxicity, op9_simhash, op10_mixing]
+    fns = [op1_quality, op2_token_counts, op3_ann_tree, op4_minhash, op5_phrases, op6_sentencepiece, op7_pii, op8_toxicity, op9_simhash, op10_mixing,
+           op12_byte_bpe]
     out: dict[str, Query] = {}
     for fn in fns:
         def run(spark: SparkSession, sf_dir: str, fn: Query = fn) -> DataFrame:
