@@ -85,9 +85,15 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargolens.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     fns = [op1_quality, op2_token_counts, op3_ann_tree, op4_minhash, op5_phrases, op6_sentencepiece, op7_pii, op8_toxicity, op9_simhash, op10_mixing,
-           op12_byte_bpe]
+           op12_byte_bpe, op13_whitening]
     out: dict[str, Query] = {}
     for fn in fns:
         def run(spark: SparkSession, sf_dir: str, fn: Query = fn) -> DataFrame:
