@@ -61,7 +61,7 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def _text_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+def text_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts in blocks of about ``limit`` bytes, over the borders of batches."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -88,7 +88,7 @@ def _text_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
 def _explode(batches: Iterator[pa.RecordBatch], kind: pa.DataType, limit: int) -> Iterator[pa.RecordBatch]:
     """A row for each block: ids, pre-tokens of each text, word of each position, the words."""
     part, seq = TaskContext.get().partitionId(), 0
-    for ids, texts in _text_blocks(batches, limit):
+    for ids, texts in text_blocks(batches, limit):
         data, offsets = words.buffer(texts)
         start, first = pretokens.split(data, offsets)
         end = np.append(start[1:], len(data)) if len(start) else start
@@ -184,8 +184,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     importable_on_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    arrow = pa.field("x", _arrow_type(rows))
-    blocks = cut(rows.mapInArrow(lambda b: _explode(b, arrow.type, block_bytes), f"block long, ids array<{kind}>, n_words binary, "
+    arrow = arrow_type(rows)
+    blocks = cut(rows.mapInArrow(lambda b: _explode(b, arrow, block_bytes), f"block long, ids array<{kind}>, n_words binary, "
                                  "words_at binary, n_distinct long, sizes binary, words binary"))
     total = blocks.agg(F.sum("n_distinct")).first()[0] or 0
     buckets = max(1, -(-total // bucket_words))
@@ -201,7 +201,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return out.select(F.col("id").alias(id_col), "n_tokens", "ids")
 
 
-def _arrow_type(rows: DataFrame) -> pa.DataType:
+def arrow_type(rows: DataFrame) -> pa.DataType:
+    """The Arrow type of the column ``id``."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(rows.schema["id"].dataType)

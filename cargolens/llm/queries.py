@@ -74,6 +74,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cargolens.llm.tokenizer_alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,7 +101,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     fns = [op1_quality, op2_token_counts, op3_ann_tree, op4_minhash, op5_phrases, op6_sentencepiece, op7_pii, op8_toxicity, op9_simhash, op10_mixing,
-           op12_byte_bpe, op13_whitening]
+           op11_alignment, op12_byte_bpe, op13_whitening]
     out: dict[str, Query] = {}
     for fn in fns:
         def run(spark: SparkSession, sf_dir: str, fn: Query = fn) -> DataFrame:
