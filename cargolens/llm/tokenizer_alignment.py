@@ -77,6 +77,7 @@ class Sides:
         for text, i in vocabulary.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in text)
         self.b_size = self.b.get_piece_size()
+        self.space = self.b.encode("x ")[len(self.b.encode("x")):]
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(self.b_size)]
         self.length = [np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes)]
@@ -88,8 +89,9 @@ class Sides:
         return [e.ids for e in self.a.encode_batch([w.decode("utf-8", "replace") for w in found], add_special_tokens=False)]
 
     def encode_b(self, found: list[bytes]) -> list[list[int]]:
-        # The library adds the first space itself.
-        return self.b.encode([w[1:].decode("utf-8", "replace") for w in found], num_threads=1)
+        # The library adds the first space itself, but not to nothing.
+        ids = self.b.encode([w[1:].decode("utf-8", "replace") for w in found], num_threads=1)
+        return [self.space if w == b" " else i for w, i in zip(found, ids, strict=True)]
 
 
 def supported(a_path: str, b_path: str) -> bool:
