@@ -2,15 +2,15 @@
 
 1. *Explode with positions.*  Each task splits blocks of texts into pre-tokens (array operations, see
    ``pretokens``) and keeps, for each position, the number of the word that stands there, the most
-   frequent word first.  The block's words and its positions are cut off into the shared folder.
+   frequent word first.  Blocks are shuffled once, to where they will be put together again; both later steps read that
+   shuffle.
 2. *Distinct words.*  A word is dealt to a bucket by its hash; a block sends a bucket one row with its words
    of that bucket.  A bucket's task encodes each distinct word once, and joins the ids back: one row
    of ids for each row of words.
-3. *Reassemble.*  The ids meet the block's positions again (a shuffle by block), and the texts' ids are
-   read off by position.
+3. *Reassemble.*  The rows of ids are grouped with their block, and the texts' ids are read off by position.
 
 A word that stands in every text is one word of each block, so what a hot word shuffles is at most
-one entry a block, and a bucket's task holds the words of one bucket (about ``BUCKET_WORDS``) however many rows it reads.
+one entry a block.  A bucket's task keeps at most ``KNOWN`` words and starts anew beyond that.
 Blocks are bounded by their bytes; only a longer single text makes a larger block.
 
 Decoding joins ids with the table of token bytes by their number (a table of the vocabulary's size,
@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import pretokens, words
-from cargolens.llm.common import cut, importable_on_workers
+from cargolens.llm.common import importable_on_workers
 from cargolens.llm.packing import pack, pack_bytes, pack_sorted, spans, unpack, unpack_bytes, unpack_sorted
 
-#: Bytes of text in a block.
-BLOCK = 8 << 20
-#: Different words that a bucket is meant to hold; the number of buckets follows from it.
-BUCKET_WORDS = 100_000
+#: Bytes of text in a block, and of texts that are split together.
+BLOCK, SPLIT = 4 << 20, 1 << 20
+#: Buckets for each shuffle partition, and words that a bucket's task remembers.
+BUCKETS, KNOWN = 1, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -85,12 +85,23 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple
         yield block()
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``pretokens.split`` of all texts, some at a time."""
+    starts, firsts, byte, n = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0, 0
+    for _, _, data, offsets in words.groups(texts, SPLIT):
+        start, first = pretokens.split(data, offsets)
+        starts.append(start + byte)
+        firsts.append(first[1:] + n)
+        byte, n = byte + len(data), n + len(start)
+    return np.concatenate(starts), np.concatenate(firsts)
+
+
 def _explode(batches: Iterator[pa.RecordBatch], kind: pa.DataType, limit: int) -> Iterator[pa.RecordBatch]:
     """A row for each block: ids, pre-tokens of each text, word of each position, the words."""
     part, seq = TaskContext.get().partitionId(), 0
     for ids, texts in text_blocks(batches, limit):
         data, offsets = words.buffer(texts)
-        start, first = pretokens.split(data, offsets)
+        start, first = _split(texts)
         end = np.append(start[1:], len(data)) if len(start) else start
         one, code = pretokens.distinct(data, start, end)
         order = np.argsort(-np.bincount(code, minlength=len(one)), kind="stable")
@@ -102,17 +113,18 @@ def _explode(batches: Iterator[pa.RecordBatch], kind: pa.DataType, limit: int) -
             pa.array([(part << 32) | seq], pa.int64()),
             pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(kind)),
             pa.array([pack(np.diff(first))], pa.binary()), pa.array([pack(place[code])], pa.binary()),
-            pa.array([len(one)], pa.int64()), pa.array([pack(np.diff(at))], pa.binary()),
+            pa.array([pack(np.diff(at))], pa.binary()),
             pa.array([pack_bytes(flat.tobytes())], pa.binary()),
-        ], names=["block", "ids", "n_words", "words_at", "n_distinct", "sizes", "words"])
+        ], names=["block", "ids", "n_words", "words_at", "sizes", "words"])
         seq += 1
+        pa.default_memory_pool().release_unused()
 
 
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """A row for each block and bucket: which of the block's words, their sizes, their bytes."""
     for batch in batches:
         for i in range(len(batch)):
-            block, sizes, flat = (batch.column(k)[i].as_py() for k in range(3))
+            block, sizes, flat = (batch.column(k)[i].as_py() for k in (0, 4, 5))
             sizes = unpack(sizes)
             if not len(sizes):
                 continue
@@ -134,7 +146,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in batches:
         out = []
         for bucket, block, which, sizes, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now:
+            if bucket != now or len(known) > KNOWN:
                 now, known = bucket, {}
             data, at = unpack_bytes(flat), 0
             ids = []
@@ -146,58 +158,40 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                     found = known[word] = tuple(encode(word.decode("utf-8", "replace")))
                 ids.append(found)
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            out.append((block, 0, which, pack(counts), pack(np.fromiter((x for i in ids for x in i), np.int64, int(counts.sum())))))
+            out.append((block, which, pack(counts), pack(np.fromiter((x for i in ids for x in i), np.int64, int(counts.sum())))))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "kind", "which", "counts", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "which", "counts", "tokens"])
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, those with ids before the one with positions, to a row for each text."""
-    held: list[tuple] = []
-    for batch in batches:
-        for i in range(len(batch)):
-            if batch.column(1)[i].as_py() == 0:
-                held.append(tuple(batch.column(k)[i].as_py() for k in (2, 3, 4)))
-                continue
-            which, counts, flat = (np.concatenate([f(h[k]) for h in held]) if held else np.zeros(0, np.int64)
-                                   for k, f in enumerate((unpack_sorted, unpack, unpack)))
-            held = []
-            size, begin = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-            size[which], begin[which] = counts, np.cumsum(counts) - counts
-            n_words, at = (unpack(batch.column(k)[i].as_py()) for k in (6, 7))
-            ids = batch.column(5)[i].values
-            ends = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(n_words)])]
-            done, a = np.concatenate([[0], np.cumsum(n_words)]), 0
-            while a < len(ids):  # some texts at a time: a block has more ids than words
-                b = max(a + 1, int(np.searchsorted(ends, ends[a] + limit, side="right")) - 1)
-                w = at[done[a]: done[b]]
-                tokens = flat[spans(begin[w], size[w])].astype(np.int32)
-                offsets = pa.array((ends[a: b + 1] - ends[a]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(ends[a: b + 1])),
-                                                  pa.ListArray.from_arrays(offsets, pa.array(tokens))], names=["id", "n_tokens", "ids"])
-                a = b
+def _reassemble(found: pa.Table, block: pa.Table, kind: pa.DataType) -> pa.Table:
+    """The rows of ids of a block and the block itself to a row for each text."""
+    which, counts, flat = (np.concatenate([np.zeros(0, np.int64), *(f(x) for x in found.column(n).to_pylist())])
+                           for n, f in (("which", unpack_sorted), ("counts", unpack), ("tokens", unpack)))
+    size, begin = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+    size[which], begin[which] = counts, np.cumsum(counts) - counts
+    n_words, at = (unpack(block.column(n)[0].as_py()) for n in ("n_words", "words_at"))
+    edges = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(n_words)])]
+    tokens = pa.array(flat[spans(begin[at], size[at])].astype(np.int32))
+    lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), tokens)
+    return pa.table([block.column("ids").combine_chunks().flatten().cast(kind), pa.array(np.diff(edges)), lists], names=["id", "n_tokens", "ids"])
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                     block_bytes: int = BLOCK, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+                     block_bytes: int = BLOCK, buckets: int | None = None) -> DataFrame:
     """id, n_tokens, ids for every row; ``path`` is a file of ranks, in the same place on every machine."""
-    importable_on_workers(docs.sparkSession)
+    spark = docs.sparkSession
+    importable_on_workers(spark)
+    buckets = buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    arrow = arrow_type(rows)
-    blocks = cut(rows.mapInArrow(lambda b: _explode(b, arrow, block_bytes), f"block long, ids array<{kind}>, n_words binary, "
-                                 "words_at binary, n_distinct long, sizes binary, words binary"))
-    total = blocks.agg(F.sum("n_distinct")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_words))
-    dealt = blocks.select("block", "sizes", "words").mapInArrow(
-        lambda b: _deal(b, buckets), "bucket long, block long, which binary, sizes binary, words binary")
+    kind, arrow = rows.schema["id"].dataType.simpleString(), arrow_type(rows)
+    # Both uses take all columns: so they are one exchange, and the texts are split once.
+    blocks = rows.mapInArrow(lambda b: _explode(b, arrow, block_bytes), f"block long, ids array<{kind}>, n_words binary, "
+                             "words_at binary, sizes binary, words binary").repartition("block")
+    dealt = blocks.mapInArrow(lambda b: _deal(b, buckets), "bucket long, block long, which binary, sizes binary, words binary")
     encoded = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        lambda b: _encode(b, path), "block long, kind long, which binary, counts binary, tokens binary")
-    positions = blocks.select("block", F.lit(1).cast("long").alias("kind"), "ids", "n_words", "words_at")
-    both = encoded.unionByName(positions, allowMissingColumns=True).select(
-        "block", "kind", "which", "counts", "tokens", "ids", "n_words", "words_at")
-    out = both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
-        lambda b: _reassemble(b, block_bytes // 8), f"id {kind}, n_tokens long, ids array<int>")
+        lambda b: _encode(b, path), "block long, which binary, counts binary, tokens binary")
+    out = encoded.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
+        lambda found, block: _reassemble(found, block, arrow), f"id {kind}, n_tokens long, ids array<int>")
     return out.select(F.col("id").alias(id_col), "n_tokens", "ids")
 
 

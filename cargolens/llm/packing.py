@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 
-LEVEL = 1
+#: Levels for numbers, whose parts are near their entropy anyway, and for text.
+LEVEL, TEXT_LEVEL = 1, 6
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -32,7 +33,7 @@ def unpack_sorted(data: bytes, width: int = 4) -> np.ndarray:
 
 
 def pack_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
+    return zstandard.ZstdCompressor(level=TEXT_LEVEL).compress(data)
 
 
 def unpack_bytes(data: bytes) -> bytes:

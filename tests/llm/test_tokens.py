@@ -71,9 +71,9 @@ def library():
         base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MULTI, "rb"))})
 
 
-@pytest.mark.parametrize("block, bucket", [(byte_bpe.BLOCK, byte_bpe.BUCKET_WORDS), (40, 7)])
-def test_byte_bpe_ids_and_bytes(spark, awkward, library, block, bucket):
-    rows = byte_bpe.encode_documents(awkward, MULTI, block_bytes=block, bucket_words=bucket)
+@pytest.mark.parametrize("block, buckets", [(byte_bpe.BLOCK, None), (40, 7)])
+def test_byte_bpe_ids_and_bytes(spark, awkward, library, block, buckets):
+    rows = byte_bpe.encode_documents(awkward, MULTI, block_bytes=block, buckets=buckets)
     texts = {r["doc_id"]: r["text"] or "" for r in awkward.select("doc_id", "text").collect()}
     back = byte_bpe.decode_documents(rows, MULTI).collect()
     assert len(back) == awkward.count()
