@@ -28,55 +28,46 @@ BEST_FIELDS = ["carrier_code", "carrier_name", "delivery_partner", "vehicle_type
 def decide(spark, requests: DataFrame, carry: list[str] | None = None, predictor=None) -> DataFrame:
     """Route choice plus stakes decision, carbon savings, greenest option and cost benchmark.
 
-    Input: ``quotes.carrier_options`` (one row per request).  Each rule is the smallest of ten small
-    structs (rule's key, quote, carrier order) in the request's own row; the wide fields are looked up
-    once, for the carrier that was chosen.  Ties resolve by quote rank like the reference's first
+    Input: ``quotes.carrier_options`` (one row per request).  Each rule is the smallest of the offers' structs
+    (rule's key, quote, carrier order) in the request's own row; the wide fields are looked up
+    once, for the offer that was chosen.  Ties resolve by quote rank like the reference's first
     minimum.  No exchange, no window.
     """
-    cs = quotes.carriers()
     q = quotes.with_carriers(requests, "min_on_time_pct", predictor)
-    any_meets = F.lit(False)
-    for c in cs:
-        any_meets = any_meets | (F.col(f"eligible_{c['seq']}") & quotes.meets_sla(c["seq"]))
-    q = q.withColumn("_any_meets", any_meets)
+    q = q.withColumn("_any_meets", F.exists("offers", lambda o: o["meets"])).withColumn("_ai", quotes.ai_carbon())
 
     def pick(key) -> Column:
-        """The number of the eligible carrier with the smallest key, quote and place."""
-        keys = [F.when(F.col(f"eligible_{c['seq']}"), F.struct(*[k.alias(f"k{n}") for n, k in enumerate(key(c["seq"]))],
-                F.col(f"cost_{c['seq']}").alias("cost"), F.lit(c["seq"]).alias("seq"))) for c in cs]
-        return F.array_min(F.array(*keys))["seq"]
+        """The offer with the smallest key, quote and place."""
+        return F.array_min(F.transform("offers", lambda o: F.struct(
+            *[k.alias(f"k{n}") for n, k in enumerate(key(o))], o["cost"].alias("cost"), o["seq"].alias("seq"), o.alias("offer"))))["offer"]
 
-    def best_key(i: int) -> list[Column]:
-        meets = quotes.meets_sla(i)
-        primary = F.when(meets, F.when(F.col("stakes") == "standard", quotes.total_carbon(i)).otherwise(F.col(f"p_cost_{i}"))).otherwise(
-            -F.col(f"p_on_time_{i}"))
-        return [~meets, primary]
+    def best_key(o: Column) -> list[Column]:
+        primary = F.when(o["meets"], F.when(F.col("stakes") == "standard", quotes.transport_carbon(o) + F.col("_ai")).otherwise(o["p_cost"])).otherwise(
+            -o["p_on_time"])
+        return [~o["meets"], primary]
 
-    def green_key(i: int) -> list[Column]:
-        return [F.when(F.col("_any_meets"), ~quotes.meets_sla(i)).otherwise(F.lit(False)), F.col(f"p_carbon_{i}")]
+    def green_key(o: Column) -> list[Column]:
+        return [F.when(F.col("_any_meets"), ~o["meets"]).otherwise(F.lit(False)), o["p_carbon"]]
 
     def mean(value, counts) -> Column:
-        """Mean over the eligible carriers of whole numbers, so that it doesn't depend on order."""
-        on = [F.col(f"eligible_{c['seq']}") & counts(c["seq"]) for c in cs]
-        total = sum((F.when(o, F.round(value(c["seq"]))).otherwise(0.0) for o, c in zip(on, cs)), F.lit(0.0))
-        n = sum((o.cast("int") for o in on), F.lit(0))
-        return F.when(n > 0, total / n)
-
-    q = q.withColumns({"_best": pick(best_key), "_fast": pick(lambda i: [F.col(f"p_on_time_{i}")]), "_green": pick(green_key)})
-    d = q.withColumns({
-        **{f"_b_{n}": x for n, x in quotes.chosen_fields(F.col("_best"), BEST_FIELDS).items()},
-        **{f"_f_{n}": x for n, x in quotes.chosen_fields(F.col("_fast"), ["carrier_code", "total_carbon_gco2"]).items()},
-        **{f"_g_{n}": x for n, x in quotes.chosen_fields(F.col("_green"), ["carrier_name", "predicted_carbon_gco2"]).items()},
-        "industry_benchmark_raw": mean(lambda i: F.col(f"cost_{i}") * 100, lambda i: F.col(f"cost_{i}") > 0) / 100,
-        "mean_option_transport_gco2": mean(lambda i: quotes.transport_carbon(i) * 1e6, lambda i: F.lit(True)) / 1e6,
-    })
-    req_cols = [c for c in requests.columns if c != "shipment_id" and not c.startswith("route_rate_")]
+        """Mean over the offers of whole numbers, so that it doesn't depend on order."""
+        on = F.filter("offers", counts)
+        return F.when(F.size(on) > 0, F.aggregate(on, F.lit(0.0), lambda total, o: total + F.round(value(o))) / F.size(on))
+
+    q = q.withColumns({"_best": pick(best_key), "_fast": pick(lambda o: [o["p_on_time"]]), "_green": pick(green_key),
+                       "industry_benchmark_raw": mean(lambda o: o["cost"] * 100, lambda o: o["cost"] > 0) / 100,
+                       "mean_option_transport_gco2": mean(lambda o: quotes.transport_carbon(o) * 1e6, lambda o: F.lit(True)) / 1e6})
+    req_cols = [c for c in requests.columns if c not in ("shipment_id", "route_rates", "partner_rates")]
     if carry is not None:
-        req_cols = [c for c in req_cols if c in set(carry) | {"threshold_pct", "cold_chain_multiplier", "stakes", "priority"}]
-    d = d.select("shipment_id", *req_cols, "num_options", "industry_benchmark_raw", "mean_option_transport_gco2",
-                 F.when(F.col("_best").isNotNull(), F.struct(*[F.col(f"_b_{n}").alias(n) for n in BEST_FIELDS])).alias("best"),
-                 F.struct(F.col("_f_carrier_code").alias("carrier_code"), F.col("_f_total_carbon_gco2").alias("total_carbon_gco2")).alias("_fast"),
-                 F.struct(F.col("_g_carrier_name").alias("carrier_name"), F.col("_g_predicted_carbon_gco2").alias("predicted_carbon_gco2")).alias("_green"))
+        req_cols = [c for c in requests.columns if c in set(carry) | {"threshold_pct", "cold_chain_multiplier", "stakes", "priority"}]
+
+    def chosen(pick: Column, names: list[str]) -> Column:
+        fields = quotes.option_fields(pick)
+        return F.when(pick.isNotNull(), F.struct(*[fields[n].alias(n) for n in names]))
+
+    d = q.select("shipment_id", *req_cols, "num_options", "industry_benchmark_raw", "mean_option_transport_gco2",
+                 chosen(F.col("_best"), BEST_FIELDS).alias("best"), chosen(F.col("_fast"), ["carrier_code", "total_carbon_gco2"]).alias("_fast"),
+                 chosen(F.col("_green"), ["carrier_name", "predicted_carbon_gco2"]).alias("_green"))
     stakes = F.col("stakes")
     standard = stakes == "standard"
     b = F.col("best")

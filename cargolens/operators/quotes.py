@@ -1,27 +1,28 @@
 """Shipment requests -> eligible carrier quotes -> route options with predictions.
 
 Scale design: the carriers are a fixed list of ten, and everything about a request's options
-depends on that request alone.  So the ten carriers are unrolled into columns: eligibility, price and
-prediction of carrier i are plain expressions of the request row (``with_carriers``), counting and
-choosing are sums and minima over ten columns, and nothing of the size of the requests is
-shuffled.  ``explode_options`` makes one row per option out of an array sorted by quote.
-
-Predictions come from a predictor: a function of the requests and the carriers that adds
-``p_cost_i``, ``p_on_time_i`` and ``p_carbon_i`` for each carrier i.  The default is the historical baseline
-(cost = 100 + 3 km + 5 kg, on-time = 100 x (1 - delay rate) of past deliveries by partner and
-weather, falling back to the partner and then the global rate); ``fitted_predictor`` wraps fitted
-models.
+depends on that request alone.  So a request's offers are an array in its own row, worked out by array
+functions over the constant list of carriers (``with_carriers``): counting and choosing are
+functions of that array, and nothing of the size of the requests is shuffled.  Array functions keep the
+plan, and the code generated for it, as small for ten carriers as for one.  ``explode_options`` makes one row per
+option out of the array sorted by quote.
+
+Predictions come from a predictor: a function of the requests and the carriers that adds the arrays ``p_cost``,
+``p_on_time`` and ``p_carbon``, one entry for each carrier (or columns ``p_cost_i`` ... for each carrier i).  The default is the
+historical baseline (cost = 100 + 3 km + 5 kg, on-time = 100 x (1 - delay rate) of past deliveries by partner and
+weather, falling back to the partner and then the global rate); ``batch_predictor`` wraps a function of whole batches of
+routes, ``fitted_predictor`` fitted pipelines.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.functions.exprs import (
-    POLICY_COLUMNS, blank_as, checked_broadcast, clamp, late_flag, missing_as, round_half_up,
-)
+from cargolens.functions.exprs import POLICY_COLUMNS, blank_as, clamp, late_flag, missing_as, round_half_up
 from cargolens.operators import lanes
+from cargolens.session import ensure_checkpoint_dir
 from cargolens.sources import dims
 
 # FIXED VALUES — request defaults used by the sourcing step.
@@ -36,6 +37,9 @@ MIN_QUOTE_COST = 50.0
 QUOTE_COLD_CARBON_FACTOR = 1.5
 ROUTE_RATING = 4
 RISK_VEHICLE, RISK_MODE, RISK_REGION = "van", "express", "west"
+RISK_FACTOR_STORM = "Stormy weather (+50% risk)"
+RISK_FACTOR_LOAD = "Long distance + heavy weight (+30% risk)"
+ALERT_WARNING = "Alert required: high disruption risk"
 
 
 # ---------------------------------------------------------------------------
@@ -43,49 +47,48 @@ RISK_VEHICLE, RISK_MODE, RISK_REGION = "van", "express", "west"
 # ---------------------------------------------------------------------------
 
 CARRIER_PARTNERS = list(dict.fromkeys(p for _, p in dims.CARRIER_PARTNER))
+#: Rows (one a kind of weather) up to which the rates are broadcast; beyond that they are joined by a shuffle.
+MAX_WEATHERS = 10_000
 
 
-def _pcol(partner: str) -> str:
-    return "".join(ch if ch.isalnum() else "_" for ch in partner)
-
-
-def history_rates(deliveries: DataFrame, partners: list[str] | None = None,
-                  max_rows: int = 200_000) -> dict[str, DataFrame]:
-    """Delay rates of past deliveries for the baseline predictor, pivoted to one column per partner.
+def history_rates(deliveries: DataFrame, partners: list[str] | None = None, max_rows: int = MAX_WEATHERS) -> dict:
+    """Delay rates of past deliveries for the baseline predictor, as arrays with an entry for each partner.
 
-    One partial aggregation of the fact by (partner, weather) (size-checked, then broadcast); the
-    partner and global levels are re-aggregated from that small table.  ``by_weather`` has one row
-    per weather with ``w_<partner>`` rates; ``overall`` is one row with ``p_<partner>`` and ``g``.
-    Plain double columns keep the per-request arithmetic inside generated code.
+    One partial aggregation of the fact by weather, with conditional counts for each of the fixed partners, cut off
+    and counted before it may be broadcast.  ``by_weather`` has one row per weather with ``w_rates`` (the rate under that
+    weather, else the partner's, else the global one); ``overall`` is one row with ``partner_rates`` (null for a partner
+    without deliveries), ``default_rates`` and ``g``.
     """
     partners = partners or CARRIER_PARTNERS
-    hist = checked_broadcast(
-        deliveries.groupBy("delivery_partner", "weather_condition")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(late_flag()).alias("late")), max_rows)
-    by_weather = (hist.groupBy("weather_condition").pivot("delivery_partner", partners)
-                  .agg(F.first(F.col("late") / F.col("n"))))
-    by_weather = by_weather.select("weather_condition",
-                                   *[F.col(f"`{p}`").alias("w_" + _pcol(p)) for p in partners])
-    per_partner = (hist.groupBy().pivot("delivery_partner", partners).agg(F.sum("late") / F.sum("n")))
-    per_partner = per_partner.select(*[F.col(f"`{p}`").alias("p_" + _pcol(p)) for p in partners])
-    overall = per_partner.crossJoin(hist.agg((F.sum("late") / F.sum("n")).alias("g")))
-    return {"hist": hist, "by_weather": F.broadcast(by_weather), "overall": F.broadcast(overall),
-            "partners": partners}
-
-
-def attach_rates(df: DataFrame, rates: dict, weather_col: str, prefix: str) -> DataFrame:
-    """Add ``{prefix}<partner>`` = delay rate under the row's weather, else partner, else global."""
+    late = late_flag()
+    own = [F.col("delivery_partner") == p for p in partners]
+    counts = deliveries.groupBy("weather_condition").agg(
+        F.array(*[F.count(F.when(o, 1)) for o in own]).alias("n"), F.array(*[F.sum(F.when(o, late).otherwise(0)) for o in own]).alias("late"),
+        F.count(F.lit(1)).alias("all_n"), F.sum(late).alias("all_late"))
+    ensure_checkpoint_dir(deliveries.sparkSession)
+    counts = counts.checkpoint()
+    k = range(len(partners))
+    overall = counts.agg(F.array(*[F.try_divide(F.sum(F.col("late")[i]), F.sum(F.col("n")[i])) for i in k]).alias("partner_rates"),
+                         F.try_divide(F.sum("all_late"), F.sum("all_n")).alias("g"))
+    overall = overall.withColumn("default_rates", F.transform("partner_rates", lambda x: F.coalesce(x, F.col("g"))))
+    by_weather = counts.crossJoin(F.broadcast(overall)).select(  # one row on the right
+        "weather_condition", F.array(*[F.coalesce(F.try_divide(F.col("late")[i], F.col("n")[i]), F.col("default_rates")[i]) for i in k]).alias("w_rates"))
+    if counts.count() <= max_rows:
+        by_weather = F.broadcast(by_weather)
+    return {"by_weather": by_weather, "overall": F.broadcast(overall), "partners": partners}
+
+
+def attach_rates(df: DataFrame, rates: dict, weather_col: str, out: str) -> DataFrame:
+    """Add ``out``: the partners' delay rates under the row's weather, else the partner's, else the global one."""
     bw = rates["by_weather"].withColumnRenamed("weather_condition", "_rw")
-    j = df.join(bw, F.col(weather_col) == F.col("_rw"), "left")
-    if "g" not in df.columns:
-        j = j.crossJoin(rates["overall"])
-    out = {prefix + _pcol(p): F.coalesce(F.col("w_" + _pcol(p)), F.col("p_" + _pcol(p)), F.col("g"))
-           for p in rates["partners"]}
-    return j.withColumns(out).drop("_rw", *["w_" + _pcol(p) for p in rates["partners"]])
+    if "default_rates" not in df.columns:
+        df = df.crossJoin(rates["overall"])
+    return df.join(bw, F.col(weather_col) == F.col("_rw"), "left").withColumn(out, F.coalesce("w_rates", "default_rates")).drop("_rw", "w_rates")
 
 
-def drop_rates(df: DataFrame, rates: dict) -> DataFrame:
-    return df.drop("g", *["p_" + _pcol(p) for p in rates["partners"]])
+def rate_of(rates: Column, partner: str) -> Column:
+    """A partner's entry of an array of rates."""
+    return rates[CARRIER_PARTNERS.index(partner)]
 
 
 # ---------------------------------------------------------------------------
@@ -152,11 +155,6 @@ def prepare_requests(spark, shipments: DataFrame) -> DataFrame:
 # Risk of a request (needed before quoting: a buffer tightens the SLA)
 # ---------------------------------------------------------------------------
 
-RISK_FACTOR_STORM = "Stormy weather (+50% risk)"
-RISK_FACTOR_LOAD = "Long distance + heavy weight (+30% risk)"
-ALERT_WARNING = "Alert required: high disruption risk"
-
-
 def risk_level(score: Column) -> Column:
     return (F.when(score > 5, "CRITICAL").when(score > 3, "HIGH").when(score > 1.5, "MEDIUM").otherwise("LOW"))
 
@@ -184,23 +182,41 @@ def risk_columns(p_delay: Column, impact: Column, weather: Column, distance: Col
             "recommended_buffer_days": buffer_days(level)}
 
 
-def request_risk(df: DataFrame) -> DataFrame:
+def request_risk(df: DataFrame, delay_scorer=None) -> DataFrame:
     """Risk of the representative route (delhivery, van, express, west) for each request.
 
-    Needs ``risk_rate_delhivery`` (delay rate under the risk weather) and ``p_delhivery``.
+    P(delay) is the delay rate under the risk weather (``risk_rates``), or what ``delay_scorer``, a function of a batch of
+    routes (``ml.tree_scorer`` of a fitted classifier, for one), gives for that route.
     """
     partner = F.lit(DEFAULT_PARTNER)
-    p = F.col("risk_rate_" + _pcol(DEFAULT_PARTNER))
-    cols = risk_columns(p, F.col("impact_multiplier"), F.col("risk_weather"),
-                        missing_as(F.col("distance_km"), lanes.DEFAULT_DISTANCE_KM),
-                        missing_as(F.col("package_weight_kg"), DEFAULT_WEIGHT_KG), partner,
-                        F.col("p_" + _pcol(DEFAULT_PARTNER)))
-    out = df.withColumns({"delay_probability": p, **cols})
+    km = missing_as(F.col("distance_km"), lanes.DEFAULT_DISTANCE_KM)
+    kg = missing_as(F.col("package_weight_kg"), DEFAULT_WEIGHT_KG)
+    p = rate_of(F.col("risk_rates"), DEFAULT_PARTNER)
+    if delay_scorer is not None:
+        p = _scored_route(delay_scorer)(km, kg, F.col("pkg"), F.col("risk_weather"))
+    cols = risk_columns(F.col("delay_probability"), F.col("impact_multiplier"), F.col("risk_weather"), km, kg, partner,
+                        rate_of(F.col("partner_rates"), DEFAULT_PARTNER))
+    out = df.withColumn("delay_probability", p).withColumns(cols)
     return out.withColumn("warnings", F.when(F.col("alert_required"),
                                              F.array_append(F.col("risk_factors"), F.lit(ALERT_WARNING)))
                           .otherwise(F.col("risk_factors")))
 
 
+def _scored_route(score):
+    """The representative route's score as a column, batch by batch."""
+    fixed = {"delivery_rating": float(ROUTE_RATING), "vehicle_type": RISK_VEHICLE, "delivery_partner": DEFAULT_PARTNER,
+             "delivery_mode": RISK_MODE, "region": RISK_REGION}
+
+    @F.pandas_udf("double")
+    def scored(km: pd.Series, kg: pd.Series, package: pd.Series, weather: pd.Series) -> pd.Series:
+        import pandas as pd
+
+        routes = pd.DataFrame({"distance_km": km, "package_weight_kg": kg, "package_type": package, "weather_condition": weather}).assign(**fixed)
+        return pd.Series(score(routes))
+
+    return scored
+
+
 # ---------------------------------------------------------------------------
 # Options
 # ---------------------------------------------------------------------------
@@ -229,41 +245,59 @@ def baseline_predictor(requests: DataFrame, cs: list[dict]) -> DataFrame:
     """Historical baseline: cost = 100 + 3 km + 5 kg; on-time = 100 x (1 - delay rate of the partner
     under the route weather); carbon = km x vehicle factor."""
     d, w = F.col("route_distance_km"), F.col("route_weight_kg")
-    out = {}
-    for c in cs:
-        i = c["seq"]
-        out[f"p_cost_{i}"] = (100 + 3 * d) + 5 * w
-        out[f"p_on_time_{i}"] = 100 * (1 - F.col("route_rate_" + _pcol(c["partner"])))
-        out[f"p_carbon_{i}"] = d * c["factor"]
-    return requests.withColumns(out)
+    partner = F.lit([CARRIER_PARTNERS.index(c["partner"]) + 1 for c in cs])
+    return requests.withColumns({
+        "p_cost": F.array_repeat((100 + 3 * d) + 5 * w, len(cs)),
+        "p_on_time": F.transform(partner, lambda i: 100 * (1 - F.element_at("route_rates", i))),
+        "p_carbon": F.transform(F.lit([c["factor"] for c in cs]), lambda f: d * f)})
 
 
-def fitted_predictor(cost_model, on_time_model, rating: int = ROUTE_RATING):
-    """A predictor from two fitted pipelines over the delivery features (``prediction`` columns).
+def batch_predictor(score, rating: int = ROUTE_RATING):
+    """A predictor from a function of a batch of routes (pandas frame of the delivery features).
 
-    Each carrier's route is one set of feature columns beside the request, so scoring is ten narrow
-    transforms of the same rows; carbon stays km x vehicle factor.
+    ``score`` returns a frame with ``predicted_cost`` and ``predicted_on_time`` and, if it likes, ``predicted_carbon``
+    (else km x vehicle factor).  All carriers of a batch of requests are one call: a request's routes leave its row as
+    nothing but its six own features, and come back as three arrays.
     """
     def predict(requests: DataFrame, cs: list[dict]) -> DataFrame:
-        out = requests
-        for c in cs:
-            i, names = c["seq"], out.columns
-            route = {"distance_km": F.col("route_distance_km"), "package_weight_kg": F.col("route_weight_kg"),
-                     "delivery_rating": F.lit(float(rating)), "package_type": F.col("pkg"), "vehicle_type": F.lit(c["vehicle"]),
-                     "delivery_partner": F.lit(c["partner"]), "delivery_mode": F.col("route_mode"),
-                     "region": F.col("origin_region"), "weather_condition": F.col("route_weather")}
-            out = out.select(F.struct(*names).alias("_request"), *[v.alias(k) for k, v in route.items()])
-            for model, name in ((cost_model, "_cost"), (on_time_model, "_on_time")):
-                out = model.transform(out).select("_request", *route, *[x for x in ("_cost",) if x in out.columns],
-                                                  F.col("prediction").alias(name))
-            out = out.select("_request.*", F.col("_cost").alias(f"p_cost_{i}"), F.col("_on_time").alias(f"p_on_time_{i}"),
-                             (F.col("route_distance_km") * c["factor"]).alias(f"p_carbon_{i}"))
-            out = out.select(*names, f"p_cost_{i}", f"p_on_time_{i}", f"p_carbon_{i}")
-        return out
+        k = len(cs)
+        partners, vehicles, factors = ([c[n] for c in cs] for n in ("partner", "vehicle", "factor"))
+
+        @F.pandas_udf("cost array<double>, on_time array<double>, carbon array<double>")
+        def scored(km: pd.Series, kg: pd.Series, package: pd.Series, mode: pd.Series, region: pd.Series, weather: pd.Series) -> pd.DataFrame:
+            import numpy as np
+            import pandas as pd
+
+            n = len(km)
+            routes = pd.DataFrame({name: np.repeat(x.to_numpy(), k) for name, x in (
+                ("distance_km", km), ("package_weight_kg", kg), ("package_type", package), ("delivery_mode", mode),
+                ("region", region), ("weather_condition", weather))})
+            routes = routes.assign(delivery_rating=float(rating), delivery_partner=partners * n, vehicle_type=vehicles * n)
+            out = score(routes)
+            carbon = out["predicted_carbon"] if "predicted_carbon" in out else routes["distance_km"] * np.tile(factors, n)
+            return pd.DataFrame({name: list(np.asarray(x, float).reshape(n, k)) for name, x in (
+                ("cost", out["predicted_cost"]), ("on_time", out["predicted_on_time"]), ("carbon", carbon))})
+
+        p = scored("route_distance_km", "route_weight_kg", "pkg", "route_mode", "origin_region", "route_weather")
+        return requests.withColumn("_p", p).withColumns({"p_" + n: F.col("_p")[n] for n in ("cost", "on_time", "carbon")}).drop("_p")
 
     return predict
 
 
+def fitted_predictor(cost_model, on_time_model, rating: int = ROUTE_RATING):
+    """A predictor from two fitted pipelines (``ml.fit_regressor``): their trees score all carriers' routes batch by batch."""
+    from cargolens.operators import ml
+
+    cost, on_time = ml.tree_scorer(cost_model), ml.tree_scorer(on_time_model)
+
+    def score(routes):
+        import pandas as pd
+
+        return pd.DataFrame({"predicted_cost": cost(routes), "predicted_on_time": on_time(routes)})
+
+    return batch_predictor(score, rating)
+
+
 OPTION_FIELDS = ["cost_inr", "seq", "rank", "carrier_code", "carrier_name", "carrier_type", "estimated_on_time_pct",
                  "on_time_low", "on_time_high", "carbon_kg", "has_cold_chain", "has_ev_fleet", "is_express",
                  "delivery_partner", "vehicle_type", "predicted_cost", "predicted_on_time_pct",
@@ -271,28 +305,37 @@ OPTION_FIELDS = ["cost_inr", "seq", "rank", "carrier_code", "carrier_name", "car
 
 
 def with_carriers(requests: DataFrame, min_on_time_col: str = "min_on_time_pct", predictor=None) -> DataFrame:
-    """Per carrier i: ``eligible_i``, ``cost_i`` (the quote) and the predictor's columns; ``num_options``.
+    """Adds ``offers``, the eligible carriers' (cost, seq, predictions, ...) in the carriers' order, and ``num_options``.
 
     Eligible: weight <= carrier max, cold chain available when required, origin region covered,
     avg - variance >= min on-time - 10.
     """
     cs = carriers()
     d, w = F.col("route_distance_km"), F.col("route_weight_kg")
-    cold, express = F.col("requires_cold_chain"), F.col("is_express")
+    cold, express, region = F.col("requires_cold_chain"), F.col("is_express"), F.col("origin_region")
     floor = (F.col(min_on_time_col) - 5) - 5
-    out: dict[str, Column] = {}
-    for c in cs:
-        i = c["seq"]
-        ok = (w <= c["max_weight_kg"]) & F.col("origin_region").isin(*c["coverage_regions"]) & (
-            F.lit(c["avg_on_time_pct"] - c["on_time_variance"]) >= floor)
-        out[f"eligible_{i}"] = F.coalesce(ok if c["has_cold_chain"] else ok & ~cold, F.lit(False))
-        base = d * w * c["base_rate_per_kg_km"]
-        base = F.when(express, base * c["express_multiplier"]).otherwise(base)
-        base = F.when(cold, base * c["carrier_cold_multiplier"]).otherwise(base)
-        out[f"cost_{i}"] = round_half_up(F.greatest(base, F.lit(MIN_QUOTE_COST)), 2)
-    q = (predictor or baseline_predictor)(requests.withColumns(out), cs)
-    n = sum((F.col(f"eligible_{c['seq']}").cast("int") for c in cs[1:]), F.col("eligible_0").cast("int"))
-    return q.withColumn("num_options", n)
+    every = F.array(*[F.struct(
+        F.lit(c["seq"]).alias("seq"), F.lit(c["max_weight_kg"]).alias("max_kg"), F.lit(list(c["coverage_regions"])).alias("regions"),
+        F.lit(c["avg_on_time_pct"] - c["on_time_variance"]).alias("sure"), F.lit(c["has_cold_chain"]).alias("cold"),
+        F.lit(c["base_rate_per_kg_km"]).alias("rate"), F.lit(c["express_multiplier"]).alias("express_x"),
+        F.lit(c["carrier_cold_multiplier"]).alias("cold_x"), F.lit(c["factor"]).alias("factor")) for c in cs])
+    q = (predictor or baseline_predictor)(requests, cs)
+    for name in ("p_cost", "p_on_time", "p_carbon"):
+        if name not in q.columns:
+            q = q.withColumn(name, F.array(*[F.col(f"{name}_{c['seq']}") for c in cs]))
+    eligible = F.filter(every, lambda c: (w <= c["max_kg"]) & F.array_contains(c["regions"], region) & (c["sure"] >= floor) & (c["cold"] | ~cold))
+
+    def offer(c: Column) -> Column:
+        base = d * w * c["rate"]
+        base = F.when(express, base * c["express_x"]).otherwise(base)
+        base = F.when(cold, base * c["cold_x"]).otherwise(base)
+        at, on_time = c["seq"] + 1, F.element_at("p_on_time", c["seq"] + 1)
+        return F.struct(round_half_up(F.greatest(base, F.lit(MIN_QUOTE_COST)), 2).alias("cost"), c["seq"].alias("seq"),
+                        F.element_at("p_cost", at).alias("p_cost"), on_time.alias("p_on_time"), F.element_at("p_carbon", at).alias("p_carbon"),
+                        (on_time >= F.col("threshold_pct")).alias("meets"), c["factor"].alias("factor"))
+
+    q = q.withColumn("offers", F.transform(eligible, offer)).drop("p_cost", "p_on_time", "p_carbon")
+    return q.withColumn("num_options", F.when(F.col("offers").isNull(), 0).otherwise(F.size("offers")))
 
 
 def ai_carbon() -> Column:
@@ -302,31 +345,19 @@ def ai_carbon() -> Column:
                           * F.lit(dims.dict_value(dims.GRID_GCO2_PER_KWH, "india"))) / n)
 
 
-def total_carbon(i: int) -> Column:
-    return transport_carbon(i) + ai_carbon()
-
-
-def transport_carbon(i: int) -> Column:
-    return F.col("route_distance_km") * F.lit(carriers()[i]["factor"]) * F.col("cold_chain_multiplier")
+def transport_carbon(offer: Column) -> Column:
+    return F.col("route_distance_km") * offer["factor"] * F.col("cold_chain_multiplier")
 
 
-def meets_sla(i: int) -> Column:
-    return F.col(f"p_on_time_{i}") >= F.col("threshold_pct")
+def option_fields(offer: Column, rural_col: str | None = None) -> dict[str, Column]:
+    """The fields (``rank`` excepted) of the option that ``offer`` (an entry of ``offers``) is.
 
-
-def option_fields(pick: Column, rural_col: str | None = None) -> dict[str, Column]:
-    """The fields (``rank`` excepted) of the option whose carrier number is ``pick``.
-
-    Everything is one lookup by number: in a constant array for what the carrier has, in an array of
-    the ten columns for what ``with_carriers`` worked out.
+    What a carrier has is one lookup by number in a constant array.
     """
-    cs = carriers()
+    cs, pick = carriers(), offer["seq"]
 
     def has(name: str) -> Column:
-        return F.element_at(F.lit([c[name] for c in cs]) if name != "factor" else F.array(*[F.lit(c[name]) for c in cs]), pick + 1)
-
-    def worked_out(prefix: str) -> Column:
-        return F.element_at(F.array(*[F.col(f"{prefix}_{c['seq']}") for c in cs]), pick + 1)
+        return F.element_at(F.lit([c[name] for c in cs]), pick + 1)
 
     d, cold = F.col("route_distance_km"), F.col("requires_cold_chain")
     ot = F.when(F.col("is_metro_to_metro"), has("avg_on_time_pct") + has("metro_to_metro_bonus")).otherwise(has("avg_on_time_pct"))
@@ -336,47 +367,43 @@ def option_fields(pick: Column, rural_col: str | None = None) -> dict[str, Colum
     half = has("on_time_variance") / 2
     carbon_kg = (d * has("carbon_gco2_per_km")) / 1000
     carbon_kg = F.when(cold, carbon_kg * QUOTE_COLD_CARBON_FACTOR).otherwise(carbon_kg)
-    transport = d * has("factor") * F.col("cold_chain_multiplier")
-    on_time = worked_out("p_on_time")
+    transport = transport_carbon(offer)
     return {
-        "cost_inr": worked_out("cost"), "seq": pick, "carrier_code": has("code"), "carrier_name": has("name"),
+        "cost_inr": offer["cost"], "seq": pick, "carrier_code": has("code"), "carrier_name": has("name"),
         "carrier_type": has("type"), "estimated_on_time_pct": round_half_up(ot, 1),
         "on_time_low": round_half_up(clamp(ot - half, 50.0, 99.9), 1),
         "on_time_high": round_half_up(clamp(ot + half, 50.0, 99.9), 1), "carbon_kg": round_half_up(carbon_kg, 2),
         "has_cold_chain": has("has_cold_chain"), "has_ev_fleet": has("has_ev_fleet"), "is_express": F.col("is_express"),
         "delivery_partner": has("partner"), "vehicle_type": has("vehicle"),
-        "predicted_cost": worked_out("p_cost"), "predicted_on_time_pct": on_time,
-        "predicted_carbon_gco2": worked_out("p_carbon"), "transport_carbon_gco2": transport,
-        "ai_carbon_gco2": ai_carbon(), "total_carbon_gco2": transport + ai_carbon(), "meets_sla": on_time >= F.col("threshold_pct")}
-
-
-def chosen_fields(pick: Column, names: list[str]) -> dict[str, Column]:
-    fields = option_fields(pick)
-    return {n: F.when(pick.isNotNull(), fields[n]) for n in names}
+        "predicted_cost": offer["p_cost"], "predicted_on_time_pct": offer["p_on_time"],
+        "predicted_carbon_gco2": offer["p_carbon"], "transport_carbon_gco2": transport,
+        "ai_carbon_gco2": ai_carbon(), "total_carbon_gco2": transport + ai_carbon(), "meets_sla": offer["meets"]}
 
 
 def carrier_options(spark, shipments: DataFrame, deliveries: DataFrame, rates: dict | None = None,
-                    weather_obs_latest: DataFrame | None = None) -> DataFrame:
-    """Requests with risk, the SLA actually quoted and the attached delay-rate columns
-    (one row per request); ``explode_options`` / ``choice.decide`` take it from here."""
+                    weather_obs_latest: DataFrame | None = None, delay_scorer=None) -> DataFrame:
+    """Requests with risk, the SLA actually quoted and the partners' delay rates (``route_rates`` under the
+    route's weather, ``partner_rates`` overall); ``explode_options`` / ``choice.decide`` take it from here.
+
+    ``weather_obs_latest`` (origin, cascade_weather) is the observed weather by origin city.
+    """
     rates = rates or history_rates(deliveries)
     r = prepare_requests(spark, shipments)
     if weather_obs_latest is not None:
-        r = r.join(F.broadcast(weather_obs_latest), "shipment_id", "left")
+        # One row a city: fixed by the reference data's cities, however many requests there are.
+        r = r.join(F.broadcast(weather_obs_latest), "origin", "left")
     else:
         r = r.withColumn("cascade_weather", F.lit(None).cast("string"))
     r = r.withColumn("risk_weather", F.coalesce(F.col("cascade_weather"),
                                                 F.lower(F.when(F.col("weather_condition") != "", F.col("weather_condition"))),
                                                 F.lit(DEFAULT_WEATHER)))
-    r = attach_rates(r, rates, "risk_weather", "risk_rate_")
-    r = request_risk(r)
+    r = attach_rates(r, rates, "risk_weather", "risk_rates")
+    r = request_risk(r, delay_scorer)
     min_on_time = F.when(F.col("recommended_buffer_days") > 0,
                          F.greatest(F.col("threshold_pct"), F.lit(STRICT_MIN_ON_TIME))).otherwise(F.col("threshold_pct"))
     r = r.withColumn("min_on_time_pct", min_on_time)
     # Predictions use the route's weather (request weather or 'clear'), not the risk weather.
-    r = attach_rates(r, rates, "route_weather", "route_rate_")
-    risk_cols = [c for c in r.columns if c.startswith("risk_rate_")]
-    return drop_rates(r, rates).drop(*risk_cols)
+    return attach_rates(r, rates, "route_weather", "route_rates").drop("risk_rates", "default_rates", "g")
 
 
 def explode_options(spark, requests: DataFrame, keep: list[str], fields: list[str] | None = None, predictor=None,
@@ -387,12 +414,7 @@ def explode_options(spark, requests: DataFrame, keep: list[str], fields: list[st
     after that.
     """
     q = with_carriers(requests, "min_on_time_pct", predictor)
-    keys = [F.when(F.col(f"eligible_{c['seq']}"), F.struct(F.col(f"cost_{c['seq']}").alias("cost"), F.lit(c["seq"]).alias("seq")))
-            for c in carriers()]
-    n = F.col("num_options")
-    # Nulls, the carriers that are not eligible, sort first and are cut off.
-    ranked = F.slice(F.sort_array(F.array(*keys)), F.lit(len(keys) + 1) - n, n)
     # The outer form and a filter after it: otherwise the whole array would be worked out twice, once to filter.
-    out = q.select("*", F.posexplode_outer(ranked).alias("_at", "_o")).where(F.col("_o").isNotNull()).withColumn("_pick", F.col("_o.seq"))
-    per = option_fields(F.col("_pick"), rural_col) | {"rank": F.col("_at") + 1}
+    out = q.select("*", F.posexplode_outer(F.sort_array("offers")).alias("_at", "_o")).where(F.col("_o").isNotNull())
+    per = option_fields(F.col("_o"), rural_col) | {"rank": F.col("_at") + 1}
     return out.select(*keep, *[per[f].alias(f) for f in (fields or OPTION_FIELDS)])

@@ -61,15 +61,11 @@ SELECT shipment_id, carrier_code, stakes, round(predicted_cost, 6) AS cost, roun
 FROM s4""")
 def q_optimize_delivery(spark, sf):
     """Route choice + early warning on the chosen route + stakes (governance key) + frontier point."""
-    d = q_choice._decided(spark, sf).where(F.col("num_options") > 0)
+    d = q_choice._decided(spark, sf, carry=["impact_multiplier", "route_weather", "route_distance_km", "route_weight_kg",
+                                            "route_rates", "partner_rates"]).where(F.col("num_options") > 0)
     b = F.col("best")
-    partner_rate = F.coalesce(*[F.when(b["delivery_partner"] == p, F.col("route_rate_" + quotes._pcol(p)))
-                                for p in quotes.CARRIER_PARTNERS])
-    hist = q_choice._history(spark, sf)
-    rates = quotes.history_rates(hist)
-    d = d.crossJoin(rates["overall"])
-    p_partner = F.coalesce(*[F.when(b["delivery_partner"] == p, F.col("p_" + quotes._pcol(p)))
-                             for p in quotes.CARRIER_PARTNERS])
+    place = F.array_position(F.lit(quotes.CARRIER_PARTNERS), b["delivery_partner"]).cast("int")
+    partner_rate, p_partner = F.element_at("route_rates", place), F.element_at("partner_rates", place)
     cols = quotes.risk_columns(partner_rate, F.col("impact_multiplier"), F.col("route_weather"),
                                F.col("route_distance_km"), F.col("route_weight_kg"), b["delivery_partner"], p_partner)
     return d.select("shipment_id", b["carrier_code"].alias("carrier_code"), "stakes",

@@ -23,7 +23,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.ui.retainedExecutions", "20")
         .config("spark.ui.retainedJobs", "50")
         .config("spark.ui.retainedStages", "50")
-        .config("spark.sql.codegen.methodSplitThreshold", "512")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
