@@ -1,29 +1,39 @@
-"""MLlib jobs: feature pipeline, hash split, GBT regressors / classifier, k-means vendor clusters,
-cross-validation and evaluation tables.
+"""MLlib jobs: feature table, splits, GBT regressors / classifier, model store, k-means vendor clusters,
+cross-validation folds and evaluation tables.
 
-Fits are distributed MLlib estimators over the whole fact; the evaluation
+Fits are distributed MLlib estimators over one stored feature table; the evaluation
 tables are plain aggregations (confusion counts, MAE, R^2) and therefore
 SQL-checkable against any predictor's output.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import hashlib
+import re
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cargolens.functions.ranking import grouped_row_number
 from cargolens.session import ensure_checkpoint_dir
 
 CATEGORICAL = ["delivery_partner", "package_type", "vehicle_type", "delivery_mode", "region", "weather_condition"]
 NUMERIC = ["distance_km", "package_weight_kg", "delivery_rating"]
 FEATURES = CATEGORICAL + NUMERIC
 SEED = 42
+TREES = 100
+#: Fits that run at the same time; each one's jobs are many and small.
+PARALLEL_FITS = 5
 
 
 def split_bucket(id_col: str = "delivery_id"):
@@ -32,31 +42,52 @@ def split_bucket(id_col: str = "delivery_id"):
 
 
 def train_test_split(df: DataFrame, test_pct: int = 20, id_col: str = "delivery_id",
-                     stratify: str | None = None) -> DataFrame:
-    """Adds ``is_test``.  Stratified: within each label the lowest ``test_pct`` % of buckets
-    (by bucket then id) go to test -- a percent_rank over a 2-group key on bucket counts only."""
+                     stratify: str | None = None, out: str = "is_test") -> DataFrame:
+    """Adds ``is_test``.  Stratified: of each label's rows, in order of bucket and id, exactly the first ``test_pct`` %
+    (rounded down) go to test.
+
+    Counts by label and bucket say which bucket the cut falls into; only that bucket's rows are ranked, by a
+    distributed rank, so no label's rows meet in one task.
+    """
     b = split_bucket(id_col)
     if stratify is None:
-        return df.withColumn("is_test", b < test_pct)
-    counts = df.groupBy(stratify, b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-    w = Window.partitionBy(stratify).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(stratify)
-    cut = counts.withColumn("_cum", F.sum("_n").over(w)).withColumn("_tot", F.sum("_n").over(tot)) \
-        .withColumn("_test", F.col("_cum") - F.col("_n") < F.col("_tot") * test_pct / 100.0)
-    return (df.withColumn("_b", b).join(F.broadcast(cut.select(stratify, "_b", "_test")), [stratify, "_b"], "left")
-            .withColumn("is_test", F.coalesce("_test", F.lit(False))).drop("_b", "_test"))
+        return df.withColumn(out, b < test_pct)
+    counts = df.groupBy(F.col(stratify).alias("_label"), b.alias("_b")).agg(F.count(F.lit(1)).alias("_size"))
+    label = Window.partitionBy("_label")
+    before = F.coalesce(F.sum("_size").over(label.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.floor(F.sum("_size").over(label) * test_pct / 100) - before
+    cut = counts.withColumn("_take", F.least(F.greatest(room, F.lit(0)), F.col("_size")))  # 100 rows a label
+    rows = df.withColumn("_bucket", b).join(
+        F.broadcast(cut), F.col("_bucket").eqNullSafe(F.col("_b")) & F.col(stratify).eqNullSafe(F.col("_label")), "left").drop("_b", "_label")
+    split = (F.col("_take") > 0) & (F.col("_take") < F.col("_size"))
+    whole = rows.where(~split).withColumn(out, F.col("_take") > 0)
+    ranked = grouped_row_number(rows.where(split), stratify, [F.col(id_col)], out="_rank")
+    return (whole.unionByName(ranked.withColumn(out, F.col("_rank") <= F.col("_take")).drop("_rank"))
+            .drop("_bucket", "_size", "_take"))
+
+
+def folds(df: DataFrame, k: int = 5, id_col: str = "delivery_id", stratify: str | None = None, out: str = "fold") -> DataFrame:
+    """Adds a fold from 0 to k - 1; stratified: each label's rows, in order of bucket and id, go to the folds in turn."""
+    if stratify is None:
+        return df.withColumn(out, (split_bucket(id_col) % k).cast("int"))
+    ranked = grouped_row_number(df, stratify, [split_bucket(id_col), F.col(id_col)], out="_rank")
+    return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
 def feature_pipeline() -> list:
     """Index + one-hot the categoricals (unknown -> all zeros), scale the numerics, assemble."""
-    idx = [StringIndexer(inputCol=c, outputCol=c + "_idx", handleInvalid="keep") for c in CATEGORICAL]
+    idx = StringIndexer(inputCols=CATEGORICAL, outputCols=[c + "_idx" for c in CATEGORICAL], handleInvalid="keep")
     ohe = OneHotEncoder(inputCols=[c + "_idx" for c in CATEGORICAL], outputCols=[c + "_oh" for c in CATEGORICAL],
                         dropLast=True)  # the indexer's last category is "unknown": it gets no column
     num = VectorAssembler(inputCols=NUMERIC, outputCol="num_raw")
     scaler = StandardScaler(inputCol="num_raw", outputCol="num_scaled", withMean=True, withStd=True)
     asm = VectorAssembler(inputCols=["num_scaled"] + [c + "_oh" for c in CATEGORICAL], outputCol="features")
-    return idx + [ohe, num, scaler, asm]
+    return [idx, ohe, num, scaler, asm]
+
+
+def feature_names(features: PipelineModel) -> list[str]:
+    """The name of each entry of the assembled vector: the numerics, then column_value."""
+    return NUMERIC + [f"{c}_{v}" for c, labels in zip(CATEGORICAL, features.stages[0].labelsArray, strict=True) for v in labels]
 
 
 def with_labels(deliveries: DataFrame) -> DataFrame:
@@ -69,42 +100,253 @@ def with_labels(deliveries: DataFrame) -> DataFrame:
         "is_delayed": F.when(F.col("delayed") == "yes", 1.0).otherwise(0.0)})
 
 
-def fit_regressor(train: DataFrame, label: str, max_iter: int = 100):
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=3, stepSize=0.1,
-                       seed=SEED, predictionCol="pred_" + label)
-    return Pipeline(stages=feature_pipeline() + [gbt]).fit(train)
+def feature_table(df: DataFrame, train: Column, keep: list[str]) -> tuple[PipelineModel, DataFrame]:
+    """The feature pipeline fitted on the training rows, and every row's ``keep`` columns with its features, stored once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    model = Pipeline(stages=feature_pipeline()).fit(df.where(train))
+    return model, model.transform(df).select(*keep, "features").checkpoint()
+
+
+def _estimator(label: str, max_iter: int):
+    if label == "is_delayed":
+        return GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=3, stepSize=0.1, seed=SEED)
+    return GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=3, stepSize=0.1, seed=SEED,
+                        predictionCol="pred_" + label)
+
+
+def fit_all(jobs: list[tuple[DataFrame, str]], max_iter: int = TREES, parallel: int = PARALLEL_FITS) -> list:
+    """One tree model for each (table with features, label), some at the same time."""
+    if not jobs:
+        return []
+    keep = inheritable_thread_target(jobs[0][0].sparkSession)
+    with ThreadPoolExecutor(parallel) as pool:
+        futures = [pool.submit(keep(lambda t=t, n=n: _estimator(n, max_iter).fit(t))) for t, n in jobs]
+        return [f.result() for f in futures]
+
+
+def fit_regressor(train: DataFrame, label: str, max_iter: int = TREES) -> PipelineModel:
+    features, table = feature_table(train, F.lit(True), [label])
+    return PipelineModel(features.stages + fit_all([(table, label)], max_iter))
+
+
+def fit_classifier(train: DataFrame, max_iter: int = TREES) -> PipelineModel:
+    return fit_regressor(train, "is_delayed", max_iter)
+
+
+_RULE = re.compile(r"If \(feature (\d+) (?:<= ([-+.\dEe]+)|in \{([^}]*)\})\)|Predict: ([-+.\dEeNa]+)")
+
+
+def _trees(text: str) -> tuple[list[float], list[list[tuple]]]:
+    """Weights and nodes of the trees in a model's description; a node is (feature, threshold or None, left, right, value)."""
+    weights, trees = [], []
+    for block in re.split(r"\n\s*Tree \d+ ", text)[1:]:
+        weights.append(float(re.match(r"\(weight ([-+.\dEe]+)\)", block).group(1)))
+        rules = iter(_RULE.finditer(block))
+        nodes: list[tuple] = []
+
+        def read() -> int:
+            feature, below, within, value = next(rules).groups()
+            at = len(nodes)
+            nodes.append(())
+            if value is not None:
+                nodes[at] = (0, 0.0, at, at, float(value))
+                return at
+            if below is None and within != "0.0" and within != "1.0":
+                raise ValueError(f"a split on categories other than a flag: {within}")
+            left = read()
+            right = read()
+            # A flag that is 0 goes left below one half; one that is 1 goes left above it.
+            nodes[at] = (int(feature), float(below) if below is not None else 0.5, *((right, left) if within == "1.0" else (left, right)), 0.0)
+            return at
+
+        read()
+        trees.append(nodes)
+    return weights, trees
+
+
+def tree_scorer(model: PipelineModel) -> Callable:
+    """A function of a pandas frame of delivery features that gives what the fitted pipeline predicts (a classifier: P(1)).
+
+    It holds nothing but arrays, so it runs in tasks without a JVM; all rows walk down each tree together.
+    """
+    index, _, _, scaler, _, fitted = model.stages
+    weights, trees = _trees(fitted.toDebugString)
+    size = max(len(t) for t in trees)
+    table = np.zeros((5, len(trees), size))
+    for i, nodes in enumerate(trees):
+        table[:, i, : len(nodes)] = np.array(nodes).T
+    feature, left, right = (table[k].astype(np.int64) for k in (0, 2, 3))
+    threshold, value = table[1], table[4]
+    mean, std = scaler.mean.toArray(), scaler.std.toArray()
+    labels = [list(x) for x in index.labelsArray]
+    numeric, categorical, classifier = list(NUMERIC), list(CATEGORICAL), isinstance(fitted, _classifier_model())
+    depth = size.bit_length()
+
+    def score(routes):
+        import numpy as np
+
+        parts = [(routes[numeric].to_numpy(float) - mean) / np.where(std > 0, std, 1.0) * (std > 0)]
+        for c, known in zip(categorical, labels, strict=True):
+            parts.append(routes[c].to_numpy()[:, None] == np.array(known, object)[None, :])
+        x = np.concatenate(parts, 1).astype(float)
+        rows, out = np.arange(len(x)), np.zeros(len(x))
+        for i, w in enumerate(weights):
+            at = np.zeros(len(x), np.int64)
+            for _ in range(depth):
+                at = np.where(x[rows, feature[i, at]] <= threshold[i, at], left[i, at], right[i, at])
+            out += w * value[i, at]
+        return 1 / (1 + np.exp(-2 * out)) if classifier else out
 
+    return score
 
-def fit_classifier(train: DataFrame, max_iter: int = 100):
-    gbt = GBTClassifier(featuresCol="features", labelCol="is_delayed", maxIter=max_iter, maxDepth=3, stepSize=0.1,
-                        seed=SEED)
-    return Pipeline(stages=feature_pipeline() + [gbt]).fit(train)
 
+def _classifier_model():
+    from pyspark.ml.classification import GBTClassificationModel
 
-def impute(df: DataFrame, train: DataFrame) -> DataFrame:
-    """Missing numerics -> training mean; missing categoricals -> training mode (one aggregation)."""
-    aggs = [F.avg(c).alias(c) for c in NUMERIC] + [F.mode(c, True).alias(c) for c in CATEGORICAL]
-    fill = F.broadcast(train.agg(*aggs).select(*[F.col(c).alias("_f_" + c) for c in FEATURES]))
-    j = df.crossJoin(fill)
-    return j.withColumns({c: F.coalesce(F.col(c).cast("double" if c in NUMERIC else "string"), F.col("_f_" + c))
+    return GBTClassificationModel
+
+
+def fills(train: DataFrame) -> DataFrame:
+    """One row: the training mean of each numeric and the mode of each categorical feature."""
+    return train.agg(*[F.avg(c).alias(c) for c in NUMERIC], *[F.mode(c, True).alias(c) for c in CATEGORICAL])
+
+
+def impute(df: DataFrame, fill: DataFrame) -> DataFrame:
+    """Missing features take the fill row's values; a feature column that is not there at all counts as missing."""
+    known = fill.select(*[F.col(c).alias("_f_" + c) for c in FEATURES])
+    j = df.crossJoin(F.broadcast(known))  # one row
+    kind = {c: "double" if c in NUMERIC else "string" for c in FEATURES}
+    return j.withColumns({c: F.coalesce(F.col(c).cast(kind[c]), F.col("_f_" + c)) if c in df.columns else F.col("_f_" + c).cast(kind[c])
                           for c in FEATURES}).drop(*["_f_" + c for c in FEATURES])
 
 
-def vendor_kmeans(stats: DataFrame, k: int = 4, seeds: int = 10, key: str = "delivery_partner"):
-    """Scaled k-means on the five vendor features; best of ``seeds`` runs (like n_init)."""
-    cols = ["avg_cost", "delay_rate", "avg_rating", "on_time_pct", "reliability_score"]
+class ModelStore:
+    """Fitted pipelines with their training fills, in a folder that all machines share.
+
+    An entry's name ends with a fingerprint of its training rows, so other data never get an older fit.
+    """
+
+    def __init__(self, spark, path: str | None = None):
+        self.spark, self.path = spark, path or f"{ensure_checkpoint_dir(spark)}/models"
+
+    def _exists(self, at: str) -> bool:
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{at}/_COMPLETE")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def key(self, name: str, train: DataFrame, columns: list[str]) -> str:
+        """``name`` and a fingerprint of the training rows."""
+        row = train.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("x"),
+                        F.sum(F.pmod(F.xxhash64(*columns), F.lit(1_000_000_007))).alias("s")).first()
+        return f"{name}-{hashlib.sha256(repr((tuple(row), columns)).encode()).hexdigest()[:16]}"
+
+    def save(self, key: str, model: PipelineModel, fill: DataFrame) -> None:
+        at = f"{self.path}/{key}"
+        model.write().overwrite().save(f"{at}/pipeline")
+        fill.write.mode("overwrite").parquet(f"{at}/fills")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{at}/_COMPLETE")  # last: an entry without it is not used
+
+    def load(self, key: str) -> tuple[PipelineModel, DataFrame]:
+        at = f"{self.path}/{key}"
+        return PipelineModel.load(f"{at}/pipeline"), self.spark.read.parquet(f"{at}/fills")
+
+    def get(self, name: str, train: DataFrame, label: str, max_iter: int = TREES) -> tuple[PipelineModel, DataFrame]:
+        """The stored model for these training rows, fitted and stored if there is none."""
+        return self.get_all(name, train, [label], max_iter)[label]
+
+    def get_all(self, name: str, train: DataFrame, labels: list[str], max_iter: int = TREES) -> dict[str, tuple[PipelineModel, DataFrame]]:
+        base = self.key(name, train, sorted({*FEATURES, *labels}))
+        keys = {x: f"{base}-{x}-{max_iter}" for x in labels}
+        missing = [x for x in labels if not self._exists(f"{self.path}/{keys[x]}")]
+        if missing:
+            features, table = feature_table(train, F.lit(True), missing)
+            fill = fills(train)
+            for x, fitted in zip(missing, fit_all([(table, x) for x in missing], max_iter), strict=True):
+                self.save(keys[x], PipelineModel([*features.stages, fitted]), fill)
+        return {x: self.load(keys[x]) for x in labels}
+
+
+CLUSTER_COLUMNS = ["avg_cost", "delay_rate", "avg_rating", "on_time_pct", "reliability_score"]
+
+
+def vendor_kmeans(stats: DataFrame, k: int = 4, seeds: int = 10, key: str = "delivery_partner", rounds: int = 50) -> tuple[DataFrame, dict]:
+    """Scaled k-means on the five vendor features; best of ``seeds`` starts (like n_init).
+
+    All starts advance together: a round is one aggregation in which every task sums its points for each
+    start's centres.  The first centres come from k-means++ sampling: of all points the one with the largest
+    u ** (1 / d2), u a hash of the point's values and the start, d2 its squared distance to the centres so far, so
+    that too is one aggregation a centre.  Returns the rows with ``features`` and ``cluster``, and the centres.
+    """
     ensure_checkpoint_dir(stats.sparkSession)
-    stats = stats.checkpoint()  # the fact is aggregated once, not for every scaler, seed and iteration
-    v = VectorAssembler(inputCols=cols, outputCol="raw").transform(stats)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(v).transform(v)
-    best = None
-    for s in range(seeds):
-        m = KMeans(k=k, seed=SEED + s, featuresCol="features", predictionCol="cluster").fit(scaled)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    out = best[1].transform(scaled)
-    return out, best[1]
+    cols = CLUSTER_COLUMNS
+    stats = stats.checkpoint()  # the fact is aggregated once, not for every round
+    m = stats.agg(*[F.avg(c).alias("m_" + c) for c in cols], *[F.stddev_samp(c).alias("s_" + c) for c in cols]).first()
+    scaled = stats.withColumn("_x", F.array(*[
+        (F.col(c) - m["m_" + c]) / m["s_" + c] if m["s_" + c] else F.lit(0.0) for c in cols]))
+    points = scaled.select(F.xxhash64("_x").alias("h"), "_x")
+
+    def run(work: Callable) -> list:
+        """Rows of small sums, from every task."""
+        def task(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            parts = [(b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, len(cols))) for b in batches if len(b)]
+            if parts:
+                h, x = (np.concatenate(p) for p in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(h, x)], names=["start", "cluster", "rank", "n", "sums"])
+
+        return points.mapInArrow(task, "start long, cluster long, rank double, n double, sums array<double>")
+
+    def first(h, x, centres):
+        """For each start the point that comes first in the sampling order."""
+        import numpy as np
+
+        out = []
+        for s in range(seeds):
+            d2 = np.ones(len(x)) if not centres[s] else ((x[:, None, :] - np.array(centres[s])[None]) ** 2).sum(2).min(1)
+            mixed = (h.astype(np.uint64) ^ np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+            u = ((mixed >> np.uint64(11)).astype(float) + 1) / (1 << 53)
+            rank = np.where(d2 > 1e-18, np.log(u) / np.maximum(d2, 1e-18), -np.inf)
+            i = int(np.lexsort((h, rank))[-1])
+            out.append((s, len(centres[s]), float(rank[i]), 1.0, x[i].tolist()))
+        return list(zip(*out, strict=True))
+
+    centres: list[list[list[float]]] = [[] for _ in range(seeds)]
+    for _ in range(k):
+        found = run(lambda h, x, c=[list(z) for z in centres]: first(h, x, c))
+        for r in found.groupBy("start").agg(F.max_by("sums", F.struct("rank", "sums")).alias("sums"), F.max("rank").alias("rank")).collect():
+            if r["rank"] > -np.inf or not centres[r["start"]]:
+                centres[r["start"]].append(list(r["sums"]))  # fewer different points than k: fewer centres
+
+    def sums(h, x, centres):
+        import numpy as np
+
+        out = []
+        for s, c in enumerate(centres):
+            d2 = ((x[:, None, :] - np.array(c)[None]) ** 2).sum(2)
+            own = d2.argmin(1)
+            for j in range(len(c)):
+                mine = own == j
+                out.append((s, j, float(d2[mine, j].sum()), float(mine.sum()), x[mine].sum(0).tolist()))
+        return list(zip(*out, strict=True))
+
+    cost = [np.inf] * seeds
+    for _ in range(rounds):
+        got = run(lambda h, x, c=[list(z) for z in centres]: sums(h, x, c)).groupBy("start", "cluster").agg(
+            F.sum("rank").alias("cost"), F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(len(cols))]).alias("sums")).collect()
+        now = [sum(r["cost"] for r in got if r["start"] == s) for s in range(seeds)]  # seeds x k rows
+        for r in got:
+            if r["n"] > 0:
+                centres[r["start"]][r["cluster"]] = [v / r["n"] for v in r["sums"]]
+        if all(a - b <= 1e-12 * max(a, 1e-300) for a, b in zip(cost, now, strict=True) if np.isfinite(a)) and np.isfinite(cost).all():
+            break
+        cost = now
+    best = sorted(centres[int(np.argmin(cost))])  # numbered by their first coordinate, whatever start won
+    far = [sum(((F.col("_x")[i] - v) * (F.col("_x")[i] - v) for i, v in enumerate(c)), F.lit(0.0)) for c in best]
+    nearest = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(j).alias("j")) for j, d in enumerate(far)]))["j"]
+    out = scaled.withColumn("cluster", nearest).withColumn("features", array_to_vector("_x")).drop("_x")
+    return out, {"centres": best, "cost": min(cost)}
 
 
 def silhouette(clustered: DataFrame) -> float:

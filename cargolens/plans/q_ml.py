@@ -5,24 +5,40 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cargolens.functions.exprs import late_flag, r6
-from cargolens.operators import ml, vendors
+from cargolens.operators import ml, quotes, vendors
+from cargolens.plans import q_choice
 from cargolens.plans.catalog import query
 from cargolens.plans.sqlkit import register
 from cargolens.sources import views
 
 SPLIT_SQL = "((delivery_id % 1000003) * 7919 + 13) % 100"
-# Iterations used by the registered queries (the library default is 100 trees).
-QUERY_TREES = 20
+
+
+def is_test():
+    return ml.split_bucket() < 20
+
 
 
 def _labeled(spark, sf):
     return ml.with_labels(views.deliveries(spark, sf, ["delivery_id", "delayed", "delivery_cost", *ml.FEATURES]))
 
 
-@query("train_test_split", f"SELECT delivery_id, {SPLIT_SQL} < 20 AS is_test FROM deliveries")
+@query("train_test_split", f"""
+SELECT delivery_id, {SPLIT_SQL} < 20 AS is_test,
+  row_number() OVER (PARTITION BY delayed ORDER BY {SPLIT_SQL}, delivery_id) <= (count(*) OVER (PARTITION BY delayed)) * 20 // 100 AS is_test_stratified
+FROM deliveries""")
 def q_train_test_split(spark, sf):
-    d = views.deliveries(spark, sf, ["delivery_id"])
-    return ml.train_test_split(d).select("delivery_id", "is_test")
+    d = ml.train_test_split(views.deliveries(spark, sf, ["delivery_id", "delayed"]))
+    return ml.train_test_split(d, stratify="delayed", out="is_test_stratified").select("delivery_id", "is_test", "is_test_stratified")
+
+
+@query("cross_validation_folds", f"""
+SELECT delivery_id, CAST({SPLIT_SQL} % 5 AS INTEGER) AS fold,
+  CAST((row_number() OVER (PARTITION BY delayed ORDER BY {SPLIT_SQL}, delivery_id) - 1) % 5 AS INTEGER) AS stratified_fold
+FROM deliveries""")
+def q_cross_validation_folds(spark, sf):
+    d = ml.folds(views.deliveries(spark, sf, ["delivery_id", "delayed"]))
+    return ml.folds(d, stratify="delayed", out="stratified_fold").select("delivery_id", "fold", "stratified_fold")
 
 
 @query("feature_pipeline")
@@ -33,55 +49,90 @@ def q_feature_pipeline(spark, sf):
     return model.transform(d).select("delivery_id", ml.to_array("features").alias("features"))
 
 
+LABELS = ["delivery_cost", "carbon_gco2", "on_time_pct"]
+
+
+def _regressors(spark, sf, labels):
+    """Models of the plain split's training rows, from the store."""
+    return ml.ModelStore(spark).get_all("deliveries", _labeled(spark, sf).where(~is_test()), labels)
+
+
+def _delay_split(spark, sf):
+    return ml.train_test_split(_labeled(spark, sf), stratify="is_delayed")
+
+
+def _delay_classifier(spark, train):
+    return ml.ModelStore(spark).get("deliveries", train, "is_delayed")[0]
+
+
 @query("gbt_regressors")
 def q_gbt_regressors(spark, sf):
-    d = ml.train_test_split(_labeled(spark, sf))
-    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    out = test.select("delivery_id", *ml.FEATURES, "delivery_cost", "carbon_gco2", "on_time_pct")
-    for label in ("delivery_cost", "carbon_gco2", "on_time_pct"):
-        m = ml.fit_regressor(train, label, QUERY_TREES)
-        out = m.transform(out).select(*out.columns, "pred_" + label)
-    return out.select("delivery_id", "pred_delivery_cost", "pred_carbon_gco2", "pred_on_time_pct")
+    """The three regressors over the holdout; the features are worked out once for all."""
+    models = _regressors(spark, sf, LABELS)
+    test = _labeled(spark, sf).where(is_test())
+    features, out = models[LABELS[0]][0].stages[:-1], test
+    for stage in features:
+        out = stage.transform(out)
+    for x in LABELS:
+        out = models[x][0].stages[-1].transform(out)
+    return out.select("delivery_id", *["pred_" + x for x in LABELS])
 
 
 @query("gbt_delay_classifier")
 def q_gbt_delay_classifier(spark, sf):
-    d = ml.train_test_split(_labeled(spark, sf), stratify="is_delayed")
-    m = ml.fit_classifier(d.where(~F.col("is_test")), QUERY_TREES)
-    p = m.transform(d.where(F.col("is_test")))
+    d = _delay_split(spark, sf)
+    p = _delay_classifier(spark, d.where(~F.col("is_test"))).transform(d.where(F.col("is_test")))
     return p.select("delivery_id", "is_delayed", ml.to_array("probability")[1].alias("delay_probability"),
                     F.col("prediction").alias("predicted"))
 
 
 @query("top_k_importance")
 def q_top_k_importance(spark, sf):
-    d = ml.train_test_split(_labeled(spark, sf), stratify="is_delayed")
-    m = ml.fit_classifier(d.where(~F.col("is_test")), QUERY_TREES)
-    feats = m.transform(d.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a["name"] for group in feats.values() for a in group}
-    imp = m.stages[-1].featureImportances.toArray()
-    # The assembled vector starts with the scaled numerics, which carry no names of their own.
-    label = {i: n for i, n in enumerate(ml.NUMERIC)}
-    rows = [(label.get(i, names.get(i, str(i)).replace("_oh_", "_"))[:25], float(v)) for i, v in enumerate(imp)]
+    """The ten most important features of the delay classifier and of the on-time regressor."""
+    delay = _delay_classifier(spark, _delay_split(spark, sf).where(~F.col("is_test")))
+    on_time = _regressors(spark, sf, LABELS)["on_time_pct"][0]
+    rows = []
+    for name, model in (("delay", delay), ("on_time", on_time)):
+        names = ml.feature_names(model)
+        found = sorted(zip(model.stages[-1].featureImportances.toArray().tolist(), names, strict=True), key=lambda x: (-x[0], x[1]))
+        rows += [(name, n[:25], v) for v, n in found[:10]]
     from cargolens.sources import dims
-    t = dims.local_table(spark, rows, "feature string, importance double")
-    return t.orderBy(F.col("importance").desc(), F.col("feature")).limit(10)
+    return dims.local_table(spark, rows, "model string, feature string, importance double")
 
 
-register("imp_fill", f"""
-SELECT avg(distance_km) AS d, avg(package_weight_kg) AS w FROM deliveries WHERE NOT ({SPLIT_SQL} < 20)""")
+_FILLS = ", ".join([f"(SELECT avg({c}) FROM train) AS {c}" for c in ml.NUMERIC]
+                   + [f"(SELECT {c} FROM train WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS {c}" for c in ml.CATEGORICAL])
+register("imp_train", f"SELECT * FROM deliveries WHERE NOT ({SPLIT_SQL} < 20)")
+_HELD = ["delivery_partner", "package_type", "vehicle_type", "delivery_mode", "weather_condition"]
 
 
-@query("impute_and_score", """
-SELECT s.shipment_id, round(coalesce(s.distance_km, f.d), 6) AS distance_km,
-  round(coalesce(s.package_weight_kg, f.w), 6) AS package_weight_kg FROM shipments s CROSS JOIN imp_fill f""")
+@query("impute_and_score", f"""
+WITH train AS (SELECT * FROM imp_train), f AS (SELECT {_FILLS})
+SELECT s.shipment_id, {', '.join(f'coalesce(s.{c}, f.{c}) AS {c}' for c in _HELD)}, f.region,
+  round(coalesce(s.distance_km, f.distance_km), 6) AS distance_km,
+  round(coalesce(s.package_weight_kg, f.package_weight_kg), 6) AS package_weight_kg, round(f.delivery_rating, 6) AS delivery_rating
+FROM shipments s CROSS JOIN f""")
 def q_impute_and_score(spark, sf):
-    train = ml.train_test_split(views.deliveries(spark, sf, ["delivery_id", "distance_km", "package_weight_kg"]))
-    fill = F.broadcast(train.where(~F.col("is_test")).agg(F.avg("distance_km").alias("d"),
-                                                          F.avg("package_weight_kg").alias("w")))
-    s = views.shipments(spark, sf, ["shipment_id", "distance_km", "package_weight_kg"])
-    return s.crossJoin(fill).select("shipment_id", r6(F.coalesce("distance_km", "d")).alias("distance_km"),
-                                    r6(F.coalesce("package_weight_kg", "w")).alias("package_weight_kg"))
+    """The nine features of every request as they are scored (the predictions: ``impute_and_score_predictions``)."""
+    return _imputed(spark, sf, ml.fills(views.deliveries(spark, sf, ["delivery_id", *ml.FEATURES]).where(~is_test())))
+
+
+def _imputed(spark, sf, fill):
+    # Requests have no rating and no region: those two come from the training rows altogether.
+    s = ml.impute(views.shipments(spark, sf, ["shipment_id", *_HELD, "distance_km", "package_weight_kg"]), fill)
+    return s.select("shipment_id", *ml.CATEGORICAL, *[r6(c).alias(c) for c in ml.NUMERIC])
+
+
+@query("impute_and_score_predictions")
+def q_impute_and_score_predictions(spark, sf):
+    """Cost, carbon and on-time percentage of every request by the stored models, features filled from their training rows."""
+    models = _regressors(spark, sf, LABELS)
+    out = _imputed(spark, sf, models[LABELS[0]][1])
+    for stage in models[LABELS[0]][0].stages[:-1]:
+        out = stage.transform(out)
+    for x in LABELS:
+        out = models[x][0].stages[-1].transform(out)
+    return out.select("shipment_id", *[F.col("pred_" + x).alias("predicted_" + x) for x in LABELS])
 
 
 def _partner_stats(spark, sf):
@@ -110,22 +161,40 @@ def q_vendor_silhouette(spark, sf):
     return dims.local_table(spark, [(float(ml.silhouette(out)),)], "silhouette double")
 
 
+@query("option_fitted_clusters")
+def q_option_fitted_clusters(spark, sf):
+    """Every option with the fitted cluster of its partner and the cluster's type."""
+    clustered = ml.vendor_kmeans(_partner_stats(spark, sf), k=4)[0].drop("features")
+    profile = vendors.cluster_profiles(clustered).select("cluster", F.col("type").alias("cluster_type"))
+    labels = clustered.select("delivery_partner", "cluster").join(profile, "cluster")
+    e = q_choice._exploded(spark, sf, fields=["carrier_code", "delivery_partner"])
+    # One row for each partner of the carriers: at most ten.
+    return e.join(F.broadcast(labels.where(F.col("delivery_partner").isin(quotes.CARRIER_PARTNERS))), "delivery_partner", "left").select(
+        "shipment_id", "carrier_code", "delivery_partner", "cluster", "cluster_type")
+
+
 @query("cross_validation")
 def q_cross_validation(spark, sf):
-    """5 folds by id bucket; cost regressor R^2 and MAE per fold (small tree count), then mean / population std."""
-    d = _labeled(spark, sf).withColumn("fold", ml.split_bucket() % 5)
-    per = []
-    for k in range(5):
-        m = ml.fit_regressor(d.where(F.col("fold") != k), "delivery_cost", 5)
-        p = m.transform(d.where(F.col("fold") == k))
-        y, e = F.col("delivery_cost"), F.col("delivery_cost") - F.col("pred_delivery_cost")
-        # n * var_pop is the sum of squares around the fold's mean: one pass, partial sums.
-        per.append(p.agg((1 - F.sum(e * e) / (F.count(y) * F.var_pop(y))).alias("r2"), F.avg(F.abs(e)).alias("mae")))
-    folds = per[0]
-    for x in per[1:]:
-        folds = folds.unionByName(x)
-    return folds.agg(F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"),
-                     F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"))
+    """5-fold scores, mean and population deviation: cost and on-time regressors (folds by id), delay classifier (stratified)."""
+    d = ml.folds(ml.folds(_labeled(spark, sf)), stratify="is_delayed", out="stratified")
+    _, table = ml.feature_table(d, F.lit(True), ["fold", "stratified", "delivery_cost", "on_time_pct", "is_delayed"])
+    runs = [(x, by, k) for x, by in (("delivery_cost", "fold"), ("on_time_pct", "fold"), ("is_delayed", "stratified")) for k in range(5)]
+    models = ml.fit_all([(table.where(F.col(by) != k), x) for x, by, k in runs])
+    scores = None
+    for (x, by, k), m in zip(runs, models, strict=True):
+        p = m.transform(table.where(F.col(by) == k))
+        if x == "is_delayed":
+            hit = F.sum(F.when((F.col(x) == 1) & (F.col("prediction") == 1), 1).otherwise(0))
+            named = F.sum(F.when(F.col("prediction") == 1, 1).otherwise(0)) + F.sum(F.when(F.col(x) == 1, 1).otherwise(0))
+            s = p.agg(F.lit(x).alias("label"), F.lit(None).cast("double").alias("r2"), F.lit(None).cast("double").alias("mae"),
+                      F.coalesce(F.try_divide(2 * hit, named), F.lit(0.0)).alias("f1"))
+        else:
+            y, e = F.col(x), F.col(x) - F.col("pred_" + x)
+            # n * var_pop is the sum of squares around the fold's mean: one pass, partial sums.
+            s = p.agg(F.lit(x).alias("label"), (1 - F.try_divide(F.sum(e * e), F.count(y) * F.var_pop(y))).alias("r2"), F.avg(F.abs(e)).alias("mae"),
+                      F.lit(None).cast("double").alias("f1"))
+        scores = s if scores is None else scores.unionByName(s)
+    return scores.groupBy("label").agg(*[f(c).alias(f"{c}_{n}") for c in ("r2", "mae", "f1") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
 
 
 LATE = "CASE WHEN delayed = 'yes' THEN 1 ELSE 0 END"
