@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import bounded_sample, cut, importable_on_workers
+from cargolens.llm.common import bounded_sample, cut, importable_on_workers, kept
 
 SAMPLE = 12_000
 FIT_TASKS = 8
@@ -288,9 +288,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted, n_hits for every row."""
@@ -306,10 +303,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if run not in _scorers:
-            _scorers.clear()
-            _scorers[run] = Scorer(LexiconAutomaton(m["lexicon"], m["benign"]))
-        scorer, b = _scorers[run], m["weights"]
+        scorer, b = kept((__name__, run), lambda: Scorer(LexiconAutomaton(m["lexicon"], m["benign"]))), m["weights"]
         for batch in batches:
             score, hits = [], []
             for text in batch.column(2):
