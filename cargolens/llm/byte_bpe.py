@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import pretokens, words
-from cargolens.llm.common import importable_on_workers
+from cargolens.llm.common import importable_on_workers, kept, trim
 from cargolens.llm.packing import pack, pack_bytes, pack_sorted, spans, unpack, unpack_bytes, unpack_sorted
 
 #: Bytes of text in a block, and of texts that are split together.
@@ -48,17 +48,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-_encoders: dict[str, object] = {}
-
-
 def encoder(path: str):
     """The merges of one file of ranks, without special tokens; kept by the worker."""
-    if path not in _encoders:
-        import tiktoken
+    import tiktoken
 
-        _encoders.clear()
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=pretokens.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
-    return _encoders[path]
+    return kept((__name__, path), lambda: tiktoken.Encoding("ranks", pat_str=pretokens.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={}))
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -117,7 +111,7 @@ def _explode(batches: Iterator[pa.RecordBatch], kind: pa.DataType, limit: int) -
             pa.array([pack_bytes(flat.tobytes())], pa.binary()),
         ], names=["block", "ids", "n_words", "words_at", "sizes", "words"])
         seq += 1
-        pa.default_memory_pool().release_unused()
+        trim()
 
 
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -211,18 +205,12 @@ def token_bytes(path: str) -> pa.Array:
     return pa.array(out, pa.large_binary())
 
 
-_tables: dict[str, pa.Array] = {}
-
-
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, n_tokens, ids, decoded (the bytes) for every row."""
     importable_on_workers(encoded.sparkSession)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tables:
-            _tables.clear()
-            _tables[path] = token_bytes(path)
-        table = _tables[path]
+        table = kept((__name__, "bytes", path), lambda: token_bytes(path))
         for batch in batches:
             ids = pc.fill_null(batch.column(1), []) if batch.column(1).null_count else batch.column(1)
             found = table.take(ids.flatten())

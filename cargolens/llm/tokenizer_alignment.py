@@ -27,6 +27,7 @@ import heapq
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,11 @@ from pyspark.sql import functions as F
 
 from cargolens.llm import pretokens, words
 from cargolens.llm.byte_bpe import arrow_type, text_blocks
-from cargolens.llm.common import cut, importable_on_workers
+from cargolens.llm.common import cut, importable_on_workers, kept, tidy, trim
 from cargolens.llm.packing import pack, pack_bytes, pack_sorted, spans, unpack, unpack_bytes, unpack_sorted
 
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 #: Runs that are merged at a time, pairs that a partition is meant to hold, and pairs of a frame.
 FAN, PARTITION_PAIRS, FRAME = 256, 500_000, 1 << 14
 
@@ -65,7 +66,7 @@ class Sides:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
+        self.a, self.ranks = Tokenizer.from_file(a_path), None
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
@@ -80,13 +81,22 @@ class Sides:
         self.space = self.b.encode("x ")[len(self.b.encode("x")):]
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(self.b_size)]
+        if merges_by_id(a_path):  # then the ids are ranks, and a lighter encoder gives the same ids
+            import tiktoken
+
+            self.a, self.ranks = None, tiktoken.Encoding("ranks", pat_str=pretokens.PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.a_bytes) if t}, special_tokens={})
         self.length = [np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes)]
+        self.a_bytes, self.b_bytes = (pa.array(t, pa.large_binary()) for t in (self.a_bytes, self.b_bytes))
         # What an id adds to a document's groups, by the mark after it: A's ids with "," and "|", then B's with ",", ";" and none.
         self.written = pa.array([f"{i}{m}".encode() for m, n in ((",", self.a_size), ("|", self.a_size), (",", self.b_size), (";", self.b_size), ("", self.b_size))
                                  for i in range(n)], pa.large_binary())
 
     def encode_a(self, found: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch([w.decode("utf-8", "replace") for w in found], add_special_tokens=False)]
+        texts = [w.decode("utf-8", "replace") for w in found]
+        if self.ranks is not None:
+            return [*map(self.ranks.encode_ordinary, texts)]
+        # The library's results are heavy objects: some words at a time.
+        return [e.ids for k in range(0, len(texts), 1000) for e in self.a.encode_batch(texts[k: k + 1000], add_special_tokens=False)]
 
     def encode_b(self, found: list[bytes]) -> list[list[int]]:
         # The library adds the first space itself, but not to nothing.
@@ -94,6 +104,14 @@ class Sides:
         return [self.space if w == b" " else i for w, i in zip(found, ids, strict=True)]
 
 
+def merges_by_id(path: str) -> bool:
+    """Whether each merge makes the id that follows the one before, after one id for each byte."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merged = ("".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"])
+    return set(map(model["vocab"].get, byte_alphabet())) == set(range(256)) and all(model["vocab"].get(m) == 256 + i for i, m in enumerate(merged))
+
+
 def supported(a_path: str, b_path: str) -> bool:
     """Whether A is a byte-level BPE of ``pretokens.PATTERN`` and B takes the words between spaces one by one."""
     import sentencepiece
@@ -108,35 +126,45 @@ def supported(a_path: str, b_path: str) -> bool:
     return bool(a) and not any("▁" in n.lstrip("▁") for n in names) and "".join(b.encode("  x  ", out_type=str)) == "▁▁▁x▁▁"
 
 
-_sides: dict[tuple[str, str], Sides] = {}
-
-
 def sides(a_path: str, b_path: str) -> Sides:
-    if (a_path, b_path) not in _sides:
-        _sides.clear()
-        _sides[a_path, b_path] = Sides(a_path, b_path)
-    return _sides[a_path, b_path]
+    return kept((__name__, a_path, b_path), lambda: Sides(a_path, b_path))
 
 
 class _Side:
     """One side's tokens of a block: ids, where each ends, and which texts it does not give back."""
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, offsets: np.ndarray, encode, token_bytes: list[bytes], length: np.ndarray):
+    def __init__(self, data: np.ndarray, start: np.ndarray, offsets: np.ndarray, encode, token_bytes: pa.Array, length: np.ndarray):
         end = np.append(start[1:], len(data)) if len(start) else start
         one, code = pretokens.distinct(data, start, end)
         flat, at = pretokens.pick_bytes(data, start[one], end[one])
         raw = flat.tobytes()
-        found = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        ids = encode(found) if found else []
-        wrong = np.array([b"".join(map(token_bytes.__getitem__, i)) != w for i, w in zip(ids, found, strict=True)], bool)
+        ids = encode([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]) if len(one) else []
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        every = np.fromiter((x for i in ids for x in i), np.int64, int(size.sum()))
+        every = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+        del ids
+        wrong = _differs(flat, at, every, np.cumsum(size), token_bytes, length)
         self.bad = np.unique(np.searchsorted(offsets, start[wrong[code]], side="right") - 1) if wrong.any() else np.zeros(0, np.int64)
         self.ids = every[spans((np.cumsum(size) - size)[code], size[code])]
         self.end = np.cumsum(length[self.ids])
         self.start = self.end - length[self.ids]
 
 
+def _differs(flat: np.ndarray, at: np.ndarray, ids: np.ndarray, ends: np.ndarray, token_bytes: pa.Array, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes of a word's tokens are other than the word's own, for each word."""
+    given = np.concatenate([[0], np.cumsum(length[ids])])[np.concatenate([[0], ends])]
+    wrong = np.diff(given) != np.diff(at)
+    if not len(ids):
+        return wrong
+    _, _, data = token_bytes.take(pa.array(ids)).buffers()
+    back = np.frombuffer(data, np.uint8)
+    k = np.flatnonzero(~wrong)
+    size = np.diff(at)[k]
+    unequal = np.concatenate([[0], np.cumsum(flat[spans(at[k], size)] != back[spans(given[k], size)])])
+    end = np.cumsum(size)
+    wrong[k] = unequal[end] != unequal[end - size]
+    return wrong
+
+
 def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where the words with the spaces before them start; each text starts with a space."""
     space = data == 0x20
@@ -221,6 +249,7 @@ def _align(batches: Iterator[pa.RecordBatch], kind: pa.DataType, paths: tuple[st
             pa.array([len(pairs)], pa.int64()), pa.array([pack_sorted(pairs, 8)]), pa.array([pack(held)]),
         ], names=["block", "ids", "figures", "digest", "groups", "group_sizes", "codes", "times", "n_pairs", "pairs", "held"])
         seq += 1
+        trim()
 
 
 def _frame(radix: int, run: int, pairs: np.ndarray, counts: np.ndarray) -> tuple:
@@ -294,8 +323,6 @@ class _Merge:
 
 def _partitions(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
     """Sorted rows, partition by partition, as (the first ``keys`` columns, its rows)."""
-    from itertools import groupby
-
     rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     return groupby(rows, key=lambda r: r[:keys])
 
@@ -410,7 +437,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, arrow, paths, b_size = rows.schema["id"].dataType.simpleString(), arrow_type(rows), (a_path, b_path), sides(a_path, b_path).b_size
     blocks = cut(rows.mapInArrow(
-        lambda x: _align(x, arrow, paths, block_bytes, with_groups),
+        lambda x: tidy(_align(x, arrow, paths, block_bytes, with_groups)),
         f"block long, ids array<{kind}>, figures binary, digest binary, groups binary, group_sizes binary, codes binary, times binary, "
         "n_pairs long, pairs binary, held binary"))
     seen = blocks.agg(F.sum("n_pairs").alias("pairs"), F.count(F.lit(1)).alias("blocks")).first()
