@@ -15,22 +15,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _ranged(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
+    """The table range-partitioned and sorted by ``keys`` with partition number ``_pid`` and row number ``_mid``, stored.
+
+    Partition numbers must be the same in all uses: the lineage is cut with a reliable checkpoint (in the cluster's
+    shared spark.checkpoint.dir).  Without a number of partitions Spark chooses one by size.
+    """
+    from cargolens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    s = ranged.sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    return s.checkpoint(eager=True)
+
+
+def prefix_min(df: DataFrame, group: str | None, order: Column, value: str, out: str, num_partitions: int | None = None) -> DataFrame:
+    """``out``: the least ``value`` among the rows before this one in its group by ``order`` (null for the first).
+
+    The window runs inside (partition, group); what partitions before hold of the group is one row each.
+    """
+    key = [group] if group else []
+    s = _ranged(df, [*map(F.col, key), order], num_partitions).drop("_mid")
+    stats = s.groupBy("_pid", *key).agg(F.min(value).alias("_least"))
+    before = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_carried", F.min("_least").over(before)).drop("_least")  # a row for each partition and group
+    inside = Window.partitionBy("_pid", *key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = s.withColumn("_own", F.min(value).over(inside))
+    return own.join(stats, ["_pid", *key]).withColumn(out, F.least("_own", "_carried")).drop("_pid", "_own", "_carried")
+
+
 def grouped_row_number(df: DataFrame, group: str, order: list[Column], out: str = "rank",
                        num_partitions: int | None = None) -> DataFrame:
     """1-based row number within ``group`` by ``order`` (which must end with a unique key).
 
     The sorted, numbered table is checkpointed so both uses see the same partition ids.
     """
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    keys = [F.col(group)] + list(order)
-    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
-    # Partition ids must be identical in both uses below: cut the lineage with a reliable
-    # checkpoint (written to the cluster's shared spark.checkpoint.dir).
-    from cargolens.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    s = s.checkpoint(eager=True)
+    s = _ranged(df, [F.col(group), *order], num_partitions)
     stats = s.groupBy("_pid", group).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

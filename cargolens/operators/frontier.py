@@ -3,28 +3,34 @@
 The reference scans rows in order keeping those that beat the best carbon so
 far.  Re-expressed: (1) partial aggregation to the minimum carbon per
 (group, service level) -- at most one point per level can be on the frontier;
-(2) a running minimum over higher service levels on that small table;
-(3) keep levels strictly below it.  Ranking uses the skew-safe grouped rank.
+(2) a distributed prefix minimum over higher service levels: the levels are range-partitioned by (group, service), each
+partition's minimum is scanned in order of partitions, and a partition adds what came before it to its own running minimum,
+so no task holds a group; (3) keep levels strictly below it, and join them back to the points they are.
+Ranking uses the skew-safe grouped rank.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions.exprs import casp, r6
-from cargolens.functions.ranking import grouped_row_number
+from cargolens.functions.ranking import grouped_row_number, prefix_min
 
 
-def pareto_frontier(points: DataFrame, group: str = "package_type", service: str = "service_level",
+def pareto_frontier(points: DataFrame, group: str | None = "package_type", service: str = "service_level",
                     dim: str = "carbon_gco2") -> DataFrame:
-    """Frontier levels per group: (service desc) points whose ``dim`` beats every higher level."""
-    agg = points.groupBy(group, service).agg(F.min(dim).alias(dim), F.count(F.lit(1)).alias("points"))
-    w = Window.partitionBy(group).orderBy(F.col(service).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    best_before = F.min(dim).over(w)
-    return (agg.withColumn("_best_before", best_before)
-            .where(F.col("_best_before").isNull() | (F.col(dim) < F.col("_best_before")))
-            .drop("_best_before"))
+    """Frontier levels per group (or of all points): (service desc) levels whose least ``dim`` beats every higher level."""
+    key = [group] if group else []
+    agg = points.groupBy(*key, service).agg(F.min(dim).alias(dim), F.count(F.lit(1)).alias("points"))
+    best_before = prefix_min(agg, group, F.col(service).desc(), dim, "_best_before")
+    return best_before.where(F.col("_best_before").isNull() | (F.col(dim) < F.col("_best_before"))).drop("_best_before")
+
+
+def frontier_points(points: DataFrame, group: str | None = "package_type", service: str = "service_level", dim: str = "carbon_gco2") -> DataFrame:
+    """The points that lie on the frontier, with all their columns; equal points are all on it."""
+    key = [*([group] if group else []), service, dim]
+    return points.join(pareto_frontier(points, group, service, dim).select(*key), key, "left_semi")
 
 
 def casp_ranking(points: DataFrame, group: str = "package_type", key: str = "shipment_id") -> DataFrame:

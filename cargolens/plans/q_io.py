@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cargolens.operators import carbon, vendors
+from cargolens.operators import carbon
 from cargolens.plans import q_vendors
 from cargolens.plans.catalog import query
 from cargolens.sources import files, views
@@ -58,9 +58,10 @@ def q_sink_json(spark, sf):
 def q_ledger_append(spark, sf):
     rows = carbon.inference_carbon(spark, views.inference_log(spark, sf))
     path = files.scratch_path(spark, "ledger")
-    # Two appends (even / odd ids) land in one ledger; reading it back returns every row once.
-    files.ledger_append(rows.where(F.col("inference_id") % 2 == 0), path)
-    files.ledger_append(rows.where(F.col("inference_id") % 2 == 1), path)
+    # Two runs (even / odd ids) land in one ledger, the second one twice; reading it back returns every row once.
+    files.ledger_append(rows.where(F.col("inference_id") % 2 == 0), path, "even")
+    for _ in range(2):
+        files.ledger_append(rows.where(F.col("inference_id") % 2 == 1), path, "odd")
     back = spark.read.parquet(path)
     return back.select(*rows.columns)
 
@@ -69,5 +70,3 @@ def q_ledger_append(spark, sf):
 def q_json_safe_export(spark, sf):
     return files.json_safe_export(_vendor_stats(spark, sf))
 
-
-__all__ = ["vendors"]

@@ -201,6 +201,37 @@ def q_pareto_frontier(spark, sf):
     return frontier.pareto_frontier(_points(spark, sf))
 
 
+def _frontier_sql(group: bool, dim: str) -> str:
+    by, over = ("package_type, ", "PARTITION BY package_type ") if group else ("", "")
+    return f"""
+SELECT {by}service_level, {dim}, points FROM (
+  SELECT *, min({dim}) OVER ({over}ORDER BY service_level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb
+  FROM (SELECT {by}service_level, min({dim}) AS {dim}, count(*) AS points FROM frontier_points GROUP BY ALL) a) x
+WHERE bb IS NULL OR {dim} < bb"""
+
+
+@query("pareto_frontier_cost", _frontier_sql(True, "cost"))
+def q_pareto_frontier_cost(spark, sf):
+    return frontier.pareto_frontier(_points(spark, sf), dim="cost")
+
+
+@query("pareto_frontier_global", _frontier_sql(False, "carbon_gco2"))
+def q_pareto_frontier_global(spark, sf):
+    return frontier.pareto_frontier(_points(spark, sf), group=None)
+
+
+@query("pareto_frontier_global_cost", _frontier_sql(False, "cost"))
+def q_pareto_frontier_global_cost(spark, sf):
+    return frontier.pareto_frontier(_points(spark, sf), group=None, dim="cost")
+
+
+@query("pareto_frontier_points", f"""
+SELECT shipment_id, package_type, carbon_gco2, service_level, cost FROM frontier_points
+SEMI JOIN ({_frontier_sql(True, "carbon_gco2")}) USING (package_type, service_level, carbon_gco2)""")
+def q_pareto_frontier_points(spark, sf):
+    return frontier.frontier_points(_points(spark, sf)).select("shipment_id", "package_type", "carbon_gco2", "service_level", "cost")
+
+
 @query("casp_ranking", """
 SELECT *, row_number() OVER (PARTITION BY package_type ORDER BY casp_score DESC, shipment_id) AS casp_rank
 FROM (SELECT *, CASE WHEN carbon_gco2 > 0 THEN service_level / carbon_gco2 ELSE 0.0 END AS casp_score

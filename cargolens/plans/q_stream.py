@@ -19,7 +19,7 @@ def q_stream_inference_ledger(spark, sf):
     src = jobs.stage_files(log, spark, "inference_events")
     out, ck = files.scratch_path(spark, "ledger_totals"), files.scratch_path(spark, "ledger_ckpt")
     jobs.inference_ledger_stream(spark, src, out, ck, log.schema)
-    t = spark.read.parquet(out)
+    t = files.read_version(spark, out)
     return t.select("model", "country", F.col("total_inferences").cast("long").alias("total_inferences"),
                     F.round("total_carbon_gco2", 9).alias("total_carbon_gco2"))
 

@@ -56,12 +56,47 @@ def src_json_map_dim(spark: SparkSession, path: str, value_schema: str, key: str
     return m.where(~F.col(key).startswith("_")).select(key, "v.*")
 
 
-def ledger_append(df: DataFrame, path: str, partition_by: str = "country") -> str:
-    """Append rows to a parquet audit ledger partitioned by ``partition_by``."""
-    df.write.mode("append").partitionBy(partition_by).parquet(path)
+def ledger_append(df: DataFrame, path: str, run: str, partition_by: str = "country") -> str:
+    """Append one run's rows to a parquet audit ledger partitioned by run and ``partition_by``.
+
+    A run owns its folder: a rerun after a failure, or by mistake, replaces its own rows and no others, so no row counts twice.
+    """
+    df.write.mode("overwrite").partitionBy(partition_by).parquet(f"{path}/run={run}")
     return path
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions under ``path``, oldest first."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("version=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def write_version(df: DataFrame, path: str, version: int, keep: int = 2) -> None:
+    """Write a whole table as version ``version``: the same version again replaces itself, readers see the last complete one.
+
+    The writer's ``_SUCCESS`` file completes a version; older ones than the last ``keep`` are removed afterwards.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/version={version}")
+    jvm = spark._jvm
+    for old in _versions(spark, path)[:-keep]:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete version."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"{path} has no complete version")
+    return spark.read.parquet(f"{path}/version={versions[-1]}")
+
+
 def json_safe(c: Column, kind: T.DataType) -> Column:
     """The column with every NaN, also inside arrays, maps and structs, as null."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):

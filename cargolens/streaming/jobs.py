@@ -17,13 +17,17 @@ from cargolens.sources import files
 
 def inference_ledger_stream(spark: SparkSession, events_dir: str, out_dir: str, checkpoint: str,
                             schema) -> None:
-    """Running totals per (model, country); complete output rewritten to ``out_dir`` per micro-batch."""
+    """Running totals per (model, country), a version of ``out_dir`` for each micro-batch (``files.read_version``).
+
+    A batch that is run again after a crash writes its own version again, and until that is complete
+    readers see the one before.
+    """
     stream = spark.readStream.schema(schema).parquet(events_dir)
     totals = carbon.inference_carbon(spark, stream).groupBy("model", "country").agg(
         F.sum("num_inferences").alias("total_inferences"), F.sum("carbon_gco2").alias("total_carbon_gco2"))
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+    def write(batch: DataFrame, epoch: int) -> None:
+        files.write_version(batch, out_dir, epoch)
 
     q = (totals.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
