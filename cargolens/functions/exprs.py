@@ -82,15 +82,15 @@ def model_energy(spark, df: DataFrame, model_col: str = "model", out: str = "ene
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast a derived table only after checking its size; otherwise leave it to a shuffle join.
+    """A derived table cut off and counted: marked for broadcast up to ``max_rows`` rows, else left to a shuffle join.
 
-    The table is persisted first so the count and the later join reuse one computation.
+    The cut (a checkpoint in the shared folder) lets the count and the later join reuse one computation.
     """
-    from pyspark import StorageLevel
+    from cargolens.session import ensure_checkpoint_dir
 
-    small = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    ensure_checkpoint_dir(df.sparkSession)
+    small = df.checkpoint()
+    return F.broadcast(small) if small.count() <= max_rows else small
 
 
 def round_half_up(c: Column, digits: int) -> Column:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.functions.exprs import POLICY_COLUMNS, blank_as, clamp, late_flag, missing_as, round_half_up
+from cargolens.functions.exprs import POLICY_COLUMNS, blank_as, checked_broadcast, clamp, late_flag, missing_as, round_half_up
 from cargolens.operators import lanes
 from cargolens.session import ensure_checkpoint_dir
 from cargolens.sources import dims
@@ -381,22 +381,26 @@ def option_fields(offer: Column, rural_col: str | None = None) -> dict[str, Colu
 
 
 def carrier_options(spark, shipments: DataFrame, deliveries: DataFrame, rates: dict | None = None,
-                    weather_obs_latest: DataFrame | None = None, delay_scorer=None) -> DataFrame:
+                    city_weather: DataFrame | None = None, delay_scorer=None) -> DataFrame:
     """Requests with risk, the SLA actually quoted and the partners' delay rates (``route_rates`` under the
     route's weather, ``partner_rates`` overall); ``explode_options`` / ``choice.decide`` take it from here.
 
-    ``weather_obs_latest`` (origin, cascade_weather) is the observed weather by origin city.
+    ``city_weather`` (city, api_weather, search_weather) is the latest observed weather by city; the risk takes the origin's and
+    then the destination's first source, then their second one, then the request's own weather.
     """
     rates = rates or history_rates(deliveries)
     r = prepare_requests(spark, shipments)
-    if weather_obs_latest is not None:
-        # One row a city: fixed by the reference data's cities, however many requests there are.
-        r = r.join(F.broadcast(weather_obs_latest), "origin", "left")
+    if city_weather is not None:
+        small = checked_broadcast(city_weather)
+        for end, p in (("origin", "_o"), ("destination", "_d")):
+            names = [F.col("city").alias(p + "c"), F.col("api_weather").alias(p + "a"), F.col("search_weather").alias(p + "s")]
+            r = r.join(small.select(*names), F.col(end) == F.col(p + "c"), "left").drop(p + "c")
+        observed = F.coalesce("_oa", "_da", "_os", "_ds")
     else:
-        r = r.withColumn("cascade_weather", F.lit(None).cast("string"))
-    r = r.withColumn("risk_weather", F.coalesce(F.col("cascade_weather"),
+        observed = F.lit(None).cast("string")
+    r = r.withColumn("risk_weather", F.coalesce(observed,
                                                 F.lower(F.when(F.col("weather_condition") != "", F.col("weather_condition"))),
-                                                F.lit(DEFAULT_WEATHER)))
+                                                F.lit(DEFAULT_WEATHER))).drop("_oa", "_da", "_os", "_ds")
     r = attach_rates(r, rates, "risk_weather", "risk_rates")
     r = request_risk(r, delay_scorer)
     min_on_time = F.when(F.col("recommended_buffer_days") > 0,

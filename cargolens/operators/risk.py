@@ -10,18 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.functions.exprs import checked_broadcast, late_flag, r6, with_policy
+from cargolens.functions.exprs import late_flag, r6, with_policy
 from cargolens.operators import quotes
+from cargolens.session import ensure_checkpoint_dir
+
+#: Rows (partner and weather) of the history up to which it is broadcast.
+MAX_HISTORY = 200_000
 
 
 def history_tables(deliveries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(partner, weather) rates, partner rates and the global rate (all small, broadcast)."""
-    hist = checked_broadcast(deliveries.groupBy("delivery_partner", "weather_condition").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(late_flag()).alias("late")))
+    """(partner, weather) rates, partner rates and the global rate; the first two are broadcast only if they are small."""
+    ensure_checkpoint_dir(deliveries.sparkSession)
+    hist = deliveries.groupBy("delivery_partner", "weather_condition").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(late_flag()).alias("late")).checkpoint()
+    may = F.broadcast if hist.count() <= MAX_HISTORY else (lambda df: df)
     pw = hist.select("delivery_partner", "weather_condition", (F.col("late") / F.col("n")).alias("pw_rate"))
     p = hist.groupBy("delivery_partner").agg((F.sum("late") / F.sum("n")).alias("partner_delay_rate"))
     g = hist.agg((F.sum("late") / F.sum("n")).alias("global_rate"))
-    return F.broadcast(pw), F.broadcast(p), F.broadcast(g)
+    return may(pw), may(p), F.broadcast(g)  # the last is one row
 
 
 def with_history(df: DataFrame, deliveries: DataFrame, partner: str = "delivery_partner",

@@ -24,8 +24,8 @@ def flagship_requests(shipments: DataFrame) -> DataFrame:
 
 
 def decided_requests(spark, requests: DataFrame, deliveries: DataFrame, rates=None,
-                     weather_obs_latest: DataFrame | None = None) -> DataFrame:
-    r = quotes.carrier_options(spark, requests, deliveries, rates, weather_obs_latest)
+                     city_weather: DataFrame | None = None) -> DataFrame:
+    r = quotes.carrier_options(spark, requests, deliveries, rates, city_weather)
     return choice.decide(spark, r, carry=FLAGSHIP_COLUMNS)
 
 
@@ -34,12 +34,12 @@ FLAGSHIP_COLUMNS = ["pkg", "origin", "destination", "route_distance_km", "risk_l
 
 
 def integrated_recommendation(spark, requests: DataFrame, deliveries: DataFrame, rates=None,
-                              weather_obs_latest: DataFrame | None = None) -> DataFrame:
+                              city_weather: DataFrame | None = None) -> DataFrame:
     """One recommendation row per request: risk -> quotes -> route choice -> carbon -> benchmark.
 
     Requests without any eligible carrier keep their risk columns and get ``error``.
     """
-    d = decided_requests(spark, requests, deliveries, rates, weather_obs_latest)
+    d = decided_requests(spark, requests, deliveries, rates, city_weather)
     b = F.col("best")
     has = F.col("num_options") > 0
     bench = F.col("industry_benchmark_raw")

@@ -64,7 +64,7 @@ LEFT JOIN dim_city dk ON lower(n.destination) = dk.key
 LEFT JOIN dim_city dnm ON lower(n.destination) = lower(dnm.name)""")
 
 register("req_feat", f"""
-SELECT *,
+SELECT x.*,
   coalesce(nullif(coalesce(distance_km, CASE WHEN coalesce(origin, '') <> '' AND coalesce(destination, '') <> ''
                                            THEN lane_km END), 0), 150.0::DOUBLE) AS route_distance_km,
   coalesce(nullif(package_weight_kg, 0), 25.0::DOUBLE) AS route_weight_kg,
@@ -76,13 +76,14 @@ SELECT *,
        ELSE lower(coalesce(nullif(weather_condition, ''), 'clear')) END AS quote_weather,
   lower(coalesce(nullif(delivery_mode, ''), 'two day')) AS route_mode,
   on_time_threshold * 100 AS threshold_pct,
-  coalesce(lower(nullif(weather_condition, '')), 'clear') AS risk_weather
+  coalesce(ow.api_weather, dw.api_weather, ow.search_weather, dw.search_weather, lower(nullif(weather_condition, '')), 'clear') AS risk_weather
 FROM (SELECT *,
         CASE WHEN lf_km IS NOT NULL THEN lf_km WHEN lr_km IS NOT NULL THEN lr_km
              WHEN o_key IS NOT NULL AND d_key IS NOT NULL
              THEN round({hav_sql('o_lat', 'o_lon', 'd_lat', 'd_lon')} * 1.3::DOUBLE, 6) END AS lane_km,
         CASE WHEN o_key IS NOT NULL AND d_key IS NOT NULL THEN o_metro AND d_metro ELSE false END AS is_metro_to_metro
-      FROM req_norm) x""")
+      FROM req_norm) x
+LEFT JOIN city_weather ow ON ow.city = x.origin LEFT JOIN city_weather dw ON dw.city = x.destination""")
 
 register("req_risk", f"""
 SELECT *,
@@ -186,8 +187,14 @@ def _history(spark, sf):
     return views.deliveries(spark, sf, ["delivery_partner", "weather_condition", "delayed"])
 
 
+def _city_weather(spark, sf):
+    from cargolens.plans import q_text
+
+    return q_text.city_weather(spark, sf)
+
+
 def _options(spark, sf):
-    return quotes.carrier_options(spark, _requests(spark, sf), _history(spark, sf))
+    return quotes.carrier_options(spark, _requests(spark, sf), _history(spark, sf), city_weather=_city_weather(spark, sf))
 
 
 def _decided(spark, sf, carry=None):
@@ -501,4 +508,4 @@ LEFT JOIN (SELECT shipment_id, avg(round(cost_inr * 100)) FILTER (WHERE cost_inr
 
 @query("integrated_recommendation", FLAGSHIP_SQL)
 def q_integrated_recommendation(spark, sf):
-    return pipelines.integrated_recommendation(spark, _requests(spark, sf), _history(spark, sf))
+    return pipelines.integrated_recommendation(spark, _requests(spark, sf), _history(spark, sf), city_weather=_city_weather(spark, sf))

@@ -356,7 +356,7 @@ def q_compare_package_types(spark, sf):
     fanned = req.crossJoin(types).withColumn(
         "shipment_id", F.col("shipment_id") * len(COMPARE_TYPES)
         + F.expr("array_position(array(" + ", ".join(f"'{t}'" for t in COMPARE_TYPES) + "), package_type) - 1"))
-    d = choice.decide(spark, quotes.carrier_options(spark, fanned, q_choice._history(spark, sf)))
+    d = choice.decide(spark, quotes.carrier_options(spark, fanned, q_choice._history(spark, sf), city_weather=q_choice._city_weather(spark, sf)))
     b = F.col("best")
     return d.groupBy(F.col("pkg").alias("package_type")).agg(
         r6(F.avg(F.col("casp_score") * 1e6)).alias("avg_casp_e6"), r6(F.avg(b["total_carbon_gco2"])).alias("avg_total_carbon"),
