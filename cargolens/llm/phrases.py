@@ -139,32 +139,32 @@ def _mixed_windows(left: pa.Table, right: pa.Table) -> pa.Table:
                      "block": pa.array(np.full(len(one), block, np.int32)), "n": pa.array(n.astype(np.int64))})
 
 
+#: Characters that can stand for words, and words of a phrase that is compiled in one piece (a shard has at most twice as many).
+CHARACTERS, LONGEST = 0x110000 - 0x800 - 1, 500_000
+
+
 def locate(numbers: np.ndarray, phrases: list[tuple[int, int]], shard_words: int = SHARD_WORDS) -> np.ndarray:
     """Which of the ``numbers`` (one for each word, documents apart by a number of their own) are
     covered by an occurrence of a phrase.  Phrases are ranges of ``numbers``; they are compiled
     into automata shard by shard and all numbers are streamed through each."""
     edge = np.zeros(len(numbers) + 1, np.int64)
-    inside = np.zeros(len(numbers) + 1, np.int64)
-    starts = np.array([a for a, _ in phrases], np.int64)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, np.array([b for _, b in phrases], np.int64), -1)
-    used = np.cumsum(inside)[:-1] > 0
-    # Words outside all phrases share character 0: they end every match.
-    known = np.unique(numbers[used])
-    at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
-    code = np.where(known[at] == numbers, at + 1, 0).astype(np.uint32)
-    code[code >= 0xD800] += 0x800  # these code points have no characters
-    if code.max() > 0x10FFFF:
-        raise ValueError("more different words in the phrases of a block than there are characters")
-    text = code.tobytes().decode("utf-32-le")
+    pieces = []
+    for a, b in phrases:  # the parts of a very long one share a window less one word
+        while b - a > LONGEST:
+            pieces.append((a, a + LONGEST))
+            a += LONGEST - (WINDOW - 1)
+        pieces.append((a, b))
+    text, whole = _coded(numbers, pieces)
     i = 0
-    while i < len(phrases):
-        automaton, size = ahocorasick.Automaton(), 0
-        while i < len(phrases) and size < shard_words:
-            a, b = phrases[i]
-            automaton.add_word(text[a:b], b - a)
-            size += b - a
+    while i < len(pieces):
+        automaton, size, first = ahocorasick.Automaton(), 0, i
+        while i < len(pieces) and size < min(shard_words, LONGEST):
+            size += pieces[i][1] - pieces[i][0]
             i += 1
+        if not whole:  # more different words than there are characters: numbered anew for each shard
+            text, _ = _coded(numbers, pieces[first:i])
+        for a, b in pieces[first:i]:
+            automaton.add_word(text[a:b], b - a)
         automaton.make_automaton()
         for end, length in automaton.iter(text):
             edge[end - length + 1] += 1
@@ -172,6 +172,25 @@ def locate(numbers: np.ndarray, phrases: list[tuple[int, int]], shard_words: int
     return np.cumsum(edge)[:-1] > 0
 
 
+def _coded(numbers: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[str, bool]:
+    """The words as characters, and whether there are enough of those for the words of the ranges.
+
+    Words outside all ranges share character 0: they end every match.
+    """
+    inside = np.zeros(len(numbers) + 1, np.int64)
+    np.add.at(inside, np.array([a for a, _ in ranges], np.int64), 1)
+    np.add.at(inside, np.array([b for _, b in ranges], np.int64), -1)
+    known = np.unique(numbers[np.cumsum(inside)[:-1] > 0])
+    if len(known) > CHARACTERS:
+        return "", False
+    if not len(known):
+        return "\0" * len(numbers), True
+    at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+    code = np.where(known[at] == numbers, at + 1, 0).astype(np.uint32)
+    code[code >= 0xD800] += 0x800  # these code points have no characters
+    return code.tobytes().decode("utf-32-le"), True
+
+
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
