@@ -71,7 +71,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cargolens.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    rows = mix(table(spark, sf_dir, "documents"))
+    first = ["doc_id", "size", "source_size", "target", "taken"]
+    return rows.select(*first, *[c for c in rows.columns if c not in first])
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
