@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cargolens.functions.exprs import checked_broadcast
 from cargolens.sources import dims
 
 EARTH_RADIUS_KM = 6371.0
@@ -81,9 +82,13 @@ def lane_distance(spark, df: DataFrame, origin: str = "origin", destination: str
 
 
 def _one_per_lane(table: DataFrame, origin: str, destination: str, km: str) -> DataFrame:
-    """One distance for each lane (the shortest that is given), so that a join never repeats a request."""
-    return table.groupBy(F.lower("origin").alias(origin), F.lower("destination").alias(destination)).agg(
-        F.min("distance_km").alias(km))
+    """One distance for each lane (the shortest that is given), so that a join never repeats a request.
+
+    Broadcast only if there are few lanes: then a lane that many requests take needs no shuffle.  Beyond that the join
+    shuffles by lane, and the session's adaptive skew join splits a hot one.
+    """
+    return checked_broadcast(table.groupBy(F.lower("origin").alias(origin), F.lower("destination").alias(destination)).agg(
+        F.min("distance_km").alias(km)))
 
 
 def distance_cascade(spark, df: DataFrame, provider: DataFrame | None = None, search: DataFrame | None = None,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cargolens.operators import lanes
+from cargolens.operators import lanes, text
 from cargolens.plans.catalog import query
 from cargolens.plans.q_choice import hav_sql
+from cargolens.plans.q_text import DIST_SQL
+from cargolens.plans.sqlkit import register
 from cargolens.sources import dims, views
 
 
@@ -53,13 +55,51 @@ def q_lane_distance(spark, sf):
         "shipment_id", "origin", "destination", "lane_distance_km", "lane_distance_km_kind")
 
 
+# Every seventh request goes to a depot that no fixed list knows.  A third of the distance-matrix payloads and a third of the
+# search snippets speak of depots: of the first 20 and of the 20 after the first ten; the last ten have neither.
+DEPOTS = 40
+_DEPOT = f"'depot ' || CAST(shipment_id % {DEPOTS} AS VARCHAR)"
+register("depot_requests", f"""
+SELECT shipment_id, origin, CASE WHEN shipment_id % 7 = 0 THEN {_DEPOT} ELSE destination END AS destination FROM shipments""")
+_LANE_OF = "['" + "', '".join(views.C) + "'][CAST(id % 23 AS INTEGER) + 1]"
+register("depot_provider", f"""
+SELECT origin, destination, min(km) AS km FROM (
+  SELECT {_LANE_OF} AS origin, 'depot ' || CAST((id // 23) % 20 AS VARCHAR) AS destination,
+    round(CAST(json_extract_string(payload, '$.distances[0][1]') AS DOUBLE) / 1000.0, 2) AS km FROM matrix_payloads WHERE id % 3 = 0) x
+WHERE km IS NOT NULL GROUP BY ALL""")
+register("depot_search", f"""
+SELECT origin, destination, min(km) AS km FROM (
+  SELECT {_LANE_OF} AS origin, 'depot ' || CAST(10 + (id // 23) % 20 AS VARCHAR) AS destination, {DIST_SQL} AS km
+  FROM snippets WHERE id % 3 <> 0) x
+WHERE km IS NOT NULL GROUP BY ALL""")
+
+
+def _depot_requests(spark, sf):
+    sid = F.col("shipment_id")
+    return _pairs(spark, sf).withColumn("destination", F.when(
+        sid % 7 == 0, F.concat(F.lit("depot "), (sid % DEPOTS).cast("string"))).otherwise(F.col("destination")))
+
+
+def _depot_lanes(rows, first, km):
+    """Lanes to depots that payloads or snippets speak of: the origin and the depot from the id, the distance from the text."""
+    depot = F.concat(F.lit("depot "), (first + F.expr("id div 23") % 20).cast("string"))
+    return rows.select(views.pick(views.C, F.col("id") % 23).alias("origin"), depot.alias("destination"), km.alias("distance_km")).where("distance_km is not null")
+
+
 @query("distance_cascade", f"""
-SELECT shipment_id, coalesce(lane_distance_km, 150.0::DOUBLE) AS cascade_distance_km,
-  CASE WHEN lane_distance_km IS NOT NULL THEN 'local_routes' ELSE 'default' END AS distance_source,
-  coalesce(nullif(coalesce(lane_distance_km, 150.0::DOUBLE), 0), 150.0::DOUBLE) AS effective_distance_km
-FROM ({LANE_SQL}) x""")
+SELECT x.shipment_id, coalesce(x.lane_distance_km, p.km, w.km, 150.0::DOUBLE) AS cascade_distance_km,
+  CASE WHEN x.lane_distance_km IS NOT NULL THEN 'local_routes' WHEN p.km IS NOT NULL THEN 'openrouteservice'
+       WHEN w.km IS NOT NULL THEN 'web_search' ELSE 'default' END AS distance_source,
+  coalesce(nullif(coalesce(x.lane_distance_km, p.km, w.km, 150.0::DOUBLE), 0), 150.0::DOUBLE) AS effective_distance_km
+FROM ({LANE_SQL.replace("FROM shipments s", "FROM depot_requests s")}) x
+LEFT JOIN depot_provider p ON p.origin = x.origin AND p.destination = x.destination
+LEFT JOIN depot_search w ON w.origin = x.origin AND w.destination = x.destination""")
 def q_distance_cascade(spark, sf):
-    return lanes.distance_cascade(spark, _pairs(spark, sf)).select(
+    """Fixed lanes, then distances parsed from matrix payloads, then from search snippets, then the default."""
+    matrix = F.round(F.get_json_object("payload", "$.distances[0][1]").cast("double") / 1000.0, 2)
+    provider = _depot_lanes(views.matrix_payloads(spark, sf).where("id % 3 = 0"), F.lit(0), matrix)
+    search = _depot_lanes(views.snippets(spark, sf).where("id % 3 <> 0"), F.lit(10), text.parse_distance(F.col("text")))
+    return lanes.distance_cascade(spark, _depot_requests(spark, sf), provider, search).select(
         "shipment_id", "cascade_distance_km", "distance_source", "effective_distance_km")
 
 
