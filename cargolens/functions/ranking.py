@@ -44,6 +44,22 @@ def prefix_min(df: DataFrame, group: str | None, order: Column, value: str, out:
     return own.join(stats, ["_pid", *key]).withColumn(out, F.least("_own", "_carried")).drop("_pid", "_own", "_carried")
 
 
+def exact_median(df: DataFrame, column: str, out: str, num_partitions: int | None = None) -> DataFrame:
+    """One row: the middle of the column's values (the mean of the middle two), nulls left out.
+
+    The values are range-partitioned; counts by partition say where the middle lies, and one or two rows are picked there.
+    """
+    s = _ranged(df.select(column).where(F.col(column).isNotNull()), [F.col(column)], num_partitions)
+    stats = s.groupBy("_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid")  # a row for each partition
+    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = stats.agg(F.sum("_n").alias("_all"))
+    rank = F.col("_off") + F.col("_mid") - F.col("_first")
+    middle = s.join(F.broadcast(stats.crossJoin(F.broadcast(total))), "_pid").where(
+        (rank == F.expr("(_all - 1) div 2")) | (rank == F.expr("_all div 2")))
+    return middle.agg(F.avg(column).alias(out))
+
+
 def grouped_row_number(df: DataFrame, group: str, order: list[Column], out: str = "rank",
                        num_partitions: int | None = None) -> DataFrame:
     """1-based row number within ``group`` by ``order`` (which must end with a unique key).

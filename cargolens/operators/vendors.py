@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions.exprs import clamp, late_flag, r6, with_policy
+from cargolens.functions.ranking import exact_median
 
 
 def vendor_stats(deliveries: DataFrame, key: str = "delivery_partner") -> DataFrame:
@@ -225,28 +226,26 @@ def cluster_rule(stats: DataFrame) -> DataFrame:
     return stats.withColumn("cluster", F.when(r >= 90, 0).when(r >= 85, 1).when(r >= 80, 2).otherwise(3))
 
 
-def cluster_profiles(stats_with_cluster: DataFrame, key: str = "delivery_partner",
-                     list_vendors: bool = True, approx_median: bool = False) -> DataFrame:
-    """Per cluster: mean cost / on-time / rating / reliability, sorted vendor list, size and type.
+def cluster_profiles(stats_with_cluster: DataFrame) -> DataFrame:
+    """Per cluster: mean cost / on-time / rating / reliability, size and type (``cluster_members`` has the vendors).
 
-    Type rule: on-time > 90 and rating > 4 -> Premium/Reliable; mean cost below the median vendor
-    cost -> Budget/Cheap; on-time < 85 -> Unreliable; else Balanced.  With a vendor key that grows
-    with the data (``vendor_id``) pass ``list_vendors=False`` and ``approx_median=True`` so neither a
-    vendor list nor an exact median gathers every vendor into one task.
+    FIXED VALUES — type rule: on-time > 90 and rating > 4 -> Premium/Reliable; mean cost below the median vendor
+    cost -> Budget/Cheap; on-time < 85 -> Unreliable; else Balanced.  The median is exact and found without
+    gathering the vendors.
     """
-    med_expr = (F.percentile_approx("avg_cost", 0.5, 10000) if approx_median else F.median("avg_cost"))
-    med = stats_with_cluster.agg(med_expr.alias("_median_cost"))
-    aggs = [F.avg("avg_cost").alias("avg_cost"), F.avg("on_time_pct").alias("avg_on_time"),
-            F.avg("avg_rating").alias("avg_rating"), F.avg("reliability_score").alias("avg_reliability"),
-            F.count(F.lit(1)).alias("count")]
-    if list_vendors:
-        aggs.append(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), ", ").alias("vendors"))
-    agg = stats_with_cluster.groupBy("cluster").agg(*aggs)
-    j = agg.crossJoin(F.broadcast(med))
+    med = exact_median(stats_with_cluster, "avg_cost", "_median_cost")
+    agg = stats_with_cluster.groupBy("cluster").agg(
+        F.avg("avg_cost").alias("avg_cost"), F.avg("on_time_pct").alias("avg_on_time"),
+        F.avg("avg_rating").alias("avg_rating"), F.avg("reliability_score").alias("avg_reliability"), F.count(F.lit(1)).alias("count"))
+    j = agg.crossJoin(F.broadcast(med))  # one row
     ctype = (F.when((F.col("avg_on_time") > 90) & (F.col("avg_rating") > 4.0), "Premium/Reliable")
              .when(F.col("avg_cost") < F.col("_median_cost"), "Budget/Cheap")
              .when(F.col("avg_on_time") < 85, "Unreliable").otherwise("Balanced"))
-    cols = ["cluster", ctype.alias("type")] + (["vendors"] if list_vendors else [])
-    return j.select(*cols, r6("avg_cost").alias("avg_cost"), r6("avg_on_time").alias("avg_on_time"),
-                    r6("avg_rating").alias("avg_rating"), r6("avg_reliability").alias("avg_reliability"),
-                    "count")
+    return j.select("cluster", ctype.alias("type"), r6("avg_cost").alias("avg_cost"), r6("avg_on_time").alias("avg_on_time"),
+                    r6("avg_rating").alias("avg_rating"), r6("avg_reliability").alias("avg_reliability"), "count")
+
+
+def cluster_members(stats_with_cluster: DataFrame, key: str = "delivery_partner") -> DataFrame:
+    """The vendors of each cluster, a row each, with the cluster's type."""
+    types = cluster_profiles(stats_with_cluster).select("cluster", "type")  # as many rows as clusters
+    return stats_with_cluster.select("cluster", key).join(F.broadcast(types), "cluster")

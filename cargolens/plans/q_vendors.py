@@ -8,6 +8,7 @@ from cargolens.functions.exprs import late_flag
 from cargolens.operators import vendors
 from cargolens.plans.catalog import query
 from cargolens.plans.sqlkit import register
+from cargolens.session import ensure_checkpoint_dir
 from cargolens.sources import views
 
 LATE = "CASE WHEN delayed = 'yes' THEN 1 ELSE 0 END"
@@ -237,6 +238,11 @@ def q_portfolio_filter(spark, sf):
     return vendors.portfolio_filter(spark, _d(spark, sf), "pharmacy")
 
 
+def _stored(df):
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 @query("cluster_profiles", """
 WITH c AS (SELECT *, CASE WHEN reliability_score >= 90 THEN 0 WHEN reliability_score >= 85 THEN 1
                           WHEN reliability_score >= 80 THEN 2 ELSE 3 END AS cluster FROM vendor_stats_cte),
@@ -253,7 +259,40 @@ FROM c CROSS JOIN med GROUP BY cluster""")
 def q_cluster_profiles(spark, sf):
     stats = vendors.vendor_stats(_d(spark, sf, "delivery_partner", "delivery_cost", "distance_km", "delayed",
                                     "delivery_rating"))
-    return vendors.cluster_profiles(vendors.cluster_rule(stats))
+    clustered = _stored(vendors.cluster_rule(stats))
+    # The list of a cluster's vendors is for the nine partners; other keys have ``cluster_members``.
+    names = clustered.groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_list("delivery_partner")), ", ").alias("vendors"))
+    return vendors.cluster_profiles(clustered).join(names, "cluster").select(
+        "cluster", "type", "vendors", "avg_cost", "avg_on_time", "avg_rating", "avg_reliability", "count")
+
+
+register("vendor_id_stats", VENDOR_STATS_SQL.replace("delivery_partner", "vendor_id"))
+register("vendor_id_clusters", """
+SELECT *, CASE WHEN reliability_score >= 90 THEN 0 WHEN reliability_score >= 85 THEN 1 WHEN reliability_score >= 80 THEN 2 ELSE 3 END AS cluster
+FROM (SELECT vendor_id, avg_cost, avg_rating, on_time_pct, reliability_score FROM vendor_id_stats)""")
+register("vendor_id_profiles", """
+SELECT cluster, CASE WHEN avg(on_time_pct) > 90 AND avg(avg_rating) > 4.0 THEN 'Premium/Reliable'
+    WHEN avg(avg_cost) < (SELECT median(avg_cost) FROM vendor_id_clusters) THEN 'Budget/Cheap'
+    WHEN avg(on_time_pct) < 85 THEN 'Unreliable' ELSE 'Balanced' END AS type,
+  round(avg(avg_cost), 6) AS avg_cost, round(avg(on_time_pct), 6) AS avg_on_time, round(avg(avg_rating), 6) AS avg_rating,
+  round(avg(reliability_score), 6) AS avg_reliability, count(*) AS count
+FROM vendor_id_clusters GROUP BY cluster""")
+
+
+def _by_vendor_id(spark, sf):
+    stats = vendors.vendor_stats(_d(spark, sf, "vendor_id", "delivery_cost", "distance_km", "delayed", "delivery_rating"), key="vendor_id")
+    return _stored(vendors.cluster_rule(stats))
+
+
+@query("cluster_profiles_by_vendor_id", "SELECT * FROM vendor_id_profiles")
+def q_cluster_profiles_by_vendor_id(spark, sf):
+    return vendors.cluster_profiles(_by_vendor_id(spark, sf))
+
+
+@query("cluster_members_by_vendor_id", """
+SELECT c.cluster, c.vendor_id, p.type FROM vendor_id_clusters c JOIN vendor_id_profiles p USING (cluster)""")
+def q_cluster_members_by_vendor_id(spark, sf):
+    return vendors.cluster_members(_by_vendor_id(spark, sf), "vendor_id")
 
 
 __all__ = ["late_flag"]

@@ -9,7 +9,9 @@ from tests.conftest import SF001
 
 FAST = ["vendor_stats", "transport_carbon", "early_warning_indicators", "shipment_carrier_quotes", "route_choice",
         "integrated_recommendation", "risk_score", "pareto_frontier", "extract_requests", "weather_cascade",
-        "lane_distance", "classification_report", "inference_ledger_totals", "defaults_by_package"]
+        "lane_distance", "classification_report", "inference_ledger_totals", "defaults_by_package",
+        "optimize_delivery", "risk_assessment", "distance_cascade", "cluster_profiles_by_vendor_id", "train_test_split",
+        "cross_validation_folds", "impute_and_score", "pareto_frontier_points", "pareto_frontier_global_cost"]
 
 
 def _norm(rows, cols):
