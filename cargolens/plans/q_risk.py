@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cargolens.functions.exprs import late_flag, r6, with_policy
+from cargolens.functions.exprs import checked_broadcast, late_flag, r6, with_policy
 from cargolens.operators import carbon, frontier, governance, quotes, risk, vendors
 from cargolens.plans import q_choice
 from cargolens.plans.catalog import query
@@ -136,13 +136,17 @@ def q_risk_assessment(spark, sf):
                     F.array_join("warnings", "; ").alias("warnings"), "recommended_buffer_days")
 
 
-@query("merge_risk_factors")
+@query("merge_risk_factors", """
+WITH obs AS (SELECT city, max_by(snippet, (ts, obs_id)) AS snippet FROM weather_obs GROUP BY city)
+SELECT r.shipment_id, concat_ws(', ', nullif(r.risk_factors_text, ''),
+  CASE WHEN obs.snippet <> 'no data' AND trim(obs.snippet) <> '' THEN obs.snippet END) AS risk_factors
+FROM req_risk r LEFT JOIN obs ON obs.city = r.origin""")
 def q_merge_risk_factors(spark, sf):
     """Model factors of each request merged with observed weather text at its origin (non-empty, new)."""
     o = q_choice._options(spark, sf).select("shipment_id", "origin", "risk_factors")
     obs = views.weather_obs(spark, sf).groupBy("city").agg(
         F.max_by("snippet", F.struct("ts", "obs_id")).alias("latest_snippet"))
-    j = o.join(F.broadcast(obs), F.col("origin") == F.col("city"), "left")
+    j = o.join(checked_broadcast(obs), F.col("origin") == F.col("city"), "left")
     ext = F.array(F.when(F.col("latest_snippet") != "no data", F.col("latest_snippet")))
     return j.select("shipment_id", F.array_join(risk.merge_risk_factors(F.col("risk_factors"), ext), ", ")
                     .alias("risk_factors"))
