@@ -10,8 +10,8 @@ before they fall out of it.  Words that clean training texts use are never taken
 A ridge logistic regression over these window scores gives the probability.
 
 Labels are learned only from rows of the training fold (``held_out``: crc32 of the id as text, mod 3,
-is 1), at most about ``SAMPLE`` of them, chosen by a hash of the id.  What is broadcast is bounded by
-``TERMS`` and ``BENIGN``.
+is 1), at most about ``SAMPLE`` of them, chosen by a hash of the id.  What is broadcast are words of those rows
+that at least two of them have.
 
 Defined cases: null text is the empty text and scores like a text without hits; without
 training rows of both labels every score is the smoothed share of toxic rows (0.5 without any); repeated rows are
@@ -35,8 +35,6 @@ from cargolens.llm.common import bounded_sample, cut, importable_on_workers, kep
 
 SAMPLE = 12_000
 FIT_TASKS = 8
-TERMS = 3000
-BENIGN = 50_000
 SHORT, LONG = 4, 8
 STEMS = (4, 5)
 NEAR = 8
@@ -263,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log((F.col("n1") + 0.1) / (n1 + 0.2)) - F.log((F.col("n0") + 0.1) / (n0 + 0.2))
     chosen = (terms.where("n1 >= 3").withColumn("ratio", ratio).withColumn("odds", odds)
               .where((F.col("ratio") >= 2 * math.log(tested)) & (F.col("odds") >= math.log(10)) & (F.bit_count("places") >= 3))
-              .orderBy(F.col("ratio").desc(), "term").limit(TERMS).select("term", "odds").collect())
+              .orderBy(F.col("ratio").desc(), "term").select("term", "odds").collect())  # of SAMPLE rows at most
     lexicon = [(r["term"], round(float(r["odds"]), 6)) for r in chosen]
     automaton = LexiconAutomaton(lexicon)
 
@@ -273,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # Words that clean texts use although they look like a term; the lexicon's own words excepted.
     clean = (terms.where("n0 > 0 and not endswith(term, '*')").select("term", "n0").mapInArrow(near, "term string, n0 long")
-             .orderBy(F.col("n0").desc(), "term").limit(BENIGN).collect())
+             .collect())  # of SAMPLE rows at most
     benign = frozenset(r["term"] for r in clean) - {t for t, _ in lexicon}
     model = {"lexicon": lexicon, "benign": benign}
 
