@@ -50,29 +50,17 @@ def counted_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-#: Bytes of an Arrow batch between Spark and its Python workers: both sides hold it whole, and texts are long.
-BATCH_BYTES = 8 << 20
-#: Memory that arrays free goes back to the system, and a task uses one core.
-WORKER_ENVIRONMENT = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304",
-                      "ARROW_DEFAULT_MEMORY_POOL": "system", "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "TOKENIZERS_PARALLELISM": "false"}
-
-
 def importable_on_workers(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package from where the driver has it, and keep them small.
+    """Let Python workers started from now on import this package from where the driver has it.
 
     On a cluster the package is installed or shipped with ``--py-files``; a session that was
-    started from another folder needs the path.  Settings that the user made stay.
+    started from another folder needs the path.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    for name, value in WORKER_ENVIRONMENT.items():
-        env.setdefault(name, value)
-    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark.sparkContext.getConf().contains(limit):
-        spark.conf.set(limit, str(BATCH_BYTES))
 
 
 def trim() -> None:
@@ -93,16 +81,20 @@ _kept: dict[Hashable, object] = {}
 
 
 def kept(key: Hashable, build: Callable[[], object]) -> object:
-    """What a worker keeps between tasks: the last two things built, so that nothing of earlier operators stays."""
-    if key in _kept:
-        _kept[key] = _kept.pop(key)  # now the youngest
-    else:
-        while len(_kept) > 1:
-            del _kept[next(iter(_kept))]
+    """What a worker keeps between tasks: the last thing built, so that nothing of earlier operators stays."""
+    if key not in _kept:
+        _kept.clear()
         _kept[key] = build()
     return _kept[key]
 
 
+def fresh(batches: Iterator) -> Iterator:
+    """Pass batches on in a worker that forgets what earlier operators kept there, and trim when they end."""
+    _kept.clear()
+    trim()
+    yield from tidy(batches)
+
+
 def total_bytes(df: DataFrame, col: str = "text") -> tuple[int, int]:
     """(rows, UTF-8 bytes of the column) over the whole table."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(col)).cast("long")).alias("b")).first()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import counted_broadcast, cut, importable_on_workers
+from cargolens.llm.common import counted_broadcast, cut, fresh, importable_on_workers
 from cargolens.llm.components import components
 from cargolens.llm.words import FOLDED, Words, groups, mix, shingles
 
@@ -122,7 +122,7 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_shingles, k1 and k2 (which name the set) and the band keys of every row."""
     importable_on_workers(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _sketch_batches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+        lambda b: _sketch_batches(fresh(b)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 class _Forest:

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import importable_on_workers
+from cargolens.llm.common import fresh, importable_on_workers
 
 DEMO_KEY = b"demonstration key, replace in production"
 ROUNDS = 10
@@ -276,7 +276,7 @@ def find_personal(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id"
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text string, n_found long, kinds string").select(F.col("id").alias(id_col), "text", "n_found", "kinds")
+    return rows.mapInArrow(lambda b: run(fresh(b)), f"id {kind}, text string, n_found long, kinds string").select(F.col("id").alias(id_col), "text", "n_found", "kinds")
 
 
 def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text") -> DataFrame:
@@ -290,4 +290,4 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text")
             texts = [None if t is None else rewrite(t, p)[0] for t in (x.as_py() for x in b.column(at))]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: run(fresh(b)), docs.schema)

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import bounded_sample, cut, importable_on_workers
+from cargolens.llm.common import bounded_sample, cut, fresh, importable_on_workers
 
 BUCKETS = 1 << 13
 WIDTH = 32
@@ -138,10 +138,7 @@ class Network:
         self.p, self.temperature = p, 1.0
         held = self.logits(x[calibrate])
         if len(held):
-            t = y[calibrate].astype(float)
-            options = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
-            losses = [np.mean(np.logaddexp(0, held / o) - t * held / o) for o in options]
-            self.temperature = float(options[int(np.argmin(losses))])
+            self.temperature = best_temperature(held, y[calibrate])
 
     def _inputs(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
@@ -152,6 +149,29 @@ class Network:
         return (np.einsum("ik,k->i", h, self.p[2], optimize=False) + self.p[3]) / self.temperature if len(x) else np.zeros(0)
 
 
+def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
+    """The temperature with the least cross entropy on rows that were not fitted.
+
+    The loss is convex in 1 / temperature, so its slope is followed to where it changes sign, however far.  One row of each label is
+    added in thought (as Platt does), which keeps the least loss finite where the labels are told apart without a mistake.
+    """
+    n1 = float(y.sum())
+    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
+
+    def slope(sharpness: float) -> float:
+        return float(np.mean(logits * (_sigmoid(logits * sharpness) - t)))
+
+    low, high = 0.0, 1.0
+    if slope(low) >= 0:  # the logits tell nothing
+        return 1.0
+    while slope(high) < 0:
+        low, high = high, 2 * high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if slope(middle) < 0 else (low, middle)
+    return 2 / (low + high)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
@@ -171,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
                .join(F.broadcast(marks), F.col("id") == F.col("_id"))  # about SAMPLE rows
                .select("id", "text", "y", (fold("_id", 20) < 4).alias("calibrate")).repartition(FIT_TASKS))
-    sums = [np.frombuffer(r["sums"], np.float32) for r in rows.select("text").mapInArrow(_context_task, "sums binary").toLocalIterator()]
+    sums = [np.frombuffer(r["sums"], np.float32) for r in rows.select("text").mapInArrow(lambda b: _context_task(fresh(b)), "sums binary").collect()]  # FIT_TASKS rows
     context = sum(sums, np.zeros(BUCKETS * WIDTH, np.float32)).reshape(BUCKETS, WIDTH)
     vectors = word_vectors(context)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -216,7 +236,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD, id_col: st
 
     rows = docs.select(F.col(id_col).alias("id"), held, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(scores, f"id {kind}, held_out boolean, score double")
+    out = rows.mapInArrow(lambda b: scores(fresh(b)), f"id {kind}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -247,4 +267,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
                 x[i] = pooled(text.as_py() or "", vectors, cache)
             yield b.filter(pa.array(_sigmoid(network.logits(x)) >= threshold))
 
-    return docs.mapInArrow(good, docs.schema)
+    return docs.mapInArrow(lambda b: good(fresh(b)), docs.schema)
