@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from cargolens.operators import ml, trees
+from cargolens.operators import ml
 
 
 @pytest.fixture(scope="module")
@@ -54,20 +54,26 @@ def test_models_are_loaded_as_they_were_saved(table, tmp_path):
 
 
 def test_passes_do_not_grow_with_the_models(spark, table):
-    """Three jobs a tree and a few for the borders, whatever the number of fits."""
-    def jobs_of(jobs):
+    """Three jobs a tree, whatever the number of fits."""
+    def jobs_of(jobs, n):
         sc = spark.sparkContext
-        group = f"fits-{len(jobs)}"
+        group = f"fits-{len(jobs)}-{n}"
         sc.setJobGroup(group, group)
-        ml.fit_all(table, jobs, 4)
+        ml.fit_all(table, jobs, n)
         sc.setJobGroup("rest", "rest")
         return len(sc.statusTracker().getJobIdsForGroup(group))
 
-    assert jobs_of([("cost", None, None)]) == jobs_of([(x, "fold", k) for x in ("cost", "is_delayed") for k in range(5)])
+    for jobs in ([("cost", None, None)], [(x, "fold", k) for x in ("cost", "is_delayed") for k in range(2)]):
+        assert jobs_of(jobs, 4) - jobs_of(jobs, 2) == 2 * 3
 
 
-def test_borders_beyond_the_exact_counts(table, monkeypatch):
-    monkeypatch.setattr(trees, "MAX_VALUES", 100)  # distances and weights: by quantiles
-    [model] = ml.fit_all(table, [("cost", None, None)], 40)
-    r = model.transform(table).agg(F.corr("cost", "pred_cost")).first()[0]
-    assert r > 0.98
+def test_more_rows_than_the_borders_are_taken_from(spark):
+    """The same sample of the rows as MLlib's gives the same borders and models."""
+    rng = np.random.default_rng(4)
+    rows = [(i, *(str(rng.integers(2 + j)) for j in range(len(ml.CATEGORICAL))), float(rng.gamma(2, 60)), float(rng.gamma(2, 9)), float(rng.integers(1, 6)))
+            for i in range(13000)]
+    df = spark.createDataFrame(rows, ["id", *ml.CATEGORICAL, *ml.NUMERIC]).withColumn("cost", F.col("distance_km") * 3 + F.sqrt("package_weight_kg") * 9)
+    table = ml.feature_table(df, F.lit(True), ["id", "cost"])[1]
+    [model] = ml.fit_all(table, [("cost", None, None)], 4)
+    a, b = ([r[0] for r in m.transform(table).orderBy("id").select("pred_cost").collect()] for m in (_mllib("cost", 4).fit(table), model))
+    assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
