@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cargolens.functions.exprs import casp, r6
 from cargolens.functions.ranking import grouped_row_number, prefix_min
+from cargolens.session import ensure_checkpoint_dir
 
 
 def pareto_frontier(points: DataFrame, group: str | None = "package_type", service: str = "service_level",
@@ -28,7 +29,12 @@ def pareto_frontier(points: DataFrame, group: str | None = "package_type", servi
 
 
 def frontier_points(points: DataFrame, group: str | None = "package_type", service: str = "service_level", dim: str = "carbon_gco2") -> DataFrame:
-    """The points that lie on the frontier, with all their columns; equal points are all on it."""
+    """The points that lie on the frontier, with all their columns; equal points are all on it.
+
+    The points are stored: the frontier and the join back to it both read them.
+    """
+    ensure_checkpoint_dir(points.sparkSession)
+    points = points.checkpoint()
     key = [*([group] if group else []), service, dim]
     return points.join(pareto_frontier(points, group, service, dim).select(*key), key, "left_semi")
 
