@@ -12,7 +12,7 @@ from .conftest import SF001
 def test_a_filter_on_the_number_of_options_does_not_work_the_offers_out_twice(spark):
     d = choice.decide(spark, q_choice._options(spark, SF001), carry=[]).where(F.col("num_options") > 0)
     plan = d.select("shipment_id", "best")._jdf.queryExecution().optimizedPlan().toString()
-    prices = f"{quotes.carriers()[0]['max_weight_kg']},["  # the constant list of carriers
+    prices = f"[0,{quotes.carriers()[0]['max_weight_kg']},["  # the head of the constant list of carriers
     assert plan.count(prices) == 1
     want = choice.decide(spark, q_choice._options(spark, SF001), carry=[]).select("shipment_id", "num_options").collect()
     assert d.count() == sum(r["num_options"] > 0 for r in want) < len(want)
