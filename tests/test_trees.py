@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from cargolens.operators import ml
+from cargolens.operators import ml, trees
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +78,41 @@ def test_more_rows_than_the_borders_are_taken_from(spark):
     [model] = ml.fit_all(table, [("cost", None, None)], 4)
     a, b = ([r[0] for r in m.transform(table).orderBy("id").select("pred_cost").collect()] for m in (_mllib("cost", 4).fit(table), model))
     assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+
+
+def test_yes_no_features_that_never_meet_share_a_digit(spark, table):
+    """One-hot columns of a category take one digit; two that some row has both of do not, however rare that is."""
+    arrays = table.select(trees.vector_to_array("features"))
+    width = len(table.first()["features"])
+    borders = [np.array([0.5])] * width
+    digits = trees._digits(arrays, [np.arange(3.0)] * 3 + borders[3:])
+    assert sorted(f for d in digits for f in d) == list(range(width)) and len(digits) == 3 + len(ml.CATEGORICAL)
+    odd = spark.createDataFrame([([0.0] * 3 + [1.0] * (width - 3),)], "features array<double>")
+    assert all(len(d) == 1 for d in trees._digits(arrays.toDF("features").unionAll(odd), borders))
+
+
+def test_features_that_share_no_digit_fit_as_mllib(spark):
+    """Flags of which several are set in a row, a rare value, a fold left out."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.random((2000, 4)) < [0.5, 0.3, 0.02, 0.9], rng.gamma(2, 5, 2000)]).astype(float)
+    y = x @ [3, -5, 40, 1, 2] + rng.normal(0, 1, 2000)
+    rows = [(i, i % 3, Vectors.dense(v), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))]
+    t = spark.createDataFrame(rows, ["id", "fold", "features", "cost"]).repartition(3, "id").checkpoint()
+    jobs = [("cost", "fold", k) for k in range(3)]
+    fitted = ml.fit_all(t, jobs, 8)
+    for (_, by, k), model in zip(jobs, fitted, strict=True):
+        want = _mllib("cost", 8).fit(t.where(F.col(by) != k))
+        a, b = ([r[0] for r in m.transform(t).orderBy("id").select("pred_cost").collect()] for m in (want, model))
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+    left = {r["id"]: r["pred_cost"] for r in trees.predict_left_out(t, jobs, fitted).collect()}
+    for (_, by, k), model in zip(jobs, fitted, strict=True):
+        assert all(left[r["id"]] == r["pred_cost"] for r in model.transform(t.where(F.col(by) == k)).collect())
+
+
+def test_one_pass_predicts_the_rows_left_out_of_every_fold(spark, table):
+    """The scan does not grow with the folds."""
+    jobs = [(x, "fold", k) for x in ("cost", "is_delayed") for k in range(5)]
+    scored = trees.predict_left_out(table, jobs, ml.fit_all(table, jobs, 2)).select("pred_cost", "pred_is_delayed")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    assert {r[1] for r in scored.collect()} <= {0.0, 1.0}
