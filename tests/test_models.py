@@ -1,5 +1,6 @@
 """Tree scorer against MLlib, predictors inside the choice, the model store, exact splits, clusters."""
 
+import threading
 from collections import Counter
 
 import numpy as np
@@ -105,6 +106,34 @@ def test_store_keeps_a_fit_for_its_training_rows(spark, labeled, tmp_path):
     assert r["vehicle_type"] == "van" and r["distance_km"] == pytest.approx(mean) and r["region"] is not None and r["package_type"] is not None
 
 
+def test_fits_run_at_the_same_time(spark):
+    """Each waits for the other one: one after the other they would not end."""
+    both = threading.Barrier(2)
+
+    def fit(n):
+        both.wait(60)
+        return spark.range(n).count(), spark.sparkContext.getLocalProperty("spark.jobGroup.id")
+
+    spark.sparkContext.setJobGroup("fits", "fits")
+    assert ml.at_once(spark, lambda: fit(3), lambda: fit(5)) == [(3, "fits"), (5, "fits")]
+    spark.sparkContext.setJobGroup("rest", "rest")
+    with pytest.raises(ZeroDivisionError):
+        ml.at_once(spark, lambda: 1, lambda: 1 / 0)
+
+
+def test_top_features_come_from_fits_side_by_side(spark, monkeypatch):
+    both = threading.Barrier(2)
+    keep = ml.ModelStore.get_all
+
+    def get_all(self, name, train, labels, max_iter=2):
+        both.wait(60)
+        return keep(self, name, train, labels, 2)
+
+    monkeypatch.setattr(ml.ModelStore, "get_all", get_all)
+    rows = q_ml.q_top_k_importance(spark, SF001).collect()
+    assert Counter(r["model"] for r in rows) == {"delay": 10, "on_time": 10}
+
+
 def test_stratified_split_takes_exactly_the_share(spark):
     rows = [(i, "a" if i % 3 else "b") for i in range(1, 998)] + [(2000, None), (2001, None)]
     df = spark.createDataFrame(rows, "delivery_id long, y string")
