@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.linalg import Vectors
@@ -116,3 +117,17 @@ def test_one_pass_predicts_the_rows_left_out_of_every_fold(spark, table):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") == 1
     assert {r[1] for r in scored.collect()} <= {0.0, 1.0}
+
+
+def test_blocks_are_dealt_one_by_one(spark, monkeypatch):
+    """Rows of one partition go to all tasks, a byte a digit."""
+    monkeypatch.setattr(trees, "BLOCK", 100)
+    kept, persist = [], RDD.persist
+    monkeypatch.setattr(RDD, "persist", lambda self, *a: kept.append(self) or persist(self, *a))
+    n = 2 * spark.sparkContext.defaultParallelism
+    x = F.array((F.col("id") % 9).cast("double"), (F.col("id") % 2).cast("double"))
+    t = spark.range(0, 200 * n, 1, 1).select(F.col("id").cast("double").alias("cost"), trees.array_to_vector(x).alias("features")).checkpoint()
+    ml.fit_all(t, [("cost", None, None)], 1)
+    parts = kept[0].map(lambda block: (block[0].dtype.itemsize, block[0].shape[1])).glom().collect()
+    assert {w for p in parts for w, _ in p} == {1}
+    assert sum(r for p in parts for _, r in p) == 200 * n and max(sum(r for _, r in p) for p in parts) <= 400
