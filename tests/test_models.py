@@ -106,6 +106,25 @@ def test_store_keeps_a_fit_for_its_training_rows(spark, labeled, tmp_path):
     assert r["vehicle_type"] == "van" and r["distance_km"] == pytest.approx(mean) and r["region"] is not None and r["package_type"] is not None
 
 
+def test_training_rows_of_an_empty_store_are_worked_out_once(spark, labeled, tmp_path):
+    """The fingerprint is that of the stored rows; a store that holds a fit is asked first."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    train = labeled.where(~q_ml.is_test()).limit(500).checkpoint()
+    rows, store = train.withColumn("distance_km", counted("distance_km")), ml.ModelStore(spark, str(tmp_path))
+    assert not store._holds("m")
+    store.get("m", rows, "delivery_cost", 2)
+    assert seen.value == 500 and store._holds("m") and not store._holds("n")
+    assert store.key("m", train, sorted({*ml.FEATURES, "delivery_cost"})) in next(p.name for p in tmp_path.iterdir())
+    store.get("m", rows, "delivery_cost", 2)
+    assert seen.value == 1000 and len(list(tmp_path.iterdir())) == 1
+
+
 def test_fits_run_at_the_same_time(spark):
     """Each waits for the other one: one after the other they would not end."""
     both = threading.Barrier(2)

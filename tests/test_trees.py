@@ -131,3 +131,35 @@ def test_blocks_are_dealt_one_by_one(spark, monkeypatch):
     parts = kept[0].map(lambda block: (block[0].dtype.itemsize, block[0].shape[1])).glom().collect()
     assert {w for p in parts for w, _ in p} == {1}
     assert sum(r for p in parts for _, r in p) == 200 * n and max(sum(r for _, r in p) for p in parts) <= 400
+
+
+def test_rows_are_looked_at_once_unless_digits_turn_out_shared(spark, table, monkeypatch):
+    """Digits come from the borders' rows; the pass over all rows is left to tables whose other rows do not allow them."""
+    looked, digits = [], trees._digits
+    monkeypatch.setattr(trees, "_digits", lambda *a: looked.append(1) or digits(*a))
+    ml.fit_all(table, [("cost", None, None)], 2)
+    assert not looked
+    # Of 30,000 rows one has both flags and is not among those that the borders are taken from.
+    jobs = [("cost", None, None)]
+
+    def rows(odd):
+        flags = [((F.col("id") % 3 == k) | (F.col("id") == odd)).cast("double") for k in range(2)]
+        cost = (F.col("id") % 3 * 5 + F.col("id") / 1000 + F.when(F.col("id") == odd, 1000).otherwise(0)).cast("double")
+        return spark.range(0, 30_000, 1, 3).select("id", cost.alias("cost"), trees.array_to_vector(F.array(*flags, F.col("id").cast("double"))).alias("features")).checkpoint()
+
+    drawn = set(trees._borders(rows(-1), jobs)[1][:, 2])
+    t = rows(next(i for i in range(30_000) if i not in drawn))
+    borders, some = trees._borders(t, jobs)
+    assert len(trees._likely_digits(some, borders[0])) == 2
+    [model] = ml.fit_all(t, jobs, 4)
+    assert looked == [1]
+    a, b = ([r[0] for r in m.transform(t).orderBy("id").select("pred_cost").collect()] for m in (_mllib("cost", 4).fit(t), model))
+    assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+
+
+def test_sparse_and_dense_vectors_are_the_same_rows(spark):
+    rows = [Vectors.dense([0.0, 2.5, -1.0]), Vectors.sparse(3, [1, 2], [4.0, 0.0]), Vectors.sparse(3, [], []), Vectors.dense([1.0, 0.0, 7.0])] * 5
+    df = spark.createDataFrame([(v,) for v in rows], ["features"]).select(F.unwrap_udt("features").alias("v"))
+    column = df.toArrow().column(0).combine_chunks()
+    assert np.array_equal(trees._dense(3)(column).T, [v.toArray() for v in rows])
+    assert np.array_equal(trees._dense(3)(column.slice(1, 6)).T, [v.toArray() for v in rows[1:7]])
