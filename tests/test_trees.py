@@ -163,3 +163,39 @@ def test_sparse_and_dense_vectors_are_the_same_rows(spark):
     column = df.toArrow().column(0).combine_chunks()
     assert np.array_equal(trees._dense(3)(column).T, [v.toArray() for v in rows])
     assert np.array_equal(trees._dense(3)(column.slice(1, 6)).T, [v.toArray() for v in rows[1:7]])
+
+
+def test_margins_are_stored_in_small_records(spark, table, monkeypatch):
+    """However many models, no stored array is large; together they hold every model's margin of every row."""
+    monkeypatch.setattr(trees, "BLOCK", 100)
+    monkeypatch.setattr(trees, "RECORD", 4000, raising=False)
+    kept, persist = [], RDD.persist
+    monkeypatch.setattr(RDD, "persist", lambda self, *a: kept.append(self) or persist(self, *a))
+    jobs = [(x, "fold", k) for x in ("cost", "is_delayed") for k in range(5)]
+    ml.fit_all(table, jobs, 1)
+    found = kept[1].map(lambda r: (len(r), r[0].shape[1]) if isinstance(r, tuple) else (r.nbytes, r.size)).collect()
+    rows, margins = sum(n for k, n in found if k == 4), [x for x in found if x[0] != 4]
+    assert rows == 3000 and sum(n for _, n in margins) == 10 * rows and max(b for b, _ in margins) <= 4000
+
+
+def test_margins_between_two_stores_fit_as_mllib(table):
+    """Trees that look at one packed number or several, one to four of them since the margins were stored, and a store after them."""
+    n = 2 * trees.RESTORE + 2
+    want, [model] = _mllib("cost", n).fit(table), ml.fit_all(table, [("cost", None, None)], n)
+    a, b = ([r[0] for r in m.transform(table).orderBy("id").select("pred_cost").collect()] for m in (want, model))
+    assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+
+
+def test_borders_read_the_features_once(spark):
+    """Whatever the number of folds left out: sizes and draws need no features."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(i):
+        seen.add(1)
+        return [float(i % 7), float(i)]
+
+    t = spark.range(0, 12_000, 1, 3).select((F.col("id") % 5).cast("int").alias("fold"), F.col("id").cast("double").alias("cost"), counted("id").alias("a"))
+    t = t.select("fold", "cost", trees.array_to_vector("a").alias("features"))
+    borders, rows = trees._borders(t, [("cost", "fold", k) for k in range(5)])
+    assert len(borders) == 5 and seen.value <= 12_000 and len(rows) == 5 * 9600
